@@ -124,8 +124,11 @@ def family_scores(z: DataFrame, families: DataFrame) -> DataFrame:
 
 
 def composite(scores: DataFrame, n_families: int, min_families: int) -> DataFrame:
-    """Sum of the family scores over all families, for names with enough of them."""
-    return (scores.groupBy("idx", "symbol").agg((F.sum("score") / n_families).alias("score"),
+    """Sum of the family scores over all families, for names with enough of them.
+
+    Rounded to 12 digits so that summation noise never decides a rank.
+    """
+    return (scores.groupBy("idx", "symbol").agg(F.round(F.sum("score") / n_families, 12).alias("score"),
                                                 F.count("score").alias("families"))
             .filter(F.col("families") >= min(min_families, n_families)))
 

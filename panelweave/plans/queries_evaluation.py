@@ -64,6 +64,7 @@ def processed(spark, sf):
     return xsection.process(long, BY, "raw", "industry", "ln_size", "direction", "by_size", min_names=MIN_NAMES)
 
 
+@views.kept
 def z_scores(spark, sf):
     return processed(spark, sf).select("factor", "idx", "symbol", "z")
 
@@ -73,13 +74,14 @@ def locked():
     return F.col("open") >= F.floor(F.floor(F.col("ref_close") + 0.5) * 1.5 + 0.5)
 
 
+@views.kept
 def forwards(spark, sf):
     return evaluate.forward_returns(views.returns(spark, sf), evaluate.month_ends(views.calendar(spark, sf)), HORIZONS,
                                     locked())
 
 
 def evaluated(spark, sf):
-    return processed(spark, sf).select("factor", "idx", "symbol", "z").join(forwards(spark, sf), ["idx", "symbol"])
+    return z_scores(spark, sf).join(forwards(spark, sf), ["idx", "symbol"])
 
 
 def composite_scores(spark, sf):
@@ -170,7 +172,7 @@ define("families", "processed", """
 SELECT idx, symbol, CASE factor WHEN 'rev_1m' THEN 'momentum' WHEN 'vol_60' THEN 'volatility' WHEN 'turn_20' THEN 'liquidity'
  WHEN 'ln_float_mcap' THEN 'size' ELSE 'technical' END AS family, avg(z) AS score FROM processed GROUP BY ALL""")
 define("composite", "families", """
-SELECT idx, symbol, sum(score) / 5 AS score, count(score) AS families FROM families GROUP BY 1, 2 HAVING count(score) >= 3""")
+SELECT idx, symbol, round(sum(score) / 5, 12) + 0.0::DOUBLE AS score, count(score) AS families FROM families GROUP BY 1, 2 HAVING count(score) >= 3""")
 define("targets", "composite", """
 SELECT *, 1.0::DOUBLE / count(*) OVER (PARTITION BY idx) AS weight FROM
 (SELECT *, row_number() OVER (PARTITION BY idx ORDER BY score DESC, symbol) AS place FROM composite) WHERE place <= 8""")
@@ -250,13 +252,13 @@ def momentum_selection(spark, sf):
                    "score", "weight")
 
 
-@query("family_scores", "X7", oracle("families", "SELECT idx, symbol, family, round(score, 6) AS score FROM families"))
+@query("family_scores", "X7", oracle("families", "SELECT idx, symbol, family, round(score, 6) + 0.0::DOUBLE AS score FROM families"))
 def family_scores(spark, sf):
     return rounded(xsection.family_scores(z_scores(spark, sf), directions(spark).select("factor", "family")), "score")
 
 
 @query("composite_scores", "X7 X9", oracle("composite", """
-SELECT idx, symbol, round(score, 6) AS score, families, row_number() OVER (PARTITION BY idx ORDER BY score DESC, symbol) AS rank FROM composite"""))
+SELECT idx, symbol, round(score, 6) + 0.0::DOUBLE AS score, families, row_number() OVER (PARTITION BY idx ORDER BY score DESC, symbol) AS rank FROM composite"""))
 def composite_ranked(spark, sf):
     place = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("score"), "symbol"))
     return rounded(composite_scores(spark, sf).withColumn("rank", place), "score")
