@@ -46,3 +46,46 @@ def write_canonical(df: DataFrame, path: str, partition_by: list[str] | None = N
 def stamp_lineage(df: DataFrame, source: str, run_id: str, schema_version: int = 1) -> DataFrame:
     return df.withColumns({"source": F.lit(source), "run_id": F.lit(run_id),
                            "schema_version": F.lit(schema_version)})
+
+
+def inventory(datasets: dict[str, DataFrame], dates: dict[str, str]) -> DataFrame:
+    """Rows, date bounds and a content version per dataset, in one aggregation each.
+
+    The version is an order-free hash (sum of row hashes), so it needs no sort
+    and no collection of file names.
+    """
+    out = None
+    for name, df in datasets.items():
+        part = df.agg(F.count("*").alias("rows"), F.to_date(F.min(dates[name])).alias("min_date"),
+                      F.to_date(F.max(dates[name])).alias("max_date"),
+                      F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).cast("string").alias("version"))
+        part = part.select(F.lit(name).alias("dataset"), *part.columns)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def file_inventory(spark: SparkSession, path: str, date_column: str) -> DataFrame:
+    """Rows, bytes and date bounds of every file of a dataset."""
+    rows = canonical_scan(spark, path)
+    return rows.groupBy(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("bytes")).agg(
+        F.count("*").alias("rows"), F.min(date_column).alias("min_date"), F.max(date_column).alias("max_date"))
+
+
+def dataset_summary(files: DataFrame, dataset: str) -> DataFrame:
+    return files.agg(F.count("*").alias("files"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"),
+                     F.min("min_date").alias("min_date"), F.max("max_date").alias("max_date")).withColumn(
+        "dataset", F.lit(dataset))
+
+
+def ingestion_runs(spark: SparkSession, manifests: str, checkpoints: DataFrame) -> DataFrame:
+    """Run manifests (one JSON document per file) plus started runs that left none."""
+    runs = spark.read.option("multiLine", True).json(manifests)
+    aborted = checkpoints.select("run_id").distinct().join(runs, "run_id", "left_anti").withColumn(
+        "status", F.lit("aborted_no_manifest"))
+    return runs.unionByName(aborted, allowMissingColumns=True)
+
+
+def quarantine(df: DataFrame, bad_keys: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows to publish, rows kept aside): a partition with a blocking issue is withheld as a whole."""
+    bad = bad_keys.select(*keys).distinct()
+    return df.join(bad, keys, "left_anti"), df.join(bad, keys, "left_semi")
