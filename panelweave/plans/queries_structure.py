@@ -325,7 +325,7 @@ def volatility_index(spark, sf):
 
 @query("volatility_alerts", "O8", oracle("vol_index", """
 SELECT a.underlying, a.day, round(a.value / a.p - 1, 6) + 0.0::DOUBLE AS rise, round(a.pct, 6) AS percentile, coalesce(a.value / a.p - 1 >= 0.05 AND a.pct >= 0.5, false) AS alert FROM
-(SELECT v.*, lag(value) OVER (PARTITION BY underlying ORDER BY day) AS p, (SELECT avg(CAST(h.value <= v.value AS INTEGER)) FROM vol_index h WHERE h.underlying = v.underlying AND h.day < v.day AND h.day >= v.day - INTERVAL 24 MONTH) AS pct FROM vol_index v) a"""))
+(SELECT v.*, lag(value) OVER (PARTITION BY underlying ORDER BY day) AS p, CASE WHEN value IS NOT NULL AND len(seen) > 0 THEN len(list_filter(seen, lambda x: x <= value)) / len(seen)::DOUBLE END AS pct FROM (SELECT *, list(value) FILTER (value IS NOT NULL) OVER (PARTITION BY underlying ORDER BY day ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS seen FROM vol_index) v) a"""))
 def volatility_alerts(spark, sf):
     rows = options.alerts(vol_index(spark, sf), ["underlying"], "day", "value", 0.05, 0.5, 24)
     return rounded(rows.select("underlying", "day", "rise", "percentile", "alert"), "rise", "percentile")
