@@ -59,7 +59,7 @@ def regimes(prices: DataFrame, ma: int = 200, look: int = 250, vol: int = 60, hi
     return rows.withColumns({
         "ma_side": F.when(F.col(price) > mean, "above").when(mean.isNotNull(), "below"),
         "year": F.when(change > 0, "up").when(change.isNotNull(), "down"),
-        "vol": F.when(F.col("_v") > F.col("_m"), "high").when(F.col("_v").isNotNull() & F.col("_m").isNotNull(), "low")}).drop("_r", "_v", "_m")
+        "vol": F.when(F.col("_v") > F.col("_m") * (1 + 1e-12), "high").when(F.col("_v").isNotNull() & F.col("_m").isNotNull(), "low")}).drop("_r", "_v", "_m")
 
 
 def known_means(samples: DataFrame, by: list[str], order: str, known: str, x: str) -> DataFrame:

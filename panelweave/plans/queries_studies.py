@@ -88,7 +88,7 @@ WITH r AS (SELECT symbol AS series, idx, adj_last AS close, ln(adj_last / lag(ad
 v AS (SELECT *, CASE WHEN count(close) OVER a >= 200 THEN avg(close) OVER a END AS m, CASE WHEN count(r) OVER b >= 60 THEN stddev_samp(r) OVER b END AS v, close / lag(close, 250) OVER (PARTITION BY series ORDER BY idx) - 1 AS y FROM r
  WINDOW a AS (PARTITION BY series ORDER BY idx ROWS 199 PRECEDING), b AS (PARTITION BY series ORDER BY idx ROWS 59 PRECEDING)),
 q AS (SELECT *, CASE WHEN count(v) OVER p >= 250 THEN quantile_cont(v, 0.5) OVER p END AS vm FROM v WINDOW p AS (PARTITION BY series ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT series, idx, CASE WHEN close > m THEN 'above' WHEN m IS NOT NULL THEN 'below' END AS ma_side, CASE WHEN y > 0 THEN 'up' WHEN y IS NOT NULL THEN 'down' END AS year, CASE WHEN v > vm THEN 'high' WHEN v IS NOT NULL AND vm IS NOT NULL THEN 'low' END AS vol FROM q"""))
+SELECT series, idx, CASE WHEN close > m THEN 'above' WHEN m IS NOT NULL THEN 'below' END AS ma_side, CASE WHEN y > 0 THEN 'up' WHEN y IS NOT NULL THEN 'down' END AS year, CASE WHEN v > vm * (1 + 1e-12) THEN 'high' WHEN v IS NOT NULL AND vm IS NOT NULL THEN 'low' END AS vol FROM q"""))
 def regime_labels(spark, sf):
     prices = views.panel(spark, sf).select(F.col("symbol").alias("series"), "idx", F.col("adj_last").alias("close"))
     return studies.regimes(prices).drop("close")
