@@ -7,7 +7,7 @@ from pyspark.sql import Window, functions as F
 from ..functions import trading_rules as rules
 from ..operators import accounts, asof, market, perf, windows
 from ..sources.io import read_table
-from . import views
+from . import queries_datasets, queries_factors, queries_structure, views  # noqa: F401  (their SQL views are used below)
 from .common import classes, r6
 from .ctes import define, oracle
 from .queries_evaluation import composite_scores, inputs, rounded, targets
