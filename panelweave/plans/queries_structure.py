@@ -275,7 +275,10 @@ SELECT l_returnflag AS underlying, CAST(date_trunc('month', l_shipdate) AS DATE)
 
 
 def quotes(spark, sf):
-    l = read_table(spark, sf, "lineitem")
+    return quotes_from(read_table(spark, sf, "lineitem"))
+
+
+def quotes_from(l):
     p = F.col("l_partkey") % 500 + 1
     term = F.col("l_suppkey") % 3 + 1
     return l.select(F.col("l_returnflag").alias("underlying"), F.to_date(F.trunc("l_shipdate", "month")).alias("day"), term.cast("int").alias("term"),
