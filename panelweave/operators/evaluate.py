@@ -6,6 +6,7 @@ import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType
 
 from .windows import lead_n, series
 from .xsection import pct_rank
@@ -110,7 +111,7 @@ def summary(ic: DataFrame, quantiles: DataFrame, turnover: DataFrame, periods_pe
     return stats.join(spreads, "factor", "left").join(moves, "factor", "left")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())  # a type object: a string would need a running session at import
 def normal_p(t: pd.Series) -> pd.Series:
     return t.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None)
 

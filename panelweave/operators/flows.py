@@ -157,11 +157,12 @@ def group_flows(funds: DataFrame, group: str = "group_id") -> DataFrame:
     w = series(group, "trade_date")
     past = w.rowsBetween(-BASELINE, -1)
     daily = daily.withColumns({"flow_pct": F.col("flow") / F.lag("aum").over(w), "_n": F.count("flow").over(past)})
-    q = lambda p: F.percentile("flow", F.lit(p)).over(past)
-    spread = F.greatest((q(0.75) - q(0.25)) / 1.349, FLOOR_SHARE * F.lag("aum").over(w))
-    daily = daily.withColumns({"_m": q(0.5), "_s": spread})
+    # The three quantiles share one pass over the frame.
+    daily = daily.withColumn("_q", F.percentile("flow", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).over(past))
+    spread = F.greatest((F.col("_q")[2] - F.col("_q")[0]) / 1.349, FLOOR_SHARE * F.lag("aum").over(w))
+    daily = daily.withColumns({"_m": F.col("_q")[1], "_s": spread})
     z = F.when((F.col("_n") >= BASELINE_MIN) & (F.col("_s") > 0), F.bround((F.col("flow") - F.col("_m")) / F.col("_s"), 2))
-    daily = daily.withColumn("z", z).drop("_n", "_m", "_s")
+    daily = daily.withColumn("z", z).drop("_n", "_m", "_s", "_q")
     abnormal = (F.when((F.col("z") >= ABNORMAL_Z) & (F.col("flow_pct") >= ABNORMAL_SHARE), "in")
                 .when((F.col("z") <= -ABNORMAL_Z) & (F.col("flow_pct") <= -ABNORMAL_SHARE), "out"))
     strong = abnormal.isNotNull() & (F.abs("z") >= STRONG_Z) & (F.abs("flow_pct") >= STRONG_SHARE)
@@ -203,8 +204,8 @@ def flow_waves(daily: DataFrame, group: str = "group_id", min_history: int = WAV
     rows = rows.withColumn("wave_flow", total).withColumn("wave_pct", F.col("wave_flow") / F.lag("aum", WAVE_SESSIONS).over(w))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     enough = F.count("wave_pct").over(past) >= min_history
-    rows = rows.withColumns({"low": F.when(enough, F.percentile("wave_pct", F.lit(WAVE_TAIL)).over(past)),
-                             "high": F.when(enough, F.percentile("wave_pct", F.lit(1 - WAVE_TAIL)).over(past)),
+    rows = rows.withColumn("_q", F.percentile("wave_pct", F.array(F.lit(WAVE_TAIL), F.lit(1 - WAVE_TAIL))).over(past))
+    rows = rows.withColumns({"low": F.when(enough, F.col("_q")[0]), "high": F.when(enough, F.col("_q")[1]),
                              "rank": average_rank_so_far("wave_pct", group, "trade_date", min_history)})
     rows = streak(rows, group, "trade_date", "flow")
     rows = rows.withColumn("index_window", F.col(index) / F.lag(index, WAVE_SESSIONS).over(w) - 1)
@@ -217,7 +218,7 @@ def flow_waves(daily: DataFrame, group: str = "group_id", min_history: int = WAV
     rows = rows.withColumn("wave", wave)
     rising = F.coalesce(F.col("index_window") > 0, F.lit(False))
     counter = ((F.col("wave") == "redemption") & rising) | ((F.col("wave") == "creation") & ~rising & F.col("index_window").isNotNull())
-    return rows.withColumn("counter", F.coalesce(counter, F.lit(False))).drop("_n", "_f")
+    return rows.withColumn("counter", F.coalesce(counter, F.lit(False))).drop("_n", "_f", "_q")
 
 
 def wave_base(waves: DataFrame) -> DataFrame:

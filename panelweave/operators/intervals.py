@@ -77,16 +77,15 @@ def gaps(bars: DataFrame, calendar: DataFrame, bounds: DataFrame, key: str = "sy
     return runs.join(d0, "i0").join(d1, "i1").select(key, "gap_start", "gap_end", "sessions", "position")
 
 
-def explained_by(gap_rows: DataFrame, intervals: DataFrame, key: str = "symbol", source: str = "source") -> DataFrame:
+def explained_by(gap_rows: DataFrame, intervals: DataFrame, last_day: Column, key: str = "symbol", source: str = "source") -> DataFrame:
     """Names of the sources whose intervals overlap a gap, sorted and joined by commas.
 
-    Both sides are cut by year and meet on (key, year).
+    Both sides are cut by year and meet on (key, year); open intervals reach to ``last_day``.
     """
     def years(df: DataFrame, start: str, end: str) -> DataFrame:
         return df.withColumn("_y", F.explode(F.sequence(F.year(start), F.year(end))))
 
-    horizon = gap_rows.agg(F.max("gap_end")).scalar()
-    closed = intervals.withColumn("_end", F.coalesce(F.col("end_date"), horizon)).filter(F.col("start_date") <= F.col("_end"))
+    closed = intervals.withColumn("_end", F.coalesce(F.col("end_date"), last_day)).filter(F.col("start_date") <= F.col("_end"))
     g, s = years(gap_rows, "gap_start", "gap_end").alias("g"), years(closed, "start_date", "_end").alias("s")
     overlap = ((F.col(f"g.{key}") == F.col(f"s.{key}")) & (F.col("g._y") == F.col("s._y"))
                & (F.col("s.start_date") <= F.col("g.gap_end")) & (F.col("s._end") >= F.col("g.gap_start")))

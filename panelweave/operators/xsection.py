@@ -20,13 +20,12 @@ def group(by: list[str]):
 def winsorize(df: DataFrame, by: list[str], x: str, k: float = 3.0, out: str = "x") -> DataFrame:
     """Clip at median ± k scaled MADs; at the 1st and 99th percentile where the MAD is zero."""
     w = group(by)
-    df = df.withColumn("_med", F.percentile(x, F.lit(0.5)).over(w))
-    df = df.withColumns({"_mad": F.percentile(F.abs(F.col(x) - F.col("_med")), F.lit(0.5)).over(w) * MAD_SCALE,
-                         "_p1": F.percentile(x, F.lit(0.01)).over(w), "_p99": F.percentile(x, F.lit(0.99)).over(w)})
-    low = F.when(F.col("_mad") > 0, F.col("_med") - k * F.col("_mad")).otherwise(F.col("_p1"))
-    high = F.when(F.col("_mad") > 0, F.col("_med") + k * F.col("_mad")).otherwise(F.col("_p99"))
-    return df.withColumn(out, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), low), high))
-                         ).drop("_med", "_mad", "_p1", "_p99")
+    df = df.withColumn("_q", F.percentile(x, F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))).over(w))
+    median = F.col("_q")[1]
+    df = df.withColumn("_mad", F.percentile(F.abs(F.col(x) - median), F.lit(0.5)).over(w) * MAD_SCALE)
+    low = F.when(F.col("_mad") > 0, median - k * F.col("_mad")).otherwise(F.col("_q")[0])
+    high = F.when(F.col("_mad") > 0, median + k * F.col("_mad")).otherwise(F.col("_q")[2])
+    return df.withColumn(out, F.when(F.col(x).isNotNull(), F.least(F.greatest(F.col(x), low), high))).drop("_q", "_mad")
 
 
 def neutralize(df: DataFrame, by: list[str], x: str, industry: str | None, size: str | None,

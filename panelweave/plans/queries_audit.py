@@ -208,6 +208,7 @@ SELECT symbol, min(trade_date) AS gap_start, max(trade_date) AS gap_end, count(*
  CASE WHEN min(trade_date) = any_value(s0) THEN 'head' WHEN max(trade_date) = any_value(s1) THEN 'tail' ELSE 'internal' END AS position FROM r JOIN f USING (symbol) GROUP BY symbol, g""")
 
 
+@views.kept
 def gap_rows(spark, sf):
     daily = views.bars(spark, sf)
     short = F.length("symbol") == 7
@@ -222,7 +223,8 @@ EXPLAINED = """SELECT g.*, (SELECT string_agg(DISTINCT h.source, ',' ORDER BY h.
 
 @query("calendar_gaps", "Q9", oracle("gaps symbol_halts", EXPLAINED))
 def calendar_gaps(spark, sf):
-    return intervals.explained_by(gap_rows(spark, sf), symbol_halts(spark, sf).filter("end_date is not null"))
+    last_day = views.calendar(spark, sf).agg(F.max("trade_date")).scalar()
+    return intervals.explained_by(gap_rows(spark, sf), symbol_halts(spark, sf).filter("end_date is not null"), last_day)
 
 
 @query("gap_histogram", "Q10", oracle("gaps", """

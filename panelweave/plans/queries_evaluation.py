@@ -80,6 +80,7 @@ def forwards(spark, sf):
                                     locked())
 
 
+@views.kept
 def evaluated(spark, sf):
     return z_scores(spark, sf).join(forwards(spark, sf), ["idx", "symbol"])
 
@@ -310,10 +311,15 @@ SUMMARY = ["ic_mean", "ic_ir", "rank_ic_mean", "rank_ic_t", "rank_ic_hit", "cove
            "top_minus_universe_t", "top_minus_bottom_ann", "top_turnover"]
 
 
+@views.kept
+def bucketed(spark, sf):
+    return evaluate.quantile_buckets(evaluated(spark, sf), 1, QUANTILES, MIN_NAMES)
+
+
 def summary_table(spark, sf):
     values = evaluated(spark, sf)
     ic = evaluate.information_coefficients(values, 1, MIN_NAMES)
-    buckets = evaluate.quantile_buckets(values, 1, QUANTILES, MIN_NAMES)
+    buckets = bucketed(spark, sf)
     return evaluate.summary(ic, evaluate.quantile_returns(buckets, QUANTILES), evaluate.top_turnover(buckets, QUANTILES), 12)
 
 

@@ -24,10 +24,12 @@ def members(spark, sf):
         classes(spark, sf), "symbol")
 
 
+@views.kept
 def equal_weight(spark, sf):
     return perf.equal_weight_curve(views.panel(spark, sf), members(spark, sf), views.calendar(spark, sf), schedule(spark, sf))
 
 
+@views.kept
 def curves(spark, sf):
     """Adjusted price of every symbol and the equal-weight benchmark, in long form."""
     prices = views.panel(spark, sf).filter("adj_last is not null").select(

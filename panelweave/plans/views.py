@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..operators import asof, factors, pit, windows
 from ..sources.io import read_table
@@ -39,6 +39,12 @@ def kept(build):
     return view
 
 
+def forget(spark: SparkSession) -> None:
+    """Drop every kept view of the session."""
+    for key in [k for k in _KEPT if k[0] == spark.sparkContext.applicationId]:
+        _KEPT.pop(key).unpersist()
+
+
 def ticks(spark: SparkSession, sf: str) -> DataFrame:
     """One row per trade: price and amount in integer cents, half-up."""
     items = read_table(spark, sf, "lineitem")
@@ -53,9 +59,20 @@ def ticks(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_returnflag").alias("side"))
 
 
+def trade_order() -> Column:
+    """The four keys of a trade as one number.
+
+    A number fits the mutable buffers of a hash aggregation; ordering by a struct
+    would make Spark sort all trades of a partition before it combines them.
+    """
+    key = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")
+    line = (F.col("k1") * 16 + F.col("k2")).cast("decimal(15,0)")
+    return ((line * F.lit(10**12).cast("decimal(13,0)") + key("k3", 12)) * F.lit(10**11).cast("decimal(12,0)") + key("k4", 11)).cast("decimal(38,0)")
+
+
 @kept
 def bars(spark: SparkSession, sf: str) -> DataFrame:
-    sequence = F.struct("k1", "k2", "k3", "k4", "price")
+    sequence = trade_order()
     return ticks(spark, sf).groupBy("symbol", "trade_date").agg(
         F.min_by("price", sequence).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"),
         F.max_by("price", sequence).alias("close"), F.sum("volume").alias("volume"),
@@ -151,32 +168,31 @@ def statements(spark: SparkSession, sf: str) -> DataFrame:
     q = F.quarter("report_date")
     wait = (25 + (F.length("symbol") * 7 + q * 11) % 60).cast("int")
     base = ytd.withColumn("notice_date", F.date_add("report_date", wait))
-    null_long = F.lit(None).cast("long")
-    empty = {n: null_long for n in ("revenue", "operate_cost", "parent_net_profit", "deducted_parent_net_profit",
-                                    "parent_equity", "other_equity_instruments", "preferred_shares",
-                                    "perpetual_bonds", "total_assets", "total_liabilities", "operating_cash_flow")}
-
-    def rows(df: DataFrame, statement: str, version: int, update, fields: dict) -> DataFrame:
-        picked = {**empty, **fields}
-        return df.select("symbol", F.lit(statement).alias("statement"), "report_date", F.lit(version).alias("version"),
-                         "notice_date", update.alias("update_date"), F.lit("G").alias("company_type"),
-                         *[v.alias(n) for n, v in picked.items()])
-
     c = F.col
-    income = lambda v: {"revenue": c(f"rev{v}"), "operate_cost": c(f"cost{v}"),
-                        "parent_net_profit": c(f"gain{v}") - c(f"cost{v}"),
-                        "deducted_parent_net_profit": c(f"gain{v}") - c(f"cost{v}") - 1000}
-    none = F.lit(None).cast("date")
-    restated = base.filter((F.year("report_date") + q) % 3 == 0)
-    balance = {"total_assets": c("assets"), "total_liabilities": c("debts"),
-               "parent_equity": c("assets") - c("debts"),
-               "other_equity_instruments": F.when(q % 2 == 0, F.lit(1000).cast("long")),
-               "preferred_shares": F.lit(500).cast("long")}
-    return (rows(base, "income", 1, none, income(1))
-            .unionByName(rows(restated, "income", 2, F.date_add("notice_date", 120), income(2)))
-            .unionByName(rows(base, "balance", 1, none, balance))
-            .unionByName(rows(base.withColumn("notice_date", F.date_add("notice_date", 3)), "cashflow", 1, none,
-                              {"operating_cash_flow": c("cash1")})))
+    names = ("revenue", "operate_cost", "parent_net_profit", "deducted_parent_net_profit", "parent_equity", "other_equity_instruments",
+             "preferred_shares", "perpetual_bonds", "total_assets", "total_liabilities", "operating_cash_flow")
+
+    def row(statement: str, version: int, notice: Column, update: Column, fields: dict[str, Column]) -> Column:
+        values = [fields.get(n, F.lit(None)).cast("long").alias(n) for n in names]
+        return F.struct(F.lit(statement).alias("statement"), F.lit(version).alias("version"), notice.alias("notice_date"),
+                        update.cast("date").alias("update_date"), *values)
+
+    def income(v: int) -> dict[str, Column]:
+        profit = c(f"gain{v}") - c(f"cost{v}")
+        return {"revenue": c(f"rev{v}"), "operate_cost": c(f"cost{v}"), "parent_net_profit": profit,
+                "deducted_parent_net_profit": profit - 1000}
+
+    balance = {"total_assets": c("assets"), "total_liabilities": c("debts"), "parent_equity": c("assets") - c("debts"),
+               "other_equity_instruments": F.when(q % 2 == 0, 1000), "preferred_shares": F.lit(500)}
+    notice, none = c("notice_date"), F.lit(None)
+    restated = (F.year("report_date") + q) % 3 == 0
+    rows = F.array(row("income", 1, notice, none, income(1)),
+                   F.when(restated, row("income", 2, notice, F.date_add(notice, 120), income(2))),
+                   row("balance", 1, notice, none, balance),
+                   row("cashflow", 1, F.date_add(notice, 3), none, {"operating_cash_flow": c("cash1")}))
+    # One pass over the trades: the statements of a quarter are exploded from one row.
+    return base.select("symbol", "report_date", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("r")).select(
+        "symbol", "report_date", "r.*", F.lit("G").alias("company_type"))
 
 
 @kept
