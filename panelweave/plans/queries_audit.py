@@ -390,9 +390,9 @@ def risk_names_mismatch(spark, sf):
 
 
 @query("reference_coverage", "Q15", oracle("bars share_steps", """
-SELECT DISTINCT symbol FROM bars WHERE trade_date = DATE '1995-02-10' AND symbol NOT IN (SELECT symbol FROM share_steps WHERE notice_date <= DATE '1995-02-10')"""))
+SELECT DISTINCT symbol FROM bars WHERE trade_date = DATE '1995-01-20' AND symbol NOT IN (SELECT symbol FROM share_steps WHERE notice_date <= DATE '1995-01-20')"""))
 def reference_coverage(spark, sf):
-    daily, day = views.bars(spark, sf), F.to_date(F.lit("1995-02-10"))
+    daily, day = views.bars(spark, sf), F.to_date(F.lit("1995-01-20"))
     traded = daily.filter(F.col("trade_date") == day).select("symbol").distinct()
     return traded.join(views.share_events(daily).filter(F.col("notice_date") <= day), "symbol", "left_anti")
 
