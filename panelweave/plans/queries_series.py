@@ -197,6 +197,30 @@ def cooldown_events(spark, sf):
     return series.cooldown(views.returns(spark, sf).filter("ret > 0.5").select("symbol", "idx"), 20)
 
 
-@query("candle_patterns", "G17")
+CANDLES = """
+WITH b AS (SELECT *, abs(close - open) AS body, high - low AS rng, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS n, high - greatest(open, close) AS upper, least(open, close) - low AS lower FROM bars),
+a AS (SELECT *, coalesce(avg(body) OVER p, body) AS ab, coalesce(avg(rng) OVER p, rng) AS ar FROM b WINDOW p AS (PARTITION BY symbol ORDER BY trade_date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, lag(open, 1) OVER w AS open1, lag(open, 2) OVER w AS open2, lag(close, 1) OVER w AS close1, lag(close, 2) OVER w AS close2, lag(body, 1) OVER w AS body1, lag(body, 2) OVER w AS body2, lag(rng, 1) OVER w AS rng1, lag(rng, 2) OVER w AS rng2, lag(upper, 1) OVER w AS upper1, lag(upper, 2) OVER w AS upper2, lag(lower, 1) OVER w AS lower1, lag(lower, 2) OVER w AS lower2, lag(ab, 1) OVER w AS ab1, lag(ab, 2) OVER w AS ab2, lag(ar, 1) OVER w AS ar1, lag(ar, 2) OVER w AS ar2,
+ lag(close, 6) OVER w - lag(close, 1) OVER w AS m0, lag(close, 8) OVER w - lag(close, 3) OVER w AS m2 FROM a WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)),
+f AS (SELECT *, coalesce(m0 >= ar, false) AS falling, coalesce(-m0 >= ar, false) AS rising, coalesce(m2 >= ar2, false) AS falling2, coalesce(-m2 >= ar2, false) AS rising2, n >= 3 AND rng1 > 0 AND rng2 > 0 AS three,
+ body2 >= greatest(ab2, 0.5 * rng2) AND rng2 > 0 AS long2, body1 >= greatest(ab1, 0.5 * rng1) AND rng1 > 0 AS long1, body > body1 AND body >= ab AND body1 >= 0.3::DOUBLE * ab AS engulf, rng >= 0.8::DOUBLE * ar AS single,
+ lower >= 2 * body AND upper <= 0.1::DOUBLE * rng AND body > 0 AS long_low, upper >= 2 * body AND lower <= 0.1::DOUBLE * rng AND body > 0 AS long_up FROM l WHERE true)
+SELECT symbol, trade_date, pattern FROM (SELECT symbol, trade_date, CASE
+ WHEN three AND falling2 AND close2 < open2 AND long2 AND body1 <= 0.3::DOUBLE * body2 AND greatest(open1, close1) <= close2 + 0.1::DOUBLE * body2 AND close > open AND close >= (open2 + close2) / 2 THEN 'morning_star'
+ WHEN three AND rising2 AND close2 > open2 AND long2 AND body1 <= 0.3::DOUBLE * body2 AND least(open1, close1) >= close2 - 0.1::DOUBLE * body2 AND close < open AND close <= (open2 + close2) / 2 THEN 'evening_star'
+ WHEN three AND falling2 AND close > open AND close1 > open1 AND close2 > open2 AND body >= 0.6::DOUBLE * ab AND body1 >= 0.6::DOUBLE * ab1 AND body2 >= 0.6::DOUBLE * ab2 AND upper <= 0.3::DOUBLE * body AND upper1 <= 0.3::DOUBLE * body1 AND upper2 <= 0.3::DOUBLE * body2
+  AND close2 < close1 AND close1 < close AND open2 < open1 AND open1 <= close2 AND open1 < open AND open <= close1 THEN 'three_white_soldiers'
+ WHEN three AND rising2 AND close < open AND close1 < open1 AND close2 < open2 AND body >= 0.6::DOUBLE * ab AND body1 >= 0.6::DOUBLE * ab1 AND body2 >= 0.6::DOUBLE * ab2 AND lower <= 0.3::DOUBLE * body AND lower1 <= 0.3::DOUBLE * body1 AND lower2 <= 0.3::DOUBLE * body2
+  AND close2 > close1 AND close1 > close AND open2 > open1 AND open1 >= close2 AND open1 > open AND open >= close1 THEN 'three_black_crows'
+ WHEN rng1 > 0 AND falling AND engulf AND close1 < open1 AND close > open AND open <= close1 AND close >= open1 THEN 'bullish_engulfing'
+ WHEN rng1 > 0 AND rising AND engulf AND close1 > open1 AND close < open AND open >= close1 AND close <= open1 THEN 'bearish_engulfing'
+ WHEN rng1 > 0 AND falling AND close1 < open1 AND long1 AND close > open AND open < close1 AND close >= (open1 + close1) / 2 AND close < open1 THEN 'piercing'
+ WHEN rng1 > 0 AND rising AND close1 > open1 AND long1 AND close < open AND open > close1 AND close > open1 AND close <= (open1 + close1) / 2 THEN 'dark_cloud'
+ WHEN single AND body <= 0.05::DOUBLE * rng AND rng >= ar AND (falling OR rising) THEN 'doji'
+ WHEN single AND long_low THEN CASE WHEN falling THEN 'hammer' WHEN rising THEN 'hanging_man' END
+ WHEN single AND long_up THEN CASE WHEN falling THEN 'inverted_hammer' WHEN rising THEN 'shooting_star' END END AS pattern FROM f WHERE n >= 2 AND rng > 0 AND ar > 0) WHERE pattern IS NOT NULL"""
+
+
+@query("candle_patterns", "G17", oracle("bars", CANDLES))
 def candle_patterns(spark, sf):
     return series.candles(views.bars(spark, sf))
