@@ -175,7 +175,6 @@ WITH d AS (SELECT trade_date, lag(trade_date) OVER (ORDER BY idx) AS prev FROM c
 SELECT 'report' AS kind, f.symbol, d.trade_date FROM facts f JOIN d ON f.notice_date > d.prev AND f.notice_date <= d.trade_date WHERE f.version = 1 AND f.statement = 'income'
 UNION ALL SELECT 'ex_date', symbol, trade_date FROM dividend_cash"""))
 def day_events(spark, sf):
-    from ..operators.pit import trailing_cash  # noqa: F401
     days = views.calendar(spark, sf)
     notices = views.statements(spark, sf).filter("version = 1 and statement = 'income'").select("symbol", "notice_date")
     reports = asof.next_session(notices, days, "notice_date", inclusive=True, out="idx").join(days, "idx").filter("idx > 1").select(
