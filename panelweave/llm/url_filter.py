@@ -27,6 +27,7 @@ from .common import ascii_lower, let, small_join, stage
 
 #: Bound on the labelled rows that the trees are fitted on, and on the suffixes that are counted from them.
 FIT_ROWS = 20_000
+FOLDS = 5
 
 NUMBERS = ["url_length", "host_length", "path_length", "depth", "digit_ratio", "entropy", "parameters", "hyphens", "labels",
            "query_length", "host_digit_ratio", "host_entropy", "suffix_bad", "suffix_seen"]
@@ -128,9 +129,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 12, depth: i
     suffixes = stage(made.groupBy("_pw_suffix").agg(F.count("*").cast("double").alias("_pw_n"), F.sum("_pw_bad").alias("_pw_b")))
     if bad in (0, n):
         return Model(None, suffixes, share)
-    # each row's own label is taken out of its suffix, else the trees learn the label from it
-    own = made.withColumns({"_pw_n": F.count("*").over(Window.partitionBy("_pw_suffix")) - 1.0,
-                            "_pw_b": F.sum("_pw_bad").over(Window.partitionBy("_pw_suffix")) - F.col("_pw_bad")})
+    # a row sees its suffix's labels from the other folds only, else the trees would read the label from them
+    all_folds, fold = Window.partitionBy("_pw_suffix"), Window.partitionBy("_pw_suffix", F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(FOLDS)))
+    own = made.withColumns({"_pw_n": F.count("*").over(all_folds) - F.count("*").over(fold).cast("double"),
+                            "_pw_b": F.sum("_pw_bad").over(all_folds) - F.sum("_pw_bad").over(fold)})
     vectors = _vectors(own, share).select("_pw_x", "_pw_bad").coalesce(1)
     steps = GBTClassifier(featuresCol="_pw_x", labelCol="_pw_bad", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3,
                           minInstancesPerNode=20, seed=seed, cacheNodeIds=False, checkpointInterval=-1)
