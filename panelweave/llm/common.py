@@ -28,14 +28,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stage(df: DataFrame) -> DataFrame:
+def stage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The files go when the application ends.
+    ``by`` names columns that become folders.  The files go when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/panelweave-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
