@@ -59,7 +59,7 @@ def pack(*arrays: np.ndarray) -> bytes:
     for k, array in enumerate(arrays):
         if k == 0:
             array = np.diff(array, prepend=_U(0))
-        planes = np.ascontiguousarray(np.ascontiguousarray(array).view(np.uint8).reshape(len(array), -1).T).tobytes()
+        planes = np.ascontiguousarray(np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T).tobytes()
         body = pa.Codec("zstd", 1).compress(planes, asbytes=True)
         out += [len(body).to_bytes(8, "little"), body]
     return b"".join(out)
