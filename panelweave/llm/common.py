@@ -66,10 +66,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), lambda w: w != "")
 
 
-def small_join(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str = "inner", rows: int = 20_000) -> DataFrame:
-    """Join with a broadcast of ``right`` when it was counted at ``rows`` rows or less, else as Spark plans it.
+def small_join(left: DataFrame, right: DataFrame, on: list[str] | Column, how: str = "inner", most: int = 8 << 20) -> DataFrame:
+    """Join with a broadcast of ``right`` if its files are known to hold at most ``most`` bytes, else as Spark plans it.
 
-    ``right`` should be staged: it is counted first.
+    ``right`` should come from ``stage``, so that Spark knows the size of its files.
     """
-    few = right.limit(rows + 1).count() <= rows
-    return left.join(F.broadcast(right) if few else right, on, how)
+    size = int(str(right._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return left.join(F.broadcast(right) if size <= most else right, on, how)

@@ -6,11 +6,12 @@ process ends once its next arrival is later than every register (early terminati
 the probability Jaccard similarity of their weighted shingles.  Registers are cut into bands; texts that agree in a band
 meet, and their shingle sets are compared exactly: a link is a Jaccard similarity of at least ``SIMILARITY``.
 
-Equal texts are one class from the start.  Texts that agree in a band are a group.  A group is compared with one leader, so a group of n sends n rows, not n * n
-pairs; as long as a group has members of different classes of which none was a leader, it gets new leaders.  A group of
-more than ``DIVIDE`` classes after the first round (texts that share a frequent passage and little else) is divided by
-the other bands: of two texts as similar as 0.8 that meet at all, fewer than 1 in 1,000 agree in one band only.  Classes
-are the connected components of the links, named by their smallest doc_id.
+Equal texts are one class from the start.  Texts that agree in a band are a group.  First, a group is compared with one leader, so a group of n sends n rows, not
+n * n pairs.  What is then still in another class than most of its group, is compared with the rest of the group inside
+tasks, in tiles of ``TILE`` by ``TILE`` texts; only links leave a task.  A group of more than ``DIVIDE`` classes (texts
+that share a frequent passage and little else) is divided by its members' other bands before that: of two texts as
+similar as 0.8 that meet at all, fewer than 1 in 1,000 agree in one band only.  Classes are the connected components of
+the links, named by their smallest doc_id.
 
 Defined cases: words are split at white space, A-Z lower-cased; a text of fewer than five words is one shingle; texts
 without words (null, empty, blank) are one class; rows that repeat a doc_id and text are one document; a doc_id with
@@ -32,11 +33,9 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Leaders that a group gets in one round, and differing classes from which a group is divided by other bands.
-LEADERS = 8
-DIVIDE = 64
-#: Rows (24 bytes each) that may be broadcast after they were counted.
-SMALL_ROWS = 200_000
+#: Texts on either side of a tile, and differing classes from which a group is divided by other bands.
+TILE = 1024
+DIVIDE = 4096
 #: md5 of the empty text.
 NO_WORDS = bytes.fromhex("d41d8cd98f00b204e9800998ecf8427e")
 
@@ -116,10 +115,10 @@ def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, te
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id and packed shingles of each text (id, text)."""
+    """Packed shingles of each text (id, keys, text)."""
     for batch in batches:
-        packed = [_packed(shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8))[0]) for t in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "shingles"])
+        packed = [_packed(shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8))[0]) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "keys", "shingles"])
 
 
 def _packed(hashes: np.ndarray) -> bytes:
@@ -165,6 +164,38 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "similarity"])
 
 
+def _ragged(lists: list[np.ndarray], some: np.ndarray, member: np.ndarray) -> np.ndarray:
+    """For each of the lists ``some``: how many of its values are in ``member``."""
+    picked = [lists[i] for i in some]
+    ends = np.cumsum([len(x) for x in picked])
+    hits = np.concatenate(([0], np.cumsum(np.isin(np.concatenate(picked), member))))
+    return hits[ends] - hits[np.concatenate(([0], ends[:-1]))]
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """Links between the probes and the targets of one tile (key, whole, probe, id, root, keys, shingles) of a group.
+
+    Pairs of one class are left out and, unless the group is a part, those that meet in another group with a smaller key.
+    """
+    probe = np.array(table.column("probe").to_pylist(), dtype=bool)
+    here, ids, whole = table.column("key")[0].as_py(), table.column("id").to_pylist(), table.column("whole")[0].as_py()
+    _, root = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)
+    keys = [np.array([k for k in x if whole and k < here], dtype=np.int64) for x in table.column("keys").to_pylist()]
+    sets = [np.frombuffer(x, dtype=np.uint32) for x in table.column("shingles").to_pylist()]
+    sizes, targets, found = np.array([len(x) for x in sets]), np.flatnonzero(~probe), []
+    for x in np.flatnonzero(probe):
+        small, large = np.minimum(sizes[x], sizes[targets]), np.maximum(sizes[x], sizes[targets])
+        some = targets[(root[targets] != root[x]) & (small >= SIMILARITY * large)]
+        if len(some) and len(keys[x]):
+            some = some[_ragged(keys, some, keys[x]) == 0]
+        if len(some):
+            shared = _ragged(sets, some, sets[x])
+            similarity = shared / (sizes[x] + sizes[some] - shared)
+            found += [(ids[x], ids[y], v) for y, v in zip(some, similarity, strict=True) if v >= SIMILARITY]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.binary()), "b": pa.array([f[1] for f in found], pa.binary()),
+                     "similarity": pa.array([f[2] for f in found], pa.float64())})
+
+
 def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of text ids, those that are similar enough, with their similarity."""
     own = sets.select("id", "shingles")
@@ -173,28 +204,57 @@ def links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(_similar, "a binary, b binary, similarity double").filter(F.col("similarity") >= SIMILARITY)
 
 
+def links_inside(members: DataFrame, groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between different classes of the open groups: what is not in a group's largest class against all its members."""
+    sized = groups.select("key", "main", F.ceil(F.col("members") / TILE).cast("int").alias("rows"),
+                          F.ceil(F.col("outside") / TILE).cast("int").alias("columns"))
+    rows = small_join(members, sized, ["key"])
+    place = F.xxhash64("id")
+    row, column = F.pmod(place, F.col("rows")).cast("int"), F.pmod(place, F.col("columns")).cast("int")
+    targets = rows.select("key", "id", "root", "whole", F.lit(False).alias("probe"), row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    probes = rows.filter("root <> main").select("key", "id", "root", "whole", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"))
+    filled = small_join(targets.unionByName(probes), sets, ["id"])
+    return filled.groupBy("key", "row", "column").applyInArrow(_tile, "a binary, b binary, similarity double")
+
+
+def _checksum(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(id, root): the smallest id that every end of an edge is connected with; ids without an edge are left out.
+    """(id, root), staged: the smallest id that every end of an edge is connected with; ids without an edge are left out.
 
-    Every id points to its smallest neighbour, neighbours are linked to it in turn, until nothing changes; the number
-    of rounds follows the logarithm of the longest path.
+    Neighbours are handed to the smallest one among them, first those larger than oneself, then the others, until
+    nothing changes; the number of rounds follows the logarithm of the number of edges.
     """
     both = stage(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
-    while True:
-        # large star: larger neighbours to the smallest one; small star: the others likewise
+    seen = _checksum(both)
+    while seen[0]:
         around = both.unionAll(both.select(F.col("b").alias("a"), F.col("a").alias("b")))
         lowest = around.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
-        large = around.join(lowest, "a").filter("b > a AND b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        large = around.join(lowest, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(low, "a")
-        small = small.filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionAll(
-            low.select("a", F.col("low").alias("b"))).distinct()
-        after = stage(small)
-        changed = after.exceptAll(both).limit(1).count() or both.exceptAll(after).limit(1).count()
+        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("low").alias("b")), F.struct(F.col("b").alias("a"), F.col("low").alias("b")))).alias("e"))
+        after = stage(small.select("e.a", "e.b").filter("a <> b").distinct())
+        now = _checksum(after)
         drop_staged(both)
         both = after
-        if not changed:
-            return both.select(F.col("a").alias("id"), F.col("b").alias("root"))
+        if now == seen:
+            break
+        seen = now
+    return both.select(F.col("a").alias("id"), F.col("b").alias("root"))
+
+
+def extend(roots: DataFrame, new: DataFrame) -> DataFrame:
+    """``roots`` (id, root) after the links ``new`` (a, b) have come; both staged."""
+    ends = new.select("a", "b")
+    for end in ("a", "b"):
+        ends = small_join(ends, roots.withColumnsRenamed({"id": end, "root": "_root"}), [end], "left")
+        ends = ends.withColumn(end, F.coalesce("_root", end)).drop("_root")
+    more = components(ends)
+    moved = small_join(roots, more.select(F.col("id").alias("root"), F.col("root").alias("_root")), ["root"], "left")
+    moved = moved.select("id", F.coalesce("_root", "root").alias("root"))
+    return stage(moved.unionByName(more.join(roots.select("id"), "id", "left_anti")))
 
 
 def _id() -> Column:
@@ -203,65 +263,50 @@ def _id() -> Column:
 
 def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
     """``members`` with the root of their id, their own id where it has none."""
-    return small_join(members, roots, ["id"], "left", SMALL_ROWS).withColumn("root", F.coalesce("root", "id"))
+    return small_join(members, roots, ["id"], "left").withColumn("root", F.coalesce("root", "id"))
 
 
 def _open_groups(left: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members of groups that still hold several classes, and their groups with the number of classes."""
-    rooted = stage(_rooted(left, roots))
-    classes = rooted.groupBy("key", "root").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("classes"))
-    groups = stage(classes.filter("classes > 1"))
-    return small_join(rooted, groups, ["key"], "inner", SMALL_ROWS), groups
+    """Members (key, id, root) of groups that still hold several classes; (key, members, outside, classes, main, whole) of these.
 
-
-def _leaders(members: DataFrame, turn: int) -> DataFrame:
-    """(key, leader, leader_root): the first ``LEADERS`` members of each group in an order that changes from turn to turn.
-
-    Built from the smallest per salt, so no group is sorted as a whole.
+    ``main`` is the largest class, ``outside`` the number of members that are not in it, ``whole`` is false for a group's part.
     """
-    place = F.xxhash64(F.lit(turn), "id")
-    spread = F.pmod(F.xxhash64(F.lit(turn + 1), "id"), F.lit(LEADERS))
-    best = members.groupBy("key", spread.alias("salt")).agg(F.min(F.struct(place.alias("place"), "id", "root")).alias("best"))
-    return best.select("key", F.col("best.id").alias("leader"), F.col("best.root").alias("leader_root"))
+    rooted = stage(_rooted(left.select("key", "id", "whole"), roots))
+    classes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.first("whole").alias("whole"))
+    groups = classes.groupBy("key").agg(F.sum("n").alias("members"), F.count("*").alias("classes"), F.first("whole").alias("whole"),
+                                        F.max(F.struct("n", "root")).alias("most"))
+    groups = stage(groups.filter("classes > 1").select(
+        "key", "members", "classes", "whole", (F.col("members") - F.col("most.n")).alias("outside"), F.col("most.root").alias("main")))
+    return small_join(rooted, groups.select("key"), ["key"]), groups
 
 
-def find_links(signed: DataFrame, docs: DataFrame) -> DataFrame:
-    """All links (a, b, similarity) between different texts that share a band, but those inside one class already found."""
+def connect(signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, root), staged: the class of every text that is linked to another text."""
     texts = signed.groupBy("id").agg(F.min("doc_id").alias("doc"), F.first("bands").alias("bands")).filter(F.size("bands") > 0)
     members = stage(texts.select("id", "doc", F.explode("bands").alias("key")))
     groups = stage(members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).filter("n > 1").select("key", "leader"))
-    met = stage(small_join(members, groups, ["key"], "inner", SMALL_ROWS))
+    met = stage(small_join(members, groups, ["key"]))
     drop_staged(members)
-    wanted = stage(met.groupBy("id").agg(F.first("doc").alias("doc")))
+    wanted = stage(met.groupBy("id").agg(F.first("doc").alias("doc"), F.array_sort(F.collect_set("key")).alias("keys")))
     of = docs.select(F.col("doc_id").alias("_pw_doc"), _id().alias("_pw_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = small_join(of, wanted, F.col("_pw_doc").eqNullSafe(F.col("doc")) & (F.col("_pw_id") == F.col("id")), "inner", SMALL_ROWS)
-    sets = stage(own.select("id", "text").mapInArrow(_sets, "id binary, shingles binary").dropDuplicates(["id"]))
+    own = small_join(of, wanted, F.col("_pw_doc").eqNullSafe(F.col("doc")) & (F.col("_pw_id") == F.col("id")))
+    sets = stage(own.select("id", "keys", "text").mapInArrow(_sets, "id binary, keys array<long>, shingles binary").dropDuplicates(["id"]))
     pairs = met.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    found = stage(links(pairs, sets))
-    left, turn = met.filter("id <> leader").select("key", "id"), 1
-    while True:
-        members, groups = _open_groups(left, components(found))
-        if groups.isEmpty():
-            return found
-        if turn == 1:
-            wide = groups.filter(F.col("classes") > DIVIDE).select("key")
-            if not wide.isEmpty():
-                members, groups = _divided(members, stage(wide), met, components(found))
-        leaders = stage(_leaders(members, turn))
-        pairs = members.join(leaders, "key").filter("root <> leader_root").select(
-            F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        found = stage(found.unionByName(links(pairs, sets)))
-        used = leaders.select("key", F.col("leader").alias("id"))
-        left, turn = stage(members.select("key", "id").join(used, ["key", "id"], "left_anti")), turn + 1
-
-
-def _divided(members: DataFrame, wide: DataFrame, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Open groups with the ``wide`` ones divided by the other bands that their members share."""
-    rest = members.join(wide, "key", "left_anti").select("key", "id")
+    roots = components(links(pairs, sets))
+    members, groups = _open_groups(met.withColumn("whole", F.lit(True)), roots)
+    if not groups.filter(F.col("classes") > DIVIDE).isEmpty():
+        members, groups = _divided(members, groups, met, roots)
+    return extend(roots, stage(links_inside(members, groups, sets)))
+
+
+def _divided(members: DataFrame, groups: DataFrame, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Open groups, those of more than ``DIVIDE`` classes divided by the other bands that their members share."""
+    wide = groups.filter(F.col("classes") > DIVIDE).select("key")
+    rest = members.join(wide, "key", "left_anti").select("key", "id", F.lit(True).alias("whole"))
     inside = members.join(wide, "key").select(F.col("key").alias("first"), "id")
     parts = (inside.join(met.select("id", F.col("key").alias("second")), "id").filter("first <> second")
-             .select(F.xxhash64("first", "second").alias("key"), "id"))
-    return _open_groups(stage(rest.unionByName(parts)), roots)
+             .select(F.xxhash64("first", "second").alias("key"), "id", F.lit(False).alias("whole")))
+    return _open_groups(rest.unionByName(parts), roots)
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -274,7 +319,7 @@ def sign(docs: DataFrame) -> DataFrame:
 def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, id, root, staged), (roots: root, class_id, class_text, class_size, staged)."""
     signed = sign(docs)
-    rows = stage(_rooted(signed.select("doc_id", "id"), components(find_links(signed, docs))))
+    rows = stage(_rooted(signed.select("doc_id", "id"), connect(signed, docs)))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("first")
     roots = rows.groupBy("root").agg(first, F.count("*").alias("class_size"))
     return rows, stage(roots.select("root", F.col("first.doc_id").alias("class_id"), F.col("first.id").alias("class_text"), "class_size"))
@@ -284,7 +329,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """For every row of ``docs``: doc_id, class_id (the smallest doc_id of its class) and class_size (rows)."""
     rows, roots = _classes(docs)
     shared = stage(roots.filter("class_size > 1"))
-    out = small_join(rows, shared, ["root"], "left", SMALL_ROWS)
+    out = small_join(rows, shared, ["root"], "left")
     alone = F.col("class_size").isNull()
     return out.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"))
@@ -294,12 +339,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class, that of its smallest doc_id."""
     rows, roots = _classes(docs)
     shared = stage(roots.filter("class_size > 1"))
-    inside = stage(small_join(rows, shared, ["root"], "inner", SMALL_ROWS))
+    inside = stage(small_join(rows, shared, ["root"]))
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("id") == F.col("class_text"))
     gone = stage(inside.filter(~first).select(F.col("doc_id").alias("_pw_doc"), F.col("id").alias("_pw_gone")).distinct())
     blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACE)) == ""
     own = docs.withColumn("_pw_id", F.when(blank, F.lit(NO_WORDS)).otherwise(_id()))
-    kept = small_join(own, gone, F.col("doc_id").eqNullSafe(F.col("_pw_doc")) & (F.col("_pw_id") == F.col("_pw_gone")), "left_anti", SMALL_ROWS)
+    kept = small_join(own, gone, F.col("doc_id").eqNullSafe(F.col("_pw_doc")) & (F.col("_pw_id") == F.col("_pw_gone")), "left_anti")
     repeated = inside.filter(first).groupBy("root").count().filter("count > 1")
     if not repeated.isEmpty():
         kept = kept.dropDuplicates(["doc_id", "_pw_id"])
