@@ -87,10 +87,11 @@ def latest_per_key(df: DataFrame, key: list[str], order: list[str], values: list
     return df.groupBy(*key).agg(F.max_by(F.struct(*kept), F.struct(*order)).alias("_r")).select(*key, "_r.*")
 
 
-def search(df: DataFrame, text: str, code: str, name: str, last_if: Column, limit: int) -> DataFrame:
-    """Codes by prefix or names by substring; rows matching ``last_if`` come last."""
+def search(df: DataFrame, text: str, code: str, name: str, last_if: Column, limit: int | None = None) -> DataFrame:
+    """Codes by prefix or names by substring; rows matching ``last_if`` come last.  All of them, unless ``limit`` asks for the first."""
     found = df.filter(F.col(code).startswith(text) | F.col(name).contains(text))
-    return found.withColumn("_last", last_if.cast("int")).orderBy("_last", code).limit(limit).drop("_last")
+    ordered = found.withColumn("_last", last_if.cast("int")).orderBy("_last", code)
+    return (ordered if limit is None else ordered.limit(limit)).drop("_last")
 
 
 def day_overview(bars: DataFrame, calendar: DataFrame, day: str, limit: float) -> DataFrame:

@@ -264,3 +264,9 @@ def snapshot_session(snaps: DataFrame, calendar: DataFrame, at: str) -> DataFram
     intraday = F.coalesce("_open", F.lit(False)) & (clock >= SESSION_OPEN) & (clock < FINAL_TIME)
     return open_today.withColumns({"kind": F.when(intraday, "intraday").otherwise("post_close"),
                                    "session": F.when(~intraday, F.col("session"))}).drop("_all", "_cut", "_day", "_open")
+
+
+def last_final_session(events: DataFrame, time: str, close: str = "15:00") -> Column:
+    """Last day that has an event at or after the close, as a scalar; a later day is still open."""
+    closed = events.filter(F.date_format(time, "HH:mm") >= close)
+    return closed.agg(F.max(F.to_date(time))).scalar()

@@ -295,12 +295,12 @@ def corporate_actions_enriched(spark, sf):
 
 
 @query("corporate_action_list", "M10", oracle("actions", """
-SELECT o_orderkey, symbol, day, direction FROM actions WHERE day BETWEEN DATE '2001-03-01' AND DATE '2001-06-30' AND direction <> 'reduce' AND industry = 'LARGE' AND amount / cap >= 1e-7 ORDER BY day DESC, o_orderkey LIMIT 200"""))
+SELECT o_orderkey, symbol, day, direction FROM actions WHERE day BETWEEN DATE '2001-03-01' AND DATE '2001-06-30' AND direction <> 'reduce' AND industry = 'LARGE' AND amount / cap >= 1e-7 ORDER BY day DESC, o_orderkey"""))
 def corporate_action_list(spark, sf):
     a = actions(spark, sf)
     days = F.col("day").between(F.to_date(F.lit("2001-03-01")), F.to_date(F.lit("2001-06-30")))
     return a.filter(days & (F.col("direction") != "reduce") & (F.col("industry") == "LARGE") & (F.col("amount") / F.col("cap") >= 1e-7)).orderBy(
-        F.desc("day"), "o_orderkey").limit(200).select("o_orderkey", "symbol", "day", "direction")
+        F.desc("day"), "o_orderkey").select("o_orderkey", "symbol", "day", "direction")
 
 
 @query("action_industry_summary", "M11", oracle("actions", """

@@ -397,11 +397,11 @@ def reference_coverage(spark, sf):
 
 
 @query("trades_vs_bars", "Q16", oracle("ticks bars", """
-WITH t AS (SELECT symbol, trade_date, CAST(sum(amount) FILTER (k2 < 7) AS BIGINT) AS trade_amount, arg_max(price, row(k1, k2, k3, k4, price)) FILTER (k2 < 7) AS trade_last FROM ticks WHERE k2 < 7 GROUP BY 1, 2)
+WITH t AS (SELECT symbol, trade_date, CAST(sum(amount) FILTER (price % 97 > 0) AS BIGINT) AS trade_amount, arg_max(price, row(k1, k2, k3, k4, price)) AS trade_last FROM ticks GROUP BY 1, 2)
 SELECT symbol, trade_date, t.trade_amount, t.trade_last, b.amount AS bar_amount, b.close AS bar_last, CASE WHEN b.amount IS NULL THEN 'no_bars' WHEN t.trade_amount IS NULL THEN 'no_trades'
  WHEN b.amount <= 0 OR abs(t.trade_amount / b.amount - 1) > 0.02 THEN 'amount' WHEN abs(t.trade_last - b.close) > 0.0015 THEN 'last_price' ELSE 'ok' END AS verdict FROM bars b FULL JOIN t USING (symbol, trade_date)"""))
 def trades_vs_bars(spark, sf):
-    trades = views.ticks(spark, sf).filter("k2 < 7").withColumn("seq", F.struct("k1", "k2", "k3", "k4", "price"))
+    trades = views.ticks(spark, sf).withColumn("amount", F.when(F.col("price") % 97 > 0, F.col("amount"))).withColumn("seq", F.struct("k1", "k2", "k3", "k4", "price"))
     daily = views.bars(spark, sf).withColumn("time", F.lit(1))
     return quality.reconcile_trades(trades, daily, ["symbol", "trade_date"])
 

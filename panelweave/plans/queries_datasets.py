@@ -378,9 +378,10 @@ def zero_prices_to_null(spark, sf):
 
 @query("intraday_normalized", "N27", """
 SELECT event_id, event_type AS symbol, CAST(ts AS DATE) AS trade_date, strftime(ts, '%H:%M') AS time, round(value * 100, 2) AS volume,
- CASE event_type WHEN 'purchase' THEN 'B' WHEN 'error' THEN 'S' ELSE 'N' END AS side FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-20'""")
+ CASE event_type WHEN 'purchase' THEN 'B' WHEN 'error' THEN 'S' ELSE 'N' END AS side FROM events WHERE CAST(ts AS DATE) <= (SELECT max(CAST(ts AS DATE)) FROM events WHERE strftime(ts, '%H:%M') >= '15:00')""")
 def intraday_normalized(spark, sf):
-    e = read_table(spark, sf, "events").filter(F.to_date("ts") <= F.to_date(F.lit("2024-01-20")))
+    e = read_table(spark, sf, "events")
+    e = e.filter(F.to_date("ts") <= normalize.last_final_session(e, "ts"))
     side = F.when(F.col("event_type") == "purchase", "B").when(F.col("event_type") == "error", "S").otherwise("N")
     return e.select("event_id", F.col("event_type").alias("symbol"), F.to_date("ts").alias("trade_date"), F.date_format("ts", "HH:mm").alias("time"),
                     F.round(F.col("value") * 100, 2).alias("volume"), side.alias("side"))
@@ -419,12 +420,12 @@ def upsert_newest(spark, sf):
 
 
 @query("insert_first_wins", "U2 U4", """
-WITH e AS (SELECT * FROM lineitem WHERE l_returnflag = 'A'), i AS (SELECT * FROM lineitem WHERE l_returnflag = 'R')
+WITH e AS (SELECT * FROM lineitem WHERE l_returnflag = 'A'), i AS (SELECT * FROM lineitem WHERE l_returnflag <> 'A')
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate FROM e UNION ALL
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_shipdate FROM (SELECT * FROM i ANTI JOIN e USING (l_orderkey, l_linenumber)
  QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey) = 1)""")
 def insert_first_wins(spark, sf):
-    return upsert.insert_only(lines(spark, sf, "A"), lines(spark, sf, "R"), LINES, newest())
+    return upsert.insert_only(lines(spark, sf, "A"), lines(spark, sf, "N", "R"), LINES, newest())
 
 
 @query("latest_plan_state", "U3", """
@@ -459,7 +460,7 @@ def latest_notice_tables(spark, sf):
 
 
 @query("replace_partition_keys", "U8", """
-WITH i AS (SELECT * FROM lineitem WHERE l_shipdate >= DATE '2000-01-01' AND l_returnflag = 'R')
+WITH i AS (SELECT * FROM lineitem WHERE l_shipdate >= DATE '2000-01-01')
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem WHERE l_shipdate < DATE '2000-01-01' AND l_orderkey NOT IN (SELECT l_orderkey FROM i)
 UNION ALL SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM i""")
 def replace_partition_keys(spark, sf):
@@ -467,7 +468,7 @@ def replace_partition_keys(spark, sf):
     cut = F.to_date(F.lit("2000-01-01"))
     cols = [*LINES, "l_partkey", "l_suppkey"]
     return upsert.replace_symbols(l.filter(F.col("l_shipdate") < cut).select(*cols),
-                                  l.filter((F.col("l_shipdate") >= cut) & (F.col("l_returnflag") == "R")).select(*cols), ["l_orderkey"])
+                                  l.filter(F.col("l_shipdate") >= cut).select(*cols), ["l_orderkey"])
 
 
 @query("carry_forward_vanished", "U9", oracle("master", """
@@ -479,10 +480,18 @@ def carry_forward_vanished(spark, sf):
 
 
 @query("frame_equality", "U10", """
-SELECT (SELECT count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A' EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R')) AS only_left,
- (SELECT count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'R' EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A')) AS only_right, false AS equal""")
+WITH a AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag = 'A'), r AS (SELECT l_partkey, l_suppkey FROM lineitem WHERE l_returnflag <> 'A'),
+c AS (SELECT 'flags' AS compared, (SELECT count(*) FROM (FROM a EXCEPT ALL FROM r)) AS only_left, (SELECT count(*) FROM (FROM r EXCEPT ALL FROM a)) AS only_right
+ UNION ALL SELECT 'halves', (SELECT count(*) FROM (SELECT * FROM a UNION ALL SELECT * FROM r EXCEPT ALL SELECT l_partkey, l_suppkey FROM lineitem)),
+ (SELECT count(*) FROM (SELECT l_partkey, l_suppkey FROM lineitem EXCEPT ALL (SELECT * FROM a UNION ALL SELECT * FROM r))))
+SELECT compared, only_left, only_right, only_left = 0 AND only_right = 0 AS equal FROM c""")
 def frame_equality(spark, sf):
-    return upsert.frames_equal(lines(spark, sf, "A").select("l_partkey", "l_suppkey"), lines(spark, sf, "R").select("l_partkey", "l_suppkey"))
+    """Lines of one flag against all others (they differ), and both together against the whole table (equal)."""
+    pair = lambda df: df.select("l_partkey", "l_suppkey")
+    a, rest = pair(lines(spark, sf, "A")), pair(lines(spark, sf, "N", "R"))
+    out = upsert.frames_equal(a, rest).withColumn("compared", F.lit("flags"))
+    both = upsert.frames_equal(a.unionAll(rest), pair(read_table(spark, sf, "lineitem"))).withColumn("compared", F.lit("halves"))
+    return out.unionByName(both)
 
 
 @query("minute_to_daily_totals", "U11", """
@@ -529,10 +538,14 @@ def dataset_diff(spark, sf):
 
 
 @query("missing_windows", "S14", oracle("calendar bars", """
-SELECT c.trade_date FROM calendar c ANTI JOIN (SELECT DISTINCT trade_date FROM bars WHERE symbol = 'Brand#3') b USING (trade_date)"""))
+SELECT s.symbol, c.trade_date FROM (SELECT symbol, min(trade_date) AS a, max(trade_date) AS b FROM bars GROUP BY 1) s JOIN calendar c ON c.trade_date BETWEEN s.a AND s.b
+ANTI JOIN bars x ON x.symbol = s.symbol AND x.trade_date = c.trade_date"""))
 def missing_windows(spark, sf):
-    done = views.bars(spark, sf).filter("symbol = 'Brand#3'")
-    return upsert.missing_windows(views.calendar(spark, sf).select("trade_date"), done, ["trade_date"])
+    """Sessions between a symbol's first and last bar that were never fetched."""
+    done, calendar = views.bars(spark, sf).select("symbol", "trade_date"), views.calendar(spark, sf).select("trade_date", "idx")
+    spans = done.join(calendar, "trade_date").groupBy("symbol").agg(F.min("idx").alias("a"), F.max("idx").alias("b"))
+    wanted = spans.select("symbol", F.explode(F.sequence("a", "b")).alias("idx")).join(calendar, "idx")
+    return upsert.missing_windows(wanted.select("symbol", "trade_date"), done, ["symbol", "trade_date"])
 
 
 @query("fixture_extract", "S15", """

@@ -110,15 +110,16 @@ def latest_close(spark, sf):
     return market.latest_per_key(views.bars(spark, sf), ["symbol"], ["trade_date"], ["trade_date", "close"])
 
 
-@query("symbol_search", "M3", """
-SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_name LIKE 'Customer#00000012%' OR contains(c_name, '99')
-ORDER BY CAST(c_acctbal < 0 AS INTEGER), c_name LIMIT 50""")
+#: What is searched for: the start of a code or a part of a name.
+SEARCHED = "12"
+
+
+@query("symbol_search", "M3", f"""
+SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE CAST(c_custkey AS VARCHAR) LIKE '{SEARCHED}%' OR contains(c_name, '{SEARCHED}')""")
 def symbol_search(spark, sf):
     from ..sources.io import read_table
-    customers = read_table(spark, sf, "customer")
-    found = customers.filter(F.col("c_name").startswith("Customer#00000012") | F.col("c_name").contains("99"))
-    return (found.orderBy((F.col("c_acctbal") < 0).cast("int"), "c_name").limit(50)
-            .select("c_custkey", "c_name", "c_mktsegment"))
+    customers = read_table(spark, sf, "customer").withColumn("code", F.col("c_custkey").cast("string"))
+    return market.search(customers, SEARCHED, "code", "c_name", F.col("c_acctbal") < 0).select("c_custkey", "c_name", "c_mktsegment")
 
 
 @query("index_directory", "M4", oracle("bars", """

@@ -256,7 +256,7 @@ def risk_factor_covariance(spark, sf):
 @query("specific_variance", "P16")
 def specific_variance(spark, sf):
     errors = risk.residuals(exposure_rows(spark, sf), factor_return_series(spark, sf), EXPOSURES)
-    at = 1800
+    at = inputs(spark, sf).agg(F.max("idx")).first()[0] or 0
     caps = inputs(spark, sf).filter(F.col("idx") == at).select("symbol", F.col("float_mcap").alias("cap"))
     return rounded(risk.specific_variance(errors, caps, at, 90, 60, 60), "variance")
 

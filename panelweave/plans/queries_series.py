@@ -46,7 +46,7 @@ def volume_surges(spark, sf):
 # -- structures -------------------------------------------------------------------------------
 
 define("structured", "panel", """
-WITH n AS (SELECT symbol, max(adj_last) AS neckline FROM panel WHERE idx <= 20 GROUP BY 1)
+WITH n AS (SELECT symbol, max(adj_last) AS neckline FROM (SELECT symbol, adj_last, row_number() OVER (PARTITION BY symbol ORDER BY idx) AS k FROM panel) WHERE k <= 20 GROUP BY 1)
 SELECT p.symbol, p.idx, p.adj_last AS close, n.neckline * 1.01 AS neckline, n.neckline * 1.4 AS target FROM panel p JOIN n USING (symbol)""")
 define("phases", "structured", """
 WITH a AS (SELECT *, min(CASE WHEN close > neckline THEN idx END) OVER w AS on_ FROM structured WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS UNBOUNDED PRECEDING)),
@@ -56,9 +56,14 @@ d AS (SELECT *, min(CASE WHEN idx > re AND close <= peak * 0.7 THEN idx END) OVE
 SELECT *, CASE WHEN ex IS NOT NULL THEN 'exhausted' WHEN re IS NOT NULL THEN 'realized' WHEN on_ IS NOT NULL THEN 'active' ELSE 'pending' END AS phase, (close - neckline) / (target - neckline) AS completion FROM d""")
 
 
+#: A symbol's neckline is the highest price of its own first sessions.
+NECK_SESSIONS = 20
+
+
 def structured(spark, sf):
     p = views.panel(spark, sf)
-    necks = p.filter("idx <= 20").groupBy("symbol").agg(F.max("adj_last").alias("m"))
+    opening = p.withColumn("k", F.row_number().over(windows.series("symbol", "idx"))).filter(F.col("k") <= NECK_SESSIONS)
+    necks = opening.groupBy("symbol").agg(F.max("adj_last").alias("m"))
     return p.join(necks, "symbol").select("symbol", "idx", F.col("adj_last").alias("close"), (F.col("m") * 1.01).alias("neckline"), (F.col("m") * 1.4).alias("target"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import options
+from ..operators import accounts, normalize, options
 from ..sources.io import read_table
 from ..streaming import jobs, monitors
 from . import queries_structure  # noqa: F401  (its SQL views are used below)
@@ -13,6 +13,8 @@ from .queries_evaluation import rounded
 from .registry import query
 
 BIG = 60.0
+#: The event files hold a month in no order, so nothing in it may count as late.
+SPAN = "40 days"
 define("trades", "", """
 SELECT event_id AS seq, ts, CAST(ts AS DATE) AS day, 'g' || CAST(user_id % 5 AS VARCHAR) AS group_id, CAST(user_id AS VARCHAR) AS symbol, value AS amount, CASE WHEN event_type IN ('purchase', 'click') THEN 'B' WHEN event_type = 'error' THEN 'S' ELSE 'N' END AS side FROM events""")
 define("minutes", "trades", f"""
@@ -45,10 +47,9 @@ def session_minutes(spark, sf):
 
 
 @query("session_minutes_stream", "ST1 ST2 ST3 ST10", oracle("minutes", f"SELECT group_id, day, minute, {sums(MEASURES)} FROM minutes"))
-def session_minutes_stream(spark, sf):
+def session_minutes_stream(spark, sf, files=None):
     """The same table from the stream: duplicates dropped within the watermark, totals in state."""
-    # The file holds a month in one piece; the watermark covers it so that nothing counts as late.
-    stream = jobs.trades_stream(jobs.file_stream(spark, sf, "events"), late="40 days")
+    stream = jobs.trades_stream(jobs.file_stream(spark, sf, "events", files), late=SPAN)
     written = jobs.run_available(jobs.cumulative_stream(stream, BIG), "update", "minutes")
     return r4(jobs.newest(written, ["group_id", "day", "minute"]), *MEASURES)
 
@@ -58,9 +59,12 @@ def session_replay(spark, sf):
     return r4(monitors.cumulate(monitors.minute_table(trades(spark, sf), BIG)), *MEASURES, "big_net_recent")
 
 
-@query("sliding_half_hours_stream", "ST3")
-def sliding_half_hours_stream(spark, sf):
-    stream = jobs.trades_stream(jobs.file_stream(spark, sf, "events"), late="40 days")
+@query("sliding_half_hours_stream", "ST3", oracle("trades", f"""
+SELECT group_id, time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL 10 MINUTE * k AS start, time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL 10 MINUTE * k + INTERVAL 30 MINUTE AS "end",
+ round(coalesce(sum(amount) FILTER (side = 'B' AND amount >= {BIG}), 0) - coalesce(sum(amount) FILTER (side = 'S' AND amount >= {BIG}), 0), 4) + 0.0::DOUBLE AS big_net, count(*) AS trades
+FROM trades, range(3) t(k) GROUP BY ALL"""))
+def sliding_half_hours_stream(spark, sf, files=None):
+    stream = jobs.trades_stream(jobs.file_stream(spark, sf, "events", files), late=SPAN)
     written = jobs.run_available(jobs.sliding_stream(stream, BIG), "update", "sliding")
     return r4(jobs.newest(written, ["group_id", "start", "end"]), "big_net")
 
@@ -112,26 +116,26 @@ def session_alerts(spark, sf):
 
 @query("alert_once_stream", "ST5", oracle("trades", """
 SELECT group_id, side, day FROM trades WHERE amount >= 150 AND side <> 'N' GROUP BY 1, 2, 3"""))
-def alert_once_stream(spark, sf):
-    side = jobs.file_stream(spark, sf, "events")
-    stream = jobs.trades_stream(side, late="40 days").drop("seq")
+def alert_once_stream(spark, sf, files=None):
+    stream = jobs.trades_stream(jobs.file_stream(spark, sf, "events", files), late=SPAN).drop("seq")
     alerts = jobs.alert_stream(stream, 150.0)
     return jobs.run_available(alerts, "append", "alerts").select("group_id", "side", "day")
 
 
 @query("late_sources", "ST10", """
-SELECT event_type AS source, count(*) FILTER (CAST(ts AS DATE) = DATE '2024-01-20') AS current_rows, count(*) FILTER (CAST(ts AS DATE) < DATE '2024-01-20') AS stale_rows FROM events WHERE CAST(ts AS DATE) <= DATE '2024-01-20' GROUP BY 1""")
+WITH f AS (SELECT max(CAST(ts AS DATE)) AS final FROM events WHERE strftime(ts, '%H:%M') >= '15:00')
+SELECT event_type AS source, count(*) FILTER (CAST(ts AS DATE) = final) AS current_rows, count(*) FILTER (CAST(ts AS DATE) < final) AS stale_rows FROM events, f WHERE CAST(ts AS DATE) <= final GROUP BY 1""")
 def late_sources(spark, sf):
-    day, cut = F.to_date("ts"), F.to_date(F.lit("2024-01-20"))
-    return read_table(spark, sf, "events").filter(day <= cut).groupBy(F.col("event_type").alias("source")).agg(
+    events = read_table(spark, sf, "events")
+    day, cut = F.to_date("ts"), normalize.last_final_session(events, "ts")
+    return events.filter(day <= cut).groupBy(F.col("event_type").alias("source")).agg(
         F.count_if(day == cut).alias("current_rows"), F.count_if(day < cut).alias("stale_rows"))
 
 
 @query("account_stream", "ST7 P18")
-def account_stream(spark, sf):
-    """The account fold as a stateful stream over the line-item files."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", jobs.ROCKSDB)
-    items = jobs.file_stream(spark, sf, "lineitem")
+def account_stream(spark, sf, files=None):
+    """The account fold over line-item files in any order: accounts that a batch touches are folded again by day."""
+    items = jobs.file_stream(spark, sf, "lineitem", files)
     parts = read_table(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("symbol"))
     orders = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("account"))
     rows = items.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
@@ -139,13 +143,14 @@ def account_stream(spark, sf):
     event = F.concat_ws("-", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))
     events = rows.select("account", "symbol", F.to_date("l_shipdate").alias("day"), event.alias("event_id"), F.when(F.col("l_returnflag") == "R", "sell").otherwise("buy").alias("side"),
                          F.col("l_quantity").cast("long").alias("shares"), (F.col("l_quantity").cast("long") * price).alias("amount"))
-    return jobs.run_available(jobs.position_stream(events), "append", "positions").drop("batch_id")
+    return jobs.run_touched(events, ["account", "symbol"], "positions", accounts.fold_positions)
 
 
 @query("volatility_stream", "ST8 O4", oracle("terms", "SELECT underlying, day, term, strikes, round(variance, 6) AS variance FROM terms"))
-def volatility_stream(spark, sf):
-    """Every micro-batch of quotes priced by the batch operator inside ``foreachBatch``."""
+def volatility_stream(spark, sf, files=None):
+    """Quotes in any number of batches: a term is priced again from all its quotes when a batch brings new ones."""
     from .queries_structure import quotes_from
-    stream = quotes_from(jobs.file_stream(spark, sf, "lineitem"))
-    written = jobs.run_available(stream, "append", "volatility", lambda batch: options.term_variance(batch, ["underlying", "day", "term"], 0.015))
+    keys = ["underlying", "day", "term"]
+    stream = quotes_from(jobs.file_stream(spark, sf, "lineitem", files))
+    written = jobs.run_touched(stream, keys, "volatility", lambda quotes: options.term_variance(quotes, keys, 0.015))
     return rounded(written.select("underlying", "day", "term", "strikes", "variance"), "variance")

@@ -216,11 +216,15 @@ def walk_forward_classifier(spark, sf):
         "label": (F.lead("adj_last", 5).over(windows.series("symbol", "idx")) > F.col("adj_last")).cast("double")})
     data = VectorAssembler(inputCols=x, outputCol="features").transform(rows.dropna(subset=[*x, "label", "known"])).select(
         "symbol", "idx", "trade_date", "known", "label", "features").persist()
-    out = None
-    for year in (1998, 1999, 2000):  # three out-of-sample years, each with its own fit
+    # one fit for each year that has outcomes known before it; years are few, as sessions are days
+    known = data.groupBy(F.year("known").alias("y")).agg(F.countDistinct("label").alias("labels"))
+    first = known.agg(F.min("y")).first()[0]
+    years = [r["y"] for r in data.select(F.year("trade_date").alias("y")).distinct().orderBy("y").collect() if first is not None and r["y"] > first]
+    out = spark.createDataFrame([], "year long, n long, accuracy double")
+    for year in years:
         start = F.to_date(F.lit(f"{year}-01-01"))
         model = LogisticRegression(maxIter=20, regParam=0.01).fit(data.filter(F.col("known") < start))
         part = model.transform(data.filter(F.year("trade_date") == year)).groupBy(F.year("trade_date").cast("long").alias("year")).agg(
             F.count("*").alias("n"), r6(F.avg((F.col("prediction") == F.col("label")).cast("int"))).alias("accuracy"))
-        out = part if out is None else out.unionByName(part)
+        out = out.unionByName(part)
     return out

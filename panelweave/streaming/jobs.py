@@ -11,38 +11,62 @@ import os
 import tempfile
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.accounts import FOLD_SCHEMA, position_step
 from . import monitors
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder (a temporary one only where none is set)."""
+    """A new folder under the cluster's shared checkpoint folder; a temporary one only for a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        return tempfile.mkdtemp(prefix=f"{name}-")
-    return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    if root:
+        return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def file_stream(spark: SparkSession, directory: str, name: str, files_per_batch: int | None = None) -> DataFrame:
+    """A table as a stream with the table's own schema: a folder of part files, or a single file."""
+    path = f"{directory}/{name}.parquet"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+    return reader.parquet(path)
+
+
+def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
+    """Process everything that is there and return the written rows with their batch id."""
+    return _run(stream, mode, name, lambda batch, batch_id, folder: batch)
 
 
-def file_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    """A table's files as a stream with the table's own schema."""
-    schema = spark.read.parquet(f"{directory}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(directory)
+def run_touched(stream: DataFrame, keys: list[str], name: str, operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Apply a batch operator per key to all rows of the key so far, whenever a micro-batch touches the key.
 
+    Rows may come in any order and in any number of batches: a batch is added to a log, the keys it touches are worked
+    out again from the log, and the newest result of a key is returned.
+    """
+    def work(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
+        batch.write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
+        log = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/log")
+        touched = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/log/batch_id={batch_id}").select(*keys).distinct()
+        # a touched key is written even when nothing comes of it now, so that an older result does not stand
+        return touched.join(operator(log.join(touched, keys, "left_semi")).withColumn("_found", F.lit(True)), keys, "left")
 
-def run_available(stream: DataFrame, mode: str, name: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Process everything that is there and return the written rows with their batch id."""
+    written = _run(stream, "append", name, work)
+    last = written.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return written.filter("_found").join(last, [*keys, "batch_id"], "left_semi").drop("batch_id", "_found")
+
+
+def _run(stream: DataFrame, mode: str, name: str, work: Callable[[DataFrame, int, str], DataFrame]) -> DataFrame:
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = prepare(batch) if prepare else batch
-        rows.write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+        work(batch, batch_id, folder).write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
 
     query = (stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{folder}/state")
              .trigger(availableNow=True).start())
@@ -56,8 +80,12 @@ def newest(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("_r")).select(*keys, "_r.*")
 
 
-def trades_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Events as trades: re-read rows are dropped by their sequence number, older sessions by the watermark."""
+def trades_stream(events: DataFrame, late: str = "1 day") -> DataFrame:
+    """Events as trades; re-read rows are dropped by their sequence number.
+
+    ``late`` is how far behind the newest trade a row may come: a session for a live feed, whose state then holds a
+    session.  Rows that come later are dropped; for files in no order it must cover their whole span.
+    """
     side = F.when(F.col("event_type").isin("purchase", "click"), "B").when(F.col("event_type") == "error", "S").otherwise("N")
     rows = events.select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.to_date("ts").alias("day"),
                          F.concat(F.lit("g"), (F.col("user_id") % 5).cast("string")).alias("group_id"), F.col("user_id").cast("string").alias("symbol"),
@@ -83,32 +111,6 @@ def sliding_stream(trades: DataFrame, big: float) -> DataFrame:
 
 def alert_stream(trades: DataFrame, least: float) -> DataFrame:
     """The first large trade per (group, side, day) raises the only alert of that day."""
-    return trades.filter((F.col("amount") >= least) & (F.col("side") != "N")).dropDuplicatesWithinWatermark(
-        ["group_id", "side", "day"]) if trades.isStreaming else trades
-
-
-class PositionProcessor(StatefulProcessor):
-    """The account fold with its state in the state store: one value per (account, symbol)."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("position", "quantity long, sellable long, cost long, day date, seen string")
-
-    def handleInputRows(self, key, rows, timerValues):
-        held = self.state.get() if self.state.exists() else None
-        state = dict(zip(("quantity", "sellable", "cost", "day", "seen"), held)) if held else {}
-        events = pd.concat(list(rows), ignore_index=True).sort_values(["day", "event_id"])
-        out = []
-        for row in events.to_dict("records"):
-            state, shown = position_step(state, row)
-            out.append(shown)
-        self.state.update((int(state["quantity"]), int(state["sellable"]), int(state["cost"]), state["day"], state["seen"]))
-        yield pd.DataFrame(out)
-
-    def close(self) -> None:
-        pass
-
-
-def position_stream(events: DataFrame) -> DataFrame:
-    """Quantities, sellable shares and cost after each event, as a stateful stream."""
-    return events.groupBy("account", "symbol").transformWithStateInPandas(
-        statefulProcessor=PositionProcessor(), outputStructType=FOLD_SCHEMA, outputMode="append", timeMode="none")
+    keys = ["group_id", "side", "day"]
+    large = trades.filter((F.col("amount") >= least) & (F.col("side") != "N"))
+    return large.dropDuplicatesWithinWatermark(keys) if large.isStreaming else large.dropDuplicates(keys)

@@ -55,13 +55,46 @@ def test_registry_is_complete():
     assert expected - covered == set()
 
 
-@pytest.mark.parametrize("stream,batch", [("session_minutes_stream", "session_minutes"), ("account_stream", "account_positions")])
-def test_streams_equal_their_batch_twin(spark, stream, batch):
+@pytest.fixture(scope="module")
+def parts(spark, tmp_path_factory):
+    """The smallest tables with events and line items as five shuffled part files."""
+    folder = str(tmp_path_factory.mktemp("parts"))
+    for name in ("events", "lineitem", "part", "orders"):
+        df = spark.read.parquet(f"{SMALL}/{name}.parquet")
+        (df.repartition(5, F.xxhash64(*df.columns)) if name in ("events", "lineitem") else df.coalesce(1)).write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def same(a, b):
+    a, b = ({str(r) for r in df.select(*sorted(df.columns)).collect()} for df in (a, b))
+    return bool(a) and a == b
+
+
+@pytest.mark.parametrize("stream,batch", [("session_minutes_stream", "session_minutes"), ("account_stream", "account_positions"), ("volatility_stream", "term_variance")])
+def test_streams_of_many_batches_equal_their_batch_twin(spark, parts, stream, batch):
     entries = catalog.entries()
-    a = entries[stream].build(spark, SMALL)
-    b = entries[batch].build(spark, SMALL).select(*a.columns)
-    rows = lambda df: sorted(map(str, df.collect()))
-    assert rows(a) == rows(b)
+    a = entries[stream].build(spark, parts, files=1)
+    assert same(a, entries[batch].build(spark, SMALL).select(*a.columns))
+
+
+def test_sliding_and_alert_streams_of_many_batches(spark, parts):
+    from panelweave.plans import queries_streams
+    from panelweave.streaming import jobs
+    trades = queries_streams.trades(spark, SMALL)
+    sliding = jobs.sliding_stream(trades, queries_streams.BIG).withColumn("big_net", F.round("big_net", 4))
+    assert same(queries_streams.sliding_half_hours_stream(spark, parts, files=1), sliding)
+    assert same(queries_streams.alert_once_stream(spark, parts, files=1), jobs.alert_stream(trades, 150.0).select("group_id", "side", "day"))
+
+
+def test_late_rows_are_dropped_by_the_watermark(spark, tmp_path):
+    from panelweave.streaming import jobs
+    rows = [(1, "2024-01-01 10:00:00"), (2, "2024-01-05 10:00:00"), (3, "2024-01-05 09:00:00"), (4, "2024-01-01 10:00:01")]
+    for i, (event, ts) in enumerate(rows):
+        one = spark.createDataFrame([(event, ts, 1, "purchase", 5.0)], "event_id long, ts string, user_id long, event_type string, value double")
+        one.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "events.parquet"))
+    stream = jobs.trades_stream(jobs.file_stream(spark, str(tmp_path), "events", 1), late="1 day")
+    kept = {r.seq for r in jobs.run_available(stream, "append", "late").select("seq").collect()}
+    assert kept == {1, 2, 3}
 
 
 def test_flagship_runs(spark):
