@@ -155,96 +155,6 @@ def structure_phases(prices: DataFrame, realized: float = 1.0, exhausted: float
     return rows.withColumns({"phase": phase, "completion": done(F.col(price))}).drop("_on", "_re", "_ex")
 
 
-def replay_structures(rows: DataFrame, ladder: tuple[tuple[float, float], ...] = ((0.5, 0.75), (0.8, 0.5)), trailing_after: float = 0.5,
-                      trailing: float = 0.15, false_break: float = 0.97, confirm_closes: int = 2, late_index: float = 0.8,
-                      late_weight: float = 0.5, buyback_fraction: float = 0.5, final: float = 0.25, key: str = "symbol") -> DataFrame:
-    """Entry, ladder, target, trailing stop, false break and buyback of every item, as events.
-
-    ``rows``: key, idx, close, phase, completion, label, neckline, gate_label,
-    gate_completion, zone_low, zone_high.  All conditions are columns; the walk
-    only keeps the position.
-    """
-    w = series(key, "idx")
-    above = (F.col("close") > F.col("neckline")).cast("int")
-    block = F.sum(1 - above).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    flags = rows.withColumn("_block", block).withColumn("_run", F.sum(above).over(
-        Window.partitionBy(key, "_block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)))
-    steps = [c for c, _ in ladder]
-    flags = flags.select(
-        key, "idx", F.col("close").cast("double").alias("close"), "completion",
-        F.col("label").isin("right", "top").alias("awake"), (F.col("label") == "right").alias("right"),
-        (F.col("phase") == "exhausted").alias("spent"), (F.col("_run") >= confirm_closes).alias("firm"),
-        (F.coalesce("gate_label", F.lit("right")) == "right").alias("open_gate"),
-        F.coalesce(F.col("gate_completion") >= late_index, F.lit(False)).alias("late"),
-        (F.col("close") < F.col("neckline") * false_break).alias("broken"),
-        F.col("close").between(F.col("zone_low"), F.col("zone_high")).alias("in_zone"),
-        (F.col("close") < F.col("zone_low") * false_break).alias("below_zone"),
-        sum([(F.col("completion") >= s).cast("int") for s in steps], F.lit(0)).alias("rungs"))
-
-    def walk(group: pd.DataFrame) -> pd.DataFrame:
-        events: list[tuple] = []
-        pos = {"weight": 0.0, "entry": 0.0, "peak": 0.0, "done": 0.0, "rung": 0, "target": False, "leg": None}
-        can_enter, sold, zone, waiting = True, False, "waiting", False
-
-        def log(r, rule: str, weight: float) -> None:
-            pos["weight"] = weight
-            events.append((r[key], r["idx"], rule, round(r["close"], 4), round(weight, 4)))
-
-        for r in group.sort_values("idx").to_dict("records"):
-            if not r["awake"] or pd.isna(r["close"]):
-                continue
-            close, completion = r["close"], r["completion"]
-            if pos["weight"] > 0:
-                pos["peak"] = max(pos["peak"], close)
-                pos["done"] = max(pos["done"], completion)
-                off_peak = close <= pos["peak"] * (1 - trailing)
-                if pos["leg"] == "buyback":
-                    if r["below_zone"] or off_peak:
-                        log(r, "buyback_stop" if r["below_zone"] else "buyback_trailing", 0.0)
-                        zone = "done"
-                elif r["broken"]:
-                    log(r, "false_break", 0.0)
-                    sold = True
-                elif pos["done"] >= trailing_after and off_peak:
-                    log(r, "trailing", 0.0)
-                    sold, can_enter = True, False
-                else:
-                    while pos["rung"] < r["rungs"]:
-                        keep = ladder[pos["rung"]][1] * pos["entry"]
-                        pos["rung"] += 1
-                        if pos["weight"] > keep + 1e-9:
-                            log(r, "ladder", keep)
-                    if completion >= 1.0 and not pos["target"]:
-                        pos["target"] = True
-                        if pos["weight"] > final * pos["entry"] + 1e-9:
-                            log(r, "target", final * pos["entry"])
-                continue
-            if zone == "waiting" and (sold or r["spent"]):
-                if r["below_zone"]:
-                    zone = "void"
-                    log(r, "buyback_void", 0.0)
-                    continue
-                if r["right"] and r["in_zone"]:
-                    zone = "bought"
-                    pos.update(peak=close, done=completion, leg="buyback")
-                    log(r, "buyback", buyback_fraction)
-                    continue
-            if not r["right"] or r["spent"] or not can_enter or not r["firm"]:
-                continue
-            if not r["open_gate"]:
-                if not waiting:
-                    waiting = True
-                    log(r, "waiting_index", 0.0)
-                continue
-            full = late_weight if r["late"] else 1.0
-            kept = ladder[r["rungs"] - 1][1] if r["rungs"] else 1.0
-            pos.update(entry=full, peak=close, done=completion, rung=r["rungs"], target=False, leg="entry")
-            log(r, "entry", full * kept)
-        return pd.DataFrame(events, columns=[key, "idx", "rule", "close", "weight"])
-
-    return flags.groupBy(key).applyInPandas(walk, f"{key} string, idx long, rule string, close double, weight double")
-
-
 def once_per_period(df: DataFrame, key: str, order: str, inside: str, hit: str) -> DataFrame:
     """The first hit of each unbroken period in which ``inside`` holds."""
     runs = islands(df, [key], order, inside, "_period")

@@ -199,16 +199,6 @@ def report_tiers(spark, sf):
     return accounts.report_tiers(items(spark, sf)).select("symbol", "tier", "place")
 
 
-@query("round_ledger", "C5 G5")
-def round_ledger(spark, sf):
-    from .queries_series import structure_events
-    e = structure_events(spark, sf)
-    w = windows.series("symbol", "idx").rowsBetween(Window.unboundedPreceding, 0)
-    rounds = e.withColumn("round", F.sum((F.col("rule") == "entry").cast("int")).over(w)).filter("round > 0")
-    return rounds.groupBy("symbol", "round").agg(F.min("idx").alias("entered"), F.max("idx").alias("last_event"), F.count("*").alias("events"),
-                                                 F.max_by("weight", "idx").alias("weight"))
-
-
 @query("watched_reminders", "C6 B8 G9", oracle("crowding listings", """
 WITH m AS (SELECT code, idx, c, lag(c) OVER (PARTITION BY code ORDER BY idx) AS p FROM crowding), e AS (SELECT code, idx FROM m WHERE c > 1.4 AND NOT coalesce(p > 1.4, false))
 SELECT code, idx FROM e WHERE code IN (SELECT n_name FROM nation WHERE n_regionkey IN (1, 2))"""))

@@ -398,16 +398,6 @@ def fill_prices(spark, sf):
     return rows.select("symbol", "idx", price("buy").alias("buy_price"), price("sell").alias("sell_price"))
 
 
-@query("rule_table_gaps", "R2", oracle("ticks", """
-SELECT 'limits' AS rule_table, CAST(0 AS BIGINT) AS gaps, count(DISTINCT symbol) AS symbols FROM ticks
-UNION ALL SELECT 'transfer', 0, count(DISTINCT symbol) FROM ticks"""))
-def rule_table_gaps(spark, sf):
-    symbols = views.ticks(spark, sf).select(F.countDistinct("symbol").alias("symbols"))
-    parts = [rules.rule_gaps(spark, t, k).agg(F.count("*").alias("gaps")).withColumn("rule_table", F.lit(n)) for n, t, k in (
-        ("limits", rules.limit_table(spark), ["board", "risk"]), ("transfer", rules.transfer_table(spark), ["exchange"]))]
-    return parts[0].unionByName(parts[1]).join(symbols).select("rule_table", "gaps", "symbols")
-
-
 LOT_SQL = "SELECT *, CASE WHEN board = 'STAR' THEN 200 ELSE 100 END AS lo, CASE WHEN board IN ('STAR', 'BSE') THEN 1 ELSE 100 END AS step FROM ruled WHERE has_bar"
 @query("lot_rounding", "R9", oracle("ruled bars calendar", f"""
 WITH x AS (SELECT l.*, b.volume * 37 AS want, b.volume * 29 + b.trades AS holding FROM ({LOT_SQL}) l JOIN calendar c USING (idx) JOIN bars b ON b.symbol = l.symbol AND b.trade_date = c.trade_date),

@@ -84,14 +84,6 @@ def label():
     return F.element_at(names, ((F.floor(F.col("idx") / 50) + F.length("symbol")) % 5 + 1).cast("int"))
 
 
-@query("structure_events", "G5 C5")
-def structure_events(spark, sf):
-    rows = phases(spark, sf).withColumn("label", label())
-    gate = rows.filter("symbol = 'Brand#1'").select("idx", F.col("label").alias("gate_label"), F.col("completion").alias("gate_completion"))
-    rows = rows.join(gate, "idx", "left").withColumns({"zone_low": F.col("neckline") * 0.9, "zone_high": F.col("neckline") * 1.05})
-    return series.replay_structures(rows)
-
-
 @query("base_prompts", "G7", oracle("panel", f"""
 WITH s AS (SELECT symbol, idx, {LABELS} = 'base' AS inside, {SURGE} AS surge FROM panel {SURGE_W}),
 r AS (SELECT *, sum(CAST(c AS INTEGER)) OVER (PARTITION BY symbol ORDER BY idx) AS run FROM (SELECT *, inside IS DISTINCT FROM lag(inside) OVER (PARTITION BY symbol ORDER BY idx) AS c FROM s))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import charts, text
+from ..operators import text
 from ..sources.io import read_table
 from . import queries_datasets, queries_factors, views  # noqa: F401  (their SQL views are used below)
 from .ctes import define, oracle
@@ -104,13 +104,3 @@ def holder_tables(spark, sf):
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", line.alias("l")))), lambda x: x["l"]), "\n")
     reports = o.groupBy("o_custkey").agg(F.concat(F.lit("目录 期末上市基金前十名持有人 8\n正文\n9.2 期末上市基金前十名持有人\n序号  持有人名称  持有份额\n"), body, F.lit("\n第 3 页\n9.3 其他事项\n 1 不是持有人 5.00 1.00%")).alias("text"))
     return text.holder_table(reports, "o_custkey")
-
-
-@query("chart_pattern_scan", "G16")
-def chart_pattern_scan(spark, sf):
-    return charts.chart_patterns(views.bars(spark, sf))
-
-
-@query("trend_lines", "G14")
-def trend_lines(spark, sf):
-    return charts.trend_lines(views.bars(spark, sf), 2.0)

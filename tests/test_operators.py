@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelweave.functions import codes, trading_rules as rules
-from panelweave.operators import accounts, asof, charts, evaluate, pit, risk, series, text, windows, xsection
+from panelweave.operators import accounts, asof, evaluate, pit, risk, series, text, windows, xsection
 
 DAY = dt.date(2020, 1, 1)
 
@@ -157,14 +157,14 @@ def test_swing_points():
     assert [(i, k, sure) for i, _, k, sure in got] == [(0, "L", True), (2, "H", True), (5, "L", True), (8, "H", False)]
 
 
-def test_mirrored_series_gives_mirrored_patterns():
-    rng = np.random.default_rng(2)
-    close = 100 + np.cumsum(rng.normal(0, 1, 300))
-    high, low, atr = close + 1, close - 1, np.full(300, 2.0)
-    swings = series.swing_points(high, low, 3 * atr)
-    up = charts.View(high, low, close, atr, [(i, p, k == "H") for i, p, k, _ in swings], 1)
-    twice = charts.mirrored(charts.mirrored(up))
-    assert [p["start"] for p in charts.equal_tops(up)] == [p["start"] for p in charts.equal_tops(twice)]
+def test_selection_by_ranks(spark):
+    # two industries of six: tolerance 0.05 asks for at least three of each among six
+    rows = [(1, f"a{i}", 10.0 - i, "A", i == 5, i != 0) for i in range(6)] + [(1, f"b{i}", 3.0 - i, "B", False, True) for i in range(6)]
+    df = spark.createDataFrame(rows, "idx long, symbol string, score double, industry string, held boolean, affordable boolean")
+    got = sorted(r.symbol for r in accounts.select_names(df, 6, 0.05).collect())
+    # a5 is held and inside the buffer, a0 can't be bought, each side gets its least of three
+    assert got == ["a1", "a2", "a5", "b0", "b1", "b2"]
+    assert sorted(r.symbol for r in accounts.select_names(df, 6, 1.0, buffer=0.0).collect()) == ["a1", "a2", "a3", "a4", "a5", "b0"]
 
 
 def test_statement_metrics_follow_restatements(spark):
