@@ -10,11 +10,16 @@ from .windows import islands
 
 def first_after(events: DataFrame, days: DataFrame, by: list[str], on: str, day: str, out: str,
                 bucket: str | None = None) -> DataFrame:
-    """Each event with the first ``day`` of its key strictly after ``on`` (an as-of join run backwards)."""
+    """Each event with the first ``day`` of its key strictly after ``on`` (an as-of join run backwards).
+
+    Each distinct (key, ``on``) is resolved once and joined back, so many events of one key do not meet in one task.
+    """
     back = lambda c: F.date_sub(F.lit("2200-01-01").cast("date"), F.datediff(c, F.lit("1970-01-01")))
-    left = events.withColumn("_m", back(F.col(on)))
-    right = days.select(*by, back(F.col(day)).alias("_d"), F.col(day).alias(out))
-    return asof_join(left, right, by, "_m", "_d", [out], strict=True, bucket=bucket).drop("_m")
+    probes = events.select(*by, on).distinct()
+    left = probes.withColumn("_m", back(F.col(on)))
+    right = days.select(*by, back(F.col(day)).alias("_d"), F.col(day).alias(out)).distinct()
+    found = asof_join(left, right, by, "_m", "_d", [out], strict=True, bucket=bucket).drop("_m")
+    return events.join(found, [*by, on], "left").select(*events.columns, out)
 
 
 def suspension_spans(events: DataFrame, bars: DataFrame, calendar: DataFrame, key: str = "symbol") -> DataFrame:
@@ -59,9 +64,10 @@ def gaps(bars: DataFrame, calendar: DataFrame, bounds: DataFrame, key: str = "sy
     calendar × key grid is built.
     """
     idx = calendar.select("trade_date", "idx")
-    limits = asof_join(bounds.withColumn("_a", F.lit(1)), idx.withColumn("_a", F.lit(1)).withColumnRenamed("idx", "_e"),
-                       ["_a"], "win_end", "trade_date", ["_e"], bucket="year").drop("_a")
     from .asof import next_session
+    limits = next_session(bounds, calendar, "win_end", inclusive=False, out="_after")
+    last = idx.agg(F.max("idx")).scalar()
+    limits = limits.withColumn("_e", F.coalesce(F.col("_after") - 1, last)).drop("_after")
     limits = next_session(limits, calendar, "win_start", inclusive=True, out="_s").filter("_s <= _e")
     inside = bars.select(key, "trade_date").distinct().join(idx, "trade_date").join(limits, key).filter(
         F.col("idx").between(F.col("_s"), F.col("_e")))

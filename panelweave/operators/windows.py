@@ -107,3 +107,18 @@ def islands(df: DataFrame, key: list[str], order: str, label: str, out: str = "r
     changed = (~F.col(label).eqNullSafe(F.lag(label).over(w)) | F.lag(F.lit(1)).over(w).isNull()).cast("int")
     return df.withColumn("_changed", changed).withColumn(
         out, F.sum("_changed").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_changed")
+
+
+def ranked(rows: DataFrame, group: str, order: list[Column], out: str) -> DataFrame:
+    """Place of each row in its group, where a few groups hold all rows.
+
+    Rows are range-partitioned by group and order, numbered inside their range, and moved on by the number of the
+    group's rows in earlier ranges: one small row per range and group.
+    """
+    ranged = rows.repartitionByRange(F.col(group), *order).withColumn("_range", F.spark_partition_id())
+    counts = ranged.groupBy(group, "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(group, "_range").orderBy(*order))
+    numbered = ranged.withColumn("_in", inside).join(offsets, [group, "_range"])
+    return numbered.withColumn(out, F.col("_before") + F.col("_in")).drop("_range", "_in", "_before")

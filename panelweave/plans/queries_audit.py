@@ -288,18 +288,22 @@ def volume_unit_outliers(spark, sf):
 
 
 @query("master_rules", "Q3", oracle("master", """
-SELECT (SELECT count(*) FROM master WHERE exchange_unknown) AS unknown_exchange, (SELECT count(*) FROM master WHERE status <> 'delisted') AS live,
- (SELECT count(*) FROM master WHERE status <> 'delisted' AND substr(symbol, 4) >= '700') AS vanished FROM (SELECT 1)""".replace("exchange_unknown", "false")))
+SELECT (SELECT count(*) FROM master WHERE symbol LIKE '%13') AS unknown_exchange, (SELECT count(*) FROM master WHERE status <> 'delisted') AS live,
+ (SELECT count(*) FROM master WHERE status <> 'delisted' AND substr(symbol, 4) >= '700') AS vanished FROM (SELECT 1)"""))
 def master_rules(spark, sf):
+    """Faults are put in: codes that end in 13 lose their exchange, codes from 700 on vanish from the new list."""
     m = master(spark, sf)
-    unknown = m.agg(F.count_if(F.col("exchange") == "UNKNOWN").alias("unknown_exchange"))
+    faulty = m.withColumn("exchange", F.when(F.col("symbol").endswith("13"), "UNKNOWN").otherwise(F.col("exchange")))
+    unknown = faulty.agg(F.count_if(F.col("exchange") == "UNKNOWN").alias("unknown_exchange"))
     return unknown.join(quality.vanished_share(m, m.filter(F.substring("symbol", 4, 3) < "700"), "symbol", "status"))
 
 
 @query("calendar_rules", "Q4", oracle("calendar", """
-SELECT CAST(0 AS BIGINT) AS duplicates, max(trade_date) AS last_day, max(trade_date) >= DATE '2001-11-01' AS covers FROM calendar"""))
+SELECT count(*) FILTER (year(trade_date) = 1998) AS duplicates, max(trade_date) AS last_day, max(trade_date) >= DATE '2001-11-01' AS covers FROM calendar"""))
 def calendar_rules(spark, sf):
-    c = views.calendar(spark, sf)
+    """A fault is put in: the sessions of one year come twice."""
+    c = views.calendar(spark, sf).select("trade_date")
+    c = c.unionAll(c.filter(F.year("trade_date") == 1998))
     return c.agg((F.count("*") - F.countDistinct("trade_date")).alias("duplicates"), F.max("trade_date").alias("last_day"),
                  (F.max("trade_date") >= F.to_date(F.lit("2001-11-01"))).alias("covers"))
 
