@@ -72,35 +72,55 @@ def account_events(spark, sf):
                     (F.col("volume") * F.col("price")).alias("amount"))
 
 
-@views.kept
+define("account_events", "ticks", """
+SELECT o.o_custkey AS account, t.symbol, t.trade_date AS day, lpad(CAST(k1 AS VARCHAR), 12, '0') || '-' || k2 || '-' || k3 || '-' || k4 AS event_id,
+ t.side = 'R' AS sell, t.volume AS shares, t.volume * t.price AS amount FROM ticks t JOIN orders o ON o.o_orderkey = t.k1""")
+# one event after the other: what is held at the start of a day can be sold on it, a sale of more is refused, a repeated id ignored
+define("folded", "account_events", """
+WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY account, symbol ORDER BY day, event_id) AS n FROM account_events),
+f AS (
+ SELECT DISTINCT account, symbol, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS DATE) AS day, '' AS verdict, 0::BIGINT AS quantity, 0::BIGINT AS sellable, 0::BIGINT AS cost, 0::BIGINT AS cash_change, 0::BIGINT AS n FROM e
+ UNION ALL
+ SELECT account, symbol, event_id, day, verdict, CASE WHEN verdict <> 'ok' THEN q WHEN sell THEN q - shares ELSE q + shares END, CASE WHEN verdict = 'ok' AND sell THEN s - shares ELSE s END,
+  CASE WHEN verdict <> 'ok' THEN c WHEN sell THEN c * (q - shares) // q ELSE c + amount END, CASE WHEN verdict <> 'ok' THEN 0 WHEN sell THEN amount ELSE -amount END, n
+ FROM (SELECT *, CASE WHEN event_id = before THEN 'duplicate' WHEN sell AND shares > s THEN 'rejected' ELSE 'ok' END AS verdict
+  FROM (SELECT e.*, f.quantity AS q, f.cost AS c, f.event_id AS before, CASE WHEN e.day IS DISTINCT FROM f.day THEN f.quantity ELSE f.sellable END AS s
+   FROM f JOIN e ON e.account = f.account AND e.symbol = f.symbol AND e.n = f.n + 1)))
+SELECT account, symbol, event_id, day, verdict, quantity, sellable, cost, cash_change FROM f WHERE n > 0""")
+OPENING = 10_000_000
+
+
 def folded(spark, sf):
     return accounts.fold_positions(account_events(spark, sf))
 
 
-@query("account_positions", "P18")
+@query("account_positions", "P18", oracle("folded", "SELECT * FROM folded"))
 def account_positions(spark, sf):
     return folded(spark, sf)
 
 
-@query("account_cash", "P18 W15")
+@query("account_cash", "P18 W15", oracle("folded", f"""
+SELECT account, symbol, event_id, day, CAST(sum(cash_change) OVER (PARTITION BY account ORDER BY day, event_id, symbol) + {OPENING} AS BIGINT) AS cash FROM folded"""))
 def account_cash(spark, sf):
-    return accounts.cash_after(folded(spark, sf), account_events(spark, sf).select("account", "symbol", "event_id", "day"), 10_000_000)
+    return accounts.cash_after(folded(spark, sf), OPENING)
 
 
-@query("marked_accounts", "P19 J12")
+@query("marked_accounts", "P19 J12", oracle("folded bars", f"""
+WITH l AS (SELECT account, symbol, arg_max(quantity, row(day, event_id)) AS quantity FROM folded GROUP BY 1, 2), p AS (SELECT symbol, arg_max(close, trade_date) AS price FROM bars GROUP BY 1),
+c AS (SELECT account, sum(cash_change) + {OPENING} AS cash FROM folded GROUP BY 1), h AS (SELECT l.*, p.price, l.quantity * p.price AS value FROM l LEFT JOIN p USING (symbol) WHERE quantity > 0),
+n AS (SELECT account, CAST(any_value(cash) + coalesce(sum(value), 0) AS BIGINT) AS nav FROM c LEFT JOIN h USING (account) GROUP BY 1)
+SELECT account, symbol, quantity, price, value, nav, round(value / nav::DOUBLE, 6) AS weight FROM h JOIN n USING (account)"""))
 def marked_accounts(spark, sf):
-    days = account_events(spark, sf).select("account", "symbol", "event_id", "day")
-    last = folded(spark, sf).join(days, ["account", "symbol", "event_id"]).groupBy("account", "symbol").agg(
-        F.max_by("quantity", F.struct("day", "event_id")).alias("quantity"))
-    cash = folded(spark, sf).groupBy("account").agg((F.sum("cash_change") + 10_000_000).alias("cash"))
+    both = folded(spark, sf).groupBy("account", "symbol").agg(
+        F.max_by("quantity", F.struct("day", "event_id")).alias("quantity"), F.sum("cash_change").alias("spent"))
+    cash = both.groupBy("account").agg((F.sum("spent") + OPENING).alias("cash"))
     prices = market.latest_per_key(views.bars(spark, sf), ["symbol"], ["trade_date"], ["close"]).withColumnRenamed("close", "price")
-    return rounded(accounts.mark(last, prices, cash, ["account"]), "weight")
+    return rounded(accounts.mark(both.drop("spent"), prices, cash, ["account"]), "weight")
 
 
 @query("pending_actions", "P22")
 def pending_actions(spark, sf):
-    days = account_events(spark, sf).select("account", "symbol", "event_id", "day")
-    held = folded(spark, sf).join(days, ["account", "symbol", "event_id"]).select("account", "symbol", "event_id", "day", "quantity")
+    held = folded(spark, sf).select("account", "symbol", "event_id", "day", "quantity")
     plans = views.dividends(views.bars(spark, sf)).filter("cash_per_10 > 0").select("symbol", "ex_date", "cash_per_10")
     return accounts.pending_actions(plans, held)
 

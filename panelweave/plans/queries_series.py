@@ -18,12 +18,37 @@ def staged(spark, sf):
     return series.stages(views.panel(spark, sf).select("symbol", "idx", "adj_last"), ma=60, slope=20, flat=0.02, confirm=5)
 
 
-@query("stage_classification", "G1")
+# From the definition: a flat mean is a top after a rise and a base after a fall, a steep one an advance or a decline unless the price
+# lies far on the other side of it; a change needs five sessions in a row that ask for it, the first one none.
+define("stage_walk", "panel", """
+WITH RECURSIVE m AS (
+ SELECT symbol, idx, adj_last, CASE WHEN count(adj_last) OVER a >= 60 THEN avg(adj_last) OVER a END AS ma, CASE WHEN count(adj_last) OVER c >= 20 THEN min(adj_last) OVER c END AS low FROM panel
+ WINDOW a AS (PARTITION BY symbol ORDER BY idx ROWS 59 PRECEDING), c AS (PARTITION BY symbol ORDER BY idx ROWS 249 PRECEDING)),
+s AS MATERIALIZED (SELECT *, ma / lag(ma, 20) OVER w - 1 AS slope, row_number() OVER w AS n FROM m WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+f AS (
+ SELECT DISTINCT symbol, 0::BIGINT AS n, 0 AS stage, 0 AS waiting, 0 AS days FROM s
+ UNION ALL
+ SELECT symbol, n, CASE WHEN goal <> stage AND (run >= 5 OR stage = 0) THEN goal ELSE stage END, goal, run
+ FROM (SELECT symbol, n, stage, goal, CASE WHEN goal = waiting THEN days + 1 ELSE 1 END AS run
+  FROM (SELECT s.symbol, s.n, f.stage, f.waiting, f.days, CASE WHEN s.slope IS NULL OR s.adj_last IS NULL OR s.ma IS NULL THEN f.stage
+    WHEN abs(s.slope) <= 0.02 THEN CASE WHEN f.stage IN (2, 3) THEN 3 WHEN f.stage IN (1, 4) THEN 1 WHEN s.adj_last / s.low - 1 > 0.5 THEN 3 ELSE 1 END
+    WHEN s.slope > 0 THEN CASE WHEN s.adj_last >= s.ma * (1 - 0.03) THEN 2 WHEN f.stage IN (2, 3) THEN 3 ELSE f.stage END
+    ELSE CASE WHEN s.adj_last <= s.ma * (1 + 0.03) THEN 4 WHEN f.stage IN (1, 4) THEN 1 ELSE f.stage END END AS goal
+   FROM f JOIN s ON s.symbol = f.symbol AND s.n = f.n + 1)))
+SELECT s.symbol, s.idx, s.adj_last, s.ma, s.slope, f.stage FROM f JOIN s USING (symbol, n)""")
+
+
+@query("stage_classification", "G1", oracle("stage_walk", """
+SELECT symbol, idx, adj_last, round(ma, 6) AS ma, round(slope, 6) + 0.0::DOUBLE AS slope, stage FROM stage_walk"""))
 def stage_classification(spark, sf):
     return rounded(staged(spark, sf), "ma", "slope")
 
 
-@query("latest_stage", "G3")
+@query("latest_stage", "G3", oracle("stage_walk", """
+WITH r AS (SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY idx) AS run FROM (SELECT *, CAST(stage IS DISTINCT FROM lag(stage) OVER (PARTITION BY symbol ORDER BY idx) AS INTEGER) AS c FROM stage_walk)),
+s AS (SELECT symbol, run, stage, min(idx) AS since, count(*) AS days, arg_max(ma, idx) AS ma, arg_max(slope, idx) AS slope, arg_max(adj_last, idx) AS p FROM r GROUP BY 1, 2, 3),
+p AS (SELECT *, lag(stage) OVER (PARTITION BY symbol ORDER BY run) AS previous FROM s QUALIFY run = max(run) OVER (PARTITION BY symbol))
+SELECT symbol, stage, previous, since, days, round(ma, 6) AS ma, round(slope, 6) + 0.0::DOUBLE AS slope, round(p / ma - 1, 6) + 0.0::DOUBLE AS gap FROM p"""))
 def latest_stage(spark, sf):
     return rounded(series.latest_stage(staged(spark, sf)), "ma", "slope", "gap")
 

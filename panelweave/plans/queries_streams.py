@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import accounts, normalize, options
 from ..sources.io import read_table
 from ..streaming import jobs, monitors
-from . import queries_structure  # noqa: F401  (its SQL views are used below)
+from . import queries_accounts, queries_structure  # noqa: F401  (its SQL views are used below)
 from .ctes import define, oracle
 from .queries_evaluation import rounded
 from .registry import query
@@ -132,7 +132,7 @@ def late_sources(spark, sf):
         F.count_if(day == cut).alias("current_rows"), F.count_if(day < cut).alias("stale_rows"))
 
 
-@query("account_stream", "ST7 P18")
+@query("account_stream", "ST7 P18", oracle("folded", "SELECT * FROM folded"))
 def account_stream(spark, sf, files=None):
     """The account fold over line-item files in any order: accounts that a batch touches are folded again by day."""
     items = jobs.file_stream(spark, sf, "lineitem", files)
