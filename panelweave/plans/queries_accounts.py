@@ -118,7 +118,13 @@ def marked_accounts(spark, sf):
     return rounded(accounts.mark(both.drop("spent"), prices, cash, ["account"]), "weight")
 
 
-@query("pending_actions", "P22")
+@query("pending_actions", "P22", oracle("folded bars", """
+WITH p AS (SELECT symbol, min(trade_date) AS ex_date, CAST(sum(volume) % 7 AS DOUBLE) AS cash_per_10 FROM bars WHERE month(trade_date) = 6 GROUP BY symbol, year(trade_date) HAVING sum(volume) % 7 > 0),
+h AS (SELECT account, symbol, day, arg_max(quantity, event_id) AS quantity FROM folded GROUP BY 1, 2, 3),
+o AS (SELECT DISTINCT account, symbol FROM folded),
+x AS (SELECT o.account, p.symbol, p.ex_date, p.cash_per_10 FROM o JOIN p USING (symbol))
+SELECT x.account, x.symbol, x.ex_date, x.cash_per_10, h.quantity, CAST(floor(h.quantity * x.cash_per_10 / 10 + 0.5::DOUBLE) AS BIGINT) AS cash
+FROM x ASOF JOIN h ON h.account = x.account AND h.symbol = x.symbol AND h.day < x.ex_date WHERE h.quantity > 0"""))
 def pending_actions(spark, sf):
     held = folded(spark, sf).select("account", "symbol", "event_id", "day", "quantity")
     plans = views.dividends(views.bars(spark, sf)).filter("cash_per_10 > 0").select("symbol", "ex_date", "cash_per_10")

@@ -53,7 +53,12 @@ def latest_stage(spark, sf):
     return rounded(series.latest_stage(staged(spark, sf)), "ma", "slope", "gap")
 
 
-@query("stage_statistics", "G4")
+@query("stage_statistics", "G4", oracle("stage_walk", """
+WITH f AS (SELECT *, coalesce(lag(stage) OVER w, 0) AS previous, lead(adj_last, 20) OVER w / adj_last - 1 AS f1, lead(adj_last, 60) OVER w / adj_last - 1 AS f2, lead(adj_last, 120) OVER w / adj_last - 1 AS f3
+ FROM stage_walk WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+x AS (SELECT *, f1 - avg(f1) OVER d AS x1, f2 - avg(f2) OVER d AS x2, f3 - avg(f3) OVER d AS x3 FROM f WINDOW d AS (PARTITION BY idx))
+SELECT previous, stage, count(*) AS count, round(avg(x1), 6) + 0.0::DOUBLE AS excess_20, round(avg(x2), 6) + 0.0::DOUBLE AS excess_60, round(avg(x3), 6) + 0.0::DOUBLE AS excess_120,
+ round(avg(CAST(x1 > 0 AS INTEGER)), 6) AS beat FROM x WHERE stage > 0 GROUP BY 1, 2"""))
 def stage_statistics(spark, sf):
     return rounded(series.stage_statistics(staged(spark, sf)), "excess_20", "excess_60", "excess_120", "beat")
 
@@ -187,7 +192,21 @@ def fibonacci_levels(spark, sf):
     return rounded(series.fibonacci(pivots(spark, sf)), "level")
 
 
-@query("bull_bear_turns", "G18")
+# Session by session: the highest and lowest price since the last turn, and whether the price has left one of them by a fifth.
+define("turns", "panel", """
+WITH RECURSIVE s AS MATERIALIZED (SELECT symbol, idx, adj_last::DOUBLE AS x, row_number() OVER (PARTITION BY symbol ORDER BY idx) AS n FROM panel WHERE adj_last IS NOT NULL),
+f AS (
+ SELECT symbol, n, idx, x AS hi, idx AS hi_at, x AS lo, idx AS lo_at, '' AS mood, CAST(NULL AS VARCHAR) AS kind, x AS turn_price, idx AS turn FROM s WHERE n = 1
+ UNION ALL
+ SELECT symbol, n, idx, CASE WHEN kind = 'trough' THEN x ELSE h END, CASE WHEN kind = 'trough' THEN idx ELSE h_at END, CASE WHEN kind = 'peak' THEN x ELSE l END, CASE WHEN kind = 'peak' THEN idx ELSE l_at END,
+  CASE kind WHEN 'peak' THEN 'bear' WHEN 'trough' THEN 'bull' ELSE mood END, kind, CASE kind WHEN 'peak' THEN h ELSE l END, CASE kind WHEN 'peak' THEN h_at ELSE l_at END
+ FROM (SELECT *, CASE WHEN mood <> 'bear' AND x <= h * 0.8::DOUBLE THEN 'peak' WHEN mood <> 'bull' AND x >= l * 1.2::DOUBLE THEN 'trough' END AS kind
+  FROM (SELECT s.symbol, s.n, s.idx, s.x, f.mood, greatest(s.x, f.hi) AS h, CASE WHEN s.x > f.hi THEN s.idx ELSE f.hi_at END AS h_at, least(s.x, f.lo) AS l, CASE WHEN s.x < f.lo THEN s.idx ELSE f.lo_at END AS l_at
+   FROM f JOIN s ON s.symbol = f.symbol AND s.n = f.n + 1)))
+SELECT symbol, turn, turn_price AS price, kind, idx AS confirmed_at FROM f WHERE kind IS NOT NULL""")
+
+
+@query("bull_bear_turns", "G18", oracle("turns", "SELECT * FROM turns"))
 def bull_bear_turns(spark, sf):
     return series.bull_bear_turns(views.panel(spark, sf))
 

@@ -10,7 +10,7 @@ ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 from panelweave.plans import catalog  # noqa: E402
 
-TESTED = {"S2": "tests: sorted files", "S3": "tests: raw frames keep their lineage", "S4": "tests: canonical round trip", "S5": "tests: canonical round trip",
+TESTED = {"R2": "tests: rule tables have exactly one rule everywhere", "S2": "tests: sorted files", "S3": "tests: raw frames keep their lineage", "S4": "tests: canonical round trip", "S5": "tests: canonical round trip",
           "S6": "tests: file inventory", "S7": "tests: dataset summary", "S9": "tests: manifests and aborted runs"}
 
 
