@@ -196,8 +196,8 @@ def quote_fill(spark, sf):
 
 # -- gaps ------------------------------------------------------------------------------
 
-define("bounds", "bars", """
-SELECT symbol, CASE WHEN length(symbol) = 7 THEN min(trade_date) ELSE DATE '1995-06-01' END AS win_start, CASE WHEN length(symbol) = 7 THEN max(trade_date) ELSE DATE '2001-06-30' END AS win_end FROM bars GROUP BY 1""")
+define("bounds", "bars calendar", """
+SELECT symbol, CASE WHEN length(symbol) = 7 THEN min(trade_date) ELSE (SELECT min(trade_date) FROM calendar) END AS win_start, CASE WHEN length(symbol) = 7 THEN max(trade_date) ELSE (SELECT max(trade_date) FROM calendar) END AS win_end FROM bars GROUP BY 1""")
 define("gaps", "bounds calendar bars", """
 WITH e AS (SELECT b.*, c.trade_date, c.idx FROM bounds b JOIN calendar c ON c.trade_date BETWEEN b.win_start AND b.win_end),
 m AS (SELECT * FROM e ANTI JOIN bars x ON x.symbol = e.symbol AND x.trade_date = e.trade_date),
@@ -210,10 +210,13 @@ SELECT symbol, min(trade_date) AS gap_start, max(trade_date) AS gap_end, count(*
 @views.kept
 def gap_rows(spark, sf):
     daily = views.bars(spark, sf)
+    # some securities are watched from their first to their last bar, the others over the whole calendar
     short = F.length("symbol") == 7
+    calendar = views.calendar(spark, sf)
+    first, last = calendar.agg(F.min("trade_date")).scalar(), calendar.agg(F.max("trade_date")).scalar()
     bounds = daily.groupBy("symbol").agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b")).select(
-        "symbol", F.when(short, F.col("a")).otherwise(F.to_date(F.lit("1995-06-01"))).alias("win_start"),
-        F.when(short, F.col("b")).otherwise(F.to_date(F.lit("2001-06-30"))).alias("win_end"))
+        "symbol", F.when(short, F.col("a")).otherwise(first).alias("win_start"),
+        F.when(short, F.col("b")).otherwise(last).alias("win_end"))
     return intervals.gaps(daily, views.calendar(spark, sf), bounds)
 
 

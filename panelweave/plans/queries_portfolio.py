@@ -218,8 +218,19 @@ def brinson_attribution(spark, sf):
 
 # -- risk model ----------------------------------------------------------------------
 
-INDUSTRIES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
-EXPOSURES = [f"ind_{i.lower()}" for i in INDUSTRIES] + ["size", "volatility"]
+#: The normal equations have a column per industry; a classification has tens of them.
+MOST_INDUSTRIES = 200
+
+
+def industries(spark, sf) -> list[str]:
+    found = sorted(r["industry"] for r in classes(spark, sf).select("industry").distinct().limit(MOST_INDUSTRIES + 1).collect())
+    if len(found) > MOST_INDUSTRIES:
+        raise ValueError(f"more than {MOST_INDUSTRIES} industries")
+    return found
+
+
+def exposures(spark, sf) -> list[str]:
+    return [f"ind_{i.lower()}" for i in industries(spark, sf)] + ["size", "volatility"]
 
 
 @views.kept
@@ -230,7 +241,7 @@ def exposure_rows(spark, sf):
         F.max(F.when(F.col("factor") == "vol_60", F.col("z"))).alias("volatility"))
     held = members(spark, sf).join(z, ["idx", "symbol"], "left").select(
         F.col("idx").alias("period"), "symbol", *[(F.col("industry") == i).cast("double").alias(f"ind_{i.lower()}")
-                                                  for i in INDUSTRIES],
+                                                  for i in industries(spark, sf)],
         F.coalesce("size", F.lit(0.0)).alias("size"), F.coalesce("volatility", F.lit(0.0)).alias("volatility"))
     periods = perf.holding_periods(views.calendar(spark, sf), schedule(spark, sf)).select("idx", "period")
     cap = F.lag("float_mcap").over(windows.series("symbol", "idx"))
@@ -240,22 +251,22 @@ def exposure_rows(spark, sf):
 
 @views.kept
 def factor_return_series(spark, sf):
-    return risk.factor_returns(exposure_rows(spark, sf), EXPOSURES, extra=2)
+    return risk.factor_returns(exposure_rows(spark, sf), exposures(spark, sf), extra=2)
 
 
 @query("risk_factor_returns", "P14")
 def risk_factor_returns(spark, sf):
-    return rounded(factor_return_series(spark, sf), *EXPOSURES)
+    return rounded(factor_return_series(spark, sf), *exposures(spark, sf))
 
 
 @query("risk_factor_covariance", "P15")
 def risk_factor_covariance(spark, sf):
-    return rounded(risk.ewma_covariance(factor_return_series(spark, sf), EXPOSURES, 90), "cov")
+    return rounded(risk.ewma_covariance(factor_return_series(spark, sf), exposures(spark, sf), 90), "cov")
 
 
 @query("specific_variance", "P16")
 def specific_variance(spark, sf):
-    errors = risk.residuals(exposure_rows(spark, sf), factor_return_series(spark, sf), EXPOSURES)
+    errors = risk.residuals(exposure_rows(spark, sf), factor_return_series(spark, sf), exposures(spark, sf))
     at = inputs(spark, sf).agg(F.max("idx")).first()[0] or 0
     caps = inputs(spark, sf).filter(F.col("idx") == at).select("symbol", F.col("float_mcap").alias("cap"))
     return rounded(risk.specific_variance(errors, caps, at, 90, 60, 60), "variance")
