@@ -7,10 +7,10 @@ import datetime as dt
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from panelweave.functions import codes, trading_rules as rules
-from panelweave.operators import accounts, asof, evaluate, pit, risk, series, text, windows, xsection
+from panelweave.operators import accounts, asof, evaluate, intervals, pit, risk, series, text, windows, xsection
 
 DAY = dt.date(2020, 1, 1)
 
@@ -192,3 +192,31 @@ def test_benjamini_hochberg(spark):
     df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", None)], "factor string, p double")
     got = {r.factor: r.q for r in evaluate.benjamini_hochberg(df, "p", "q").collect()}
     assert got["a"] == pytest.approx(0.03) and got["b"] == pytest.approx(0.04) and got["c"] == pytest.approx(0.04) and got["d"] is None
+
+
+def test_ranks_of_few_large_groups(spark):
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("g"), (F.col("id") * 7919 % 1009).alias("x"))
+    order = [F.desc("x"), F.col("id")]
+    got = windows.ranked(rows, "g", order, "place")
+    expected = rows.withColumn("place", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert {tuple(r) for r in got.select("id", "place").collect()} == {tuple(r) for r in expected.select("id", "place").collect()}
+
+
+def test_first_day_after_many_events_of_one_key(spark):
+    events = spark.range(5000).select(F.lit("a").alias("k"), "id", F.date_add(F.lit(DAY), (F.col("id") % 9).cast("int")).alias("d"))
+    days = spark.createDataFrame([("a", DAY + dt.timedelta(days=i)) for i in (0, 4, 4, 7)], "k string, day date")
+    got = intervals.first_after(events, days, ["k"], "d", "day", "next")
+    found = {(r.d - DAY).days: r.next and (r.next - DAY).days for r in got.select("d", "next").distinct().collect()}
+    assert got.count() == 5000 and found == {0: 4, 1: 4, 2: 4, 3: 4, 4: 7, 5: 7, 6: 7, 7: None, 8: None}
+
+
+def test_sources_are_packed_for_the_executors(spark):
+    import zipfile
+
+    from panelweave.sources import ship
+    ship.ship(spark)
+    ship.ship(spark)
+    packed = [f for f in spark.sparkContext._python_includes if f == "panelweave.zip"]
+    assert len(packed) == 1
+    from pyspark import SparkFiles
+    assert "panelweave/operators/asof.py" in zipfile.ZipFile(SparkFiles.get("panelweave.zip")).namelist()
