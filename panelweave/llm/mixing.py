@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import SPACE, small_join, stage
 
 #: Leading hexadecimal digits by which one round narrows the end of a prefix.
-DIGITS = 3
+DIGITS = 2
 #: Rows per leaf that a window may sort at the end.
-FINE_ROWS = 20_000
+FINE_ROWS = 1_000
 
 
 def word_count(text: Column) -> Column:
