@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACE, ascii_lower, let, stage
+from .common import SPACE, ascii_lower, let, small_join, stage
 
 
 def split_lines(text: Column) -> Column:
@@ -47,7 +47,7 @@ def bitmaps(docs: DataFrame, min_docs: int = 3, min_length: int = 20) -> DataFra
     first = ranged.groupBy("_pw_hash", "_pw_doc").agg(F.lit(1).alias("_pw_one"))
     shared = (first.groupBy("_pw_hash").agg(F.count("*").alias("_pw_n"), F.max("_pw_doc").alias("_pw_keep"))
               .filter(F.col("_pw_n") >= min_docs).select("_pw_hash", "_pw_keep"))
-    gone = ranged.join(shared, "_pw_hash").filter(~F.col("_pw_doc").eqNullSafe(F.col("_pw_keep")))
+    gone = small_join(ranged, stage(shared), ["_pw_hash"]).filter(~F.col("_pw_doc").eqNullSafe(F.col("_pw_keep")))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("_pw_pos") % 64).cast("int"))
     per_word = (gone.withColumn("word", F.floor(F.col("_pw_pos") / 64).cast("int")).repartition("_pw_doc", "_pw_text")
                 .groupBy("_pw_doc", "_pw_text", "word").agg(F.bit_or(bit).alias("bits")))
@@ -63,26 +63,29 @@ def kept_lines(lines: Column, dropped: Column) -> Column:
         "getbit", F.get(bits, F.floor(i / 64).cast("int")), (i % 64).cast("int")) == 0))
 
 
-def decide(docs: DataFrame, min_docs: int = 3, min_length: int = 20) -> DataFrame:
-    """All columns of ``docs`` and ``_pw_lines`` (array), ``dropped`` (null: none), ``n_lines``, ``n_dropped``, ``kept_text``.
-
-    Columns of ``docs`` with the last four names are replaced.
-    """
-    marks = bitmaps(docs, min_docs, min_length).withColumnsRenamed({"_pw_doc": "_pw_d", "_pw_text": "_pw_t"})
-    kept = docs.drop("dropped", "n_lines", "n_dropped", "kept_text").withColumn("_pw_text", text_key(F.col("text")))
-    joined = kept.join(marks, F.col("doc_id").eqNullSafe(F.col("_pw_d")) & (F.col("_pw_text") == F.col("_pw_t")), "left")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    count = F.coalesce(F.aggregate("dropped", F.lit(0).cast("long"), lambda n, d: n + F.bit_count(d["bits"])), F.lit(0).cast("long"))
-    rest = let(split_lines(F.col("text")), lambda lines: F.array_join(kept_lines(lines, F.col("dropped")), "\n"))
+def _decided(docs: DataFrame, min_docs: int, min_length: int) -> DataFrame:
+    """All columns of ``docs`` with the decision as ``_pw_dropped``, ``_pw_n_lines``, ``_pw_n_dropped`` and ``_pw_kept_text``."""
+    marks = bitmaps(docs, min_docs, min_length).withColumnsRenamed({"_pw_doc": "_pw_d", "_pw_text": "_pw_t", "dropped": "_pw_dropped"})
+    own = docs.withColumn("_pw_text", text_key(F.col("text")))
+    joined = own.join(marks, F.col("doc_id").eqNullSafe(F.col("_pw_d")) & (F.col("_pw_text") == F.col("_pw_t")), "left")
+    text, dropped = F.coalesce(F.col("text"), F.lit("")), F.col("_pw_dropped")
+    count = F.coalesce(F.aggregate(dropped, F.lit(0).cast("long"), lambda n, d: n + F.bit_count(d["bits"])), F.lit(0).cast("long"))
+    rest = let(split_lines(F.col("text")), lambda lines: F.array_join(kept_lines(lines, dropped), "\n"))
     n_lines = F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    return joined.select(*kept.columns, "dropped", n_lines.cast("long").alias("n_lines"), count.alias("n_dropped"),
-                         F.when(F.col("dropped").isNull(), text).otherwise(rest).alias("kept_text")).drop("_pw_text")
+    return joined.select(*[F.col(c) for c in docs.columns], dropped, n_lines.cast("long").alias("_pw_n_lines"), count.alias("_pw_n_dropped"),
+                         F.when(dropped.isNull(), text).otherwise(rest).alias("_pw_kept_text"))
+
+
+def decide(docs: DataFrame, min_docs: int = 3, min_length: int = 20) -> DataFrame:
+    """``docs`` with ``dropped`` (null: none), ``n_lines``, ``n_dropped`` and ``kept_text``; columns so named are replaced."""
+    made = ["dropped", "n_lines", "n_dropped", "kept_text"]
+    return _decided(docs, min_docs, min_length).drop(*made).withColumnsRenamed({f"_pw_{c}": c for c in made})
 
 
 def apply(docs: DataFrame, min_docs: int = 3, min_length: int = 20) -> DataFrame:
     """``docs`` with the lines gone from ``text`` and ``n_chars`` (if there) counted anew; other columns as they are."""
-    out = decide(docs, min_docs, min_length)
-    lost = F.col("n_dropped") > 0
-    cells = {"text": F.when(lost, F.col("kept_text")).otherwise(F.col("text")),
-             "n_chars": F.when(lost, F.char_length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return out.select([cells[c].alias(c) if cells.get(c) is not None else c for c in docs.columns])
+    lost = F.col("_pw_n_dropped") > 0
+    cells = {"text": F.when(lost, F.col("_pw_kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        cells["n_chars"] = F.when(lost, F.char_length("_pw_kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return _decided(docs, min_docs, min_length).select([cells[c].alias(c) if c in cells else F.col(c) for c in docs.columns])
