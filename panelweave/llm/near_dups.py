@@ -8,9 +8,10 @@ meet, and their shingle sets are compared exactly: a link is a Jaccard similarit
 
 Equal texts are one class from the start.  Texts that agree in a band are a group.  First, a group is compared with one leader, so a group of n sends n rows, not
 n * n pairs.  What is then still in another class than most of its group, is compared with the rest of the group inside
-tasks, in tiles of ``TILE`` by ``TILE`` texts; only links leave a task.  A group of more than ``DIVIDE`` classes (texts
-that share a frequent passage and little else) is divided by its members' other bands before that: of two texts as
-similar as 0.8 that meet at all, fewer than 1 in 1,000 agree in one band only.  Classes are the connected components of
+tasks, in tiles of ``TILE`` by ``TILE`` texts; only links leave a task.  Groups of more than ``DIVIDE`` classes (texts
+that share a frequent passage and little else) are divided by an exact prefix filter before that: with shingles in one order,
+rarest first, two sets as similar as 0.8 share one of their first n - ceil(0.8 n) + 1, n being the size of each.  So texts meet
+by a shingle of their prefixes, and every pair that is a link is still compared.  Classes are the connected components of
 the links, named by their smallest doc_id.
 
 Defined cases: words are split at white space, A-Z lower-cased; a text of fewer than five words is one shingle; texts
@@ -21,7 +22,8 @@ carried by ``keep_one``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,11 @@ WIDTH = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
-#: Texts on either side of a tile, and differing classes from which a group is divided by other bands.
+#: Texts on either side of a tile, and differing classes from which a group is divided by its texts' rarest shingles.
 TILE = 1024
 DIVIDE = 4096
+#: Slots by which shingles are counted for their order; shingles of a slot count as one there.
+SLOTS = 1 << 18
 #: md5 of the empty text.
 NO_WORDS = bytes.fromhex("d41d8cd98f00b204e9800998ecf8427e")
 
@@ -173,14 +177,14 @@ def _ragged(lists: list[np.ndarray], some: np.ndarray, member: np.ndarray) -> np
 
 
 def _tile(table: pa.Table) -> pa.Table:
-    """Links between the probes and the targets of one tile (key, whole, probe, id, root, keys, shingles) of a group.
+    """Links between the probes and the targets of one tile (key, probe, id, root, keys, shingles) of a group.
 
-    Pairs of one class are left out and, unless the group is a part, those that meet in another group with a smaller key.
+    Pairs of one class are left out, and those that meet in another group with a smaller key.
     """
     probe = np.array(table.column("probe").to_pylist(), dtype=bool)
-    here, ids, whole = table.column("key")[0].as_py(), table.column("id").to_pylist(), table.column("whole")[0].as_py()
+    here, ids = table.column("key")[0].as_py(), table.column("id").to_pylist()
     _, root = np.unique(np.array([r.hex() for r in table.column("root").to_pylist()]), return_inverse=True)
-    keys = [np.array([k for k in x if whole and k < here], dtype=np.int64) for x in table.column("keys").to_pylist()]
+    keys = [np.array([k for k in x if k < here], dtype=np.int64) for x in table.column("keys").to_pylist()]
     sets = [np.frombuffer(x, dtype=np.uint32) for x in table.column("shingles").to_pylist()]
     sizes, targets, found = np.array([len(x) for x in sets]), np.flatnonzero(~probe), []
     for x in np.flatnonzero(probe):
@@ -211,8 +215,8 @@ def links_inside(members: DataFrame, groups: DataFrame, sets: DataFrame) -> Data
     rows = small_join(members, sized, ["key"])
     place = F.xxhash64("id")
     row, column = F.pmod(place, F.col("rows")).cast("int"), F.pmod(place, F.col("columns")).cast("int")
-    targets = rows.select("key", "id", "root", "whole", F.lit(False).alias("probe"), row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
-    probes = rows.filter("root <> main").select("key", "id", "root", "whole", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"))
+    targets = rows.select("key", "id", "root", F.lit(False).alias("probe"), row.alias("row"), F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("column"))
+    probes = rows.filter("root <> main").select("key", "id", "root", F.lit(True).alias("probe"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), column.alias("column"))
     filled = small_join(targets.unionByName(probes), sets, ["id"])
     return filled.groupBy("key", "row", "column").applyInArrow(_tile, "a binary, b binary, similarity double")
 
@@ -267,16 +271,15 @@ def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _open_groups(left: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (key, id, root) of groups that still hold several classes; (key, members, outside, classes, main, whole) of these.
+    """Members (key, id, root) of groups that still hold several classes; (key, members, outside, classes, main) of these.
 
-    ``main`` is the largest class, ``outside`` the number of members that are not in it, ``whole`` is false for a group's part.
+    ``main`` is the largest class, ``outside`` the number of members that are not in it.
     """
-    rooted = stage(_rooted(left.select("key", "id", "whole"), roots))
-    classes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"), F.first("whole").alias("whole"))
-    groups = classes.groupBy("key").agg(F.sum("n").alias("members"), F.count("*").alias("classes"), F.first("whole").alias("whole"),
-                                        F.max(F.struct("n", "root")).alias("most"))
+    rooted = stage(_rooted(left.select("key", "id"), roots))
+    classes = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    groups = classes.groupBy("key").agg(F.sum("n").alias("members"), F.count("*").alias("classes"), F.max(F.struct("n", "root")).alias("most"))
     groups = stage(groups.filter("classes > 1").select(
-        "key", "members", "classes", "whole", (F.col("members") - F.col("most.n")).alias("outside"), F.col("most.root").alias("main")))
+        "key", "members", "classes", (F.col("members") - F.col("most.n")).alias("outside"), F.col("most.root").alias("main")))
     return small_join(rooted, groups.select("key"), ["key"]), groups
 
 
@@ -293,20 +296,46 @@ def connect(signed: DataFrame, docs: DataFrame) -> DataFrame:
     sets = stage(own.select("id", "keys", "text").mapInArrow(_sets, "id binary, keys array<long>, shingles binary").dropDuplicates(["id"]))
     pairs = met.filter("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     roots = components(links(pairs, sets))
-    members, groups = _open_groups(met.withColumn("whole", F.lit(True)), roots)
-    if not groups.filter(F.col("classes") > DIVIDE).isEmpty():
-        members, groups = _divided(members, groups, met, roots)
-    return extend(roots, stage(links_inside(members, groups, sets)))
+    members, groups = _open_groups(met, roots)
+    found = links_inside(members, groups.filter(F.col("classes") <= DIVIDE), sets)
+    wide = groups.filter(F.col("classes") > DIVIDE).select("key")
+    if not wide.isEmpty():
+        found = found.unionByName(_links_of_wide(members.join(wide, "key").select("id").distinct(), roots, sets))
+    return extend(roots, stage(found))
 
 
-def _divided(members: DataFrame, groups: DataFrame, met: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Open groups, those of more than ``DIVIDE`` classes divided by the other bands that their members share."""
-    wide = groups.filter(F.col("classes") > DIVIDE).select("key")
-    rest = members.join(wide, "key", "left_anti").select("key", "id", F.lit(True).alias("whole"))
-    inside = members.join(wide, "key").select(F.col("key").alias("first"), "id")
-    parts = (inside.join(met.select("id", F.col("key").alias("second")), "id").filter("first <> second")
-             .select(F.xxhash64("first", "second").alias("key"), "id", F.lit(False).alias("whole")))
-    return _open_groups(rest.unionByName(parts), roots)
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(slot, n) of the shingles of a task's texts (id, shingles)."""
+    n = np.zeros(SLOTS, dtype=np.int64)
+    for batch in batches:
+        for x in batch.column(1):
+            np.add.at(n, np.frombuffer(x.as_buffer(), dtype=np.uint32) % SLOTS, 1)
+    some = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(n[some])], ["slot", "n"])
+
+
+def prefix(shingles: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The rarest shingles of a set, of which two sets of a similarity of ``SIMILARITY`` or more share at least one."""
+    size = len(shingles) - math.ceil(SIMILARITY * len(shingles) - 1e-9) + 1
+    return shingles[np.lexsort((shingles, often[shingles % SLOTS]))[:size]]
+
+
+def _prefixes(often: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [prefix(np.frombuffer(x.as_buffer(), dtype=np.uint32), often).astype(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.list_(pa.int64())), batch.column(1)], ["id", "keys", "shingles"])
+    return run
+
+
+def _links_of_wide(wide: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the texts ``wide`` (id), which meet by the shingles of their prefixes instead of by bands."""
+    own = stage(small_join(sets.select("id", "shingles"), wide, ["id"]))
+    often = np.zeros(SLOTS, dtype=np.int64)
+    for slot, n in own.mapInArrow(_slots, "slot long, n long").groupBy("slot").agg(F.sum("n")).toLocalIterator():
+        often[slot] = n
+    parts = stage(own.mapInArrow(_prefixes(often), "id binary, keys array<long>, shingles binary"))
+    return links_inside(*_open_groups(parts.select("id", F.explode("keys").alias("key")), roots), parts)
 
 
 def sign(docs: DataFrame) -> DataFrame:

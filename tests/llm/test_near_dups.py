@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 from collections import defaultdict
@@ -105,3 +106,30 @@ def test_keep_one_and_edges(spark, documents):
     assert near_dups.classes(documents(rows).limit(0)).count() == near_dups.keep_one(documents(rows).limit(0)).count() == 0
     nulls = documents([(None, text, "en", "s"), (None, text, "en", "s"), (4, text)])
     assert [r["doc_id"] for r in near_dups.keep_one(nulls).collect()] == [4]
+
+
+def test_wide_groups_keep_pairs_that_meet_in_one_band(spark, documents, monkeypatch):
+    monkeypatch.setattr(near_dups, "DIVIDE", 3)
+    rng = random.Random(8)
+    lists = [[f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(12)]
+    lists += [[*w[:98], "an", "end"] for w in lists]
+    rows = sorted(((" ".join(w) for w in lists)), key=lambda t: hashlib.md5(t.encode()).digest())
+    first = rows[0].split()[:90]  # the leader is compared with all anyway
+    rows = [(i, t) for i, t in enumerate(rows) if i == 0 or t.split()[:90] != first]
+    signed = spark.createDataFrame([(i, hashlib.md5(t.encode()).digest(), [7, 1000 + i]) for i, t in rows], "doc_id long, id binary, bands array<long>")
+    roots = {bytes(r["id"]): bytes(r["root"]) for r in near_dups.connect(signed, documents(rows)).collect()}
+    names = {i: hashlib.md5(t.encode()).digest() for i, t in rows}
+    got = {i: roots.get(name, name) for i, name in names.items()}
+    want = brute(rows)
+    assert len(rows) - len(set(want.values())) == 11
+    assert all((got[i] == got[j]) == (want[i] == want[j]) for i in want for j in want if i < j)
+
+
+def test_prefixes_of_similar_sets_meet():
+    rng = np.random.default_rng(4)
+    often = rng.integers(0, 5, near_dups.SLOTS)
+    for n in range(1, 60):
+        x = rng.choice(1 << 32, n, replace=False).astype(np.uint32)
+        kept = x[:-(-4 * n // 5)]  # exactly 0.8 wherever 5 divides n
+        y = np.unique(kept)
+        assert np.isin(near_dups.prefix(np.unique(x), often), near_dups.prefix(y, often)).any()
