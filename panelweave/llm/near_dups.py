@@ -1,10 +1,11 @@
 """Near-duplicates by ProbMinHash.
 
-A text's five-word shingles are weighted by 1 + ln(times they occur).  ProbMinHash throws each shingle's arrivals, a Poisson
-process whose rate is its weight, into ``REGISTERS`` registers; a register keeps the shingle that arrived first, and a
-process ends once its next arrival is later than every register (early termination).  Two texts agree in a register with
-the probability Jaccard similarity of their weighted shingles.  Registers are cut into bands; texts that agree in a band
-meet, and their shingle sets are compared exactly: a link is a Jaccard similarity of at least ``SIMILARITY``.
+ProbMinHash throws the arrivals of each of a text's five-word shingles, a Poisson process whose rate is its weight, into
+``REGISTERS`` registers; a register keeps the shingle that arrived first, and a process ends once its next arrival is later
+than every register (early termination).  Two texts agree in a register with the probability Jaccard similarity of their
+weighted shingles.  Every distinct shingle weighs 1, however often it occurs, so this is the Jaccard similarity of the
+shingle sets.  Registers are cut into bands; texts that agree in a band meet, and their shingle sets are compared exactly:
+a link is a Jaccard similarity of at least ``SIMILARITY``.
 
 Equal texts are one class from the start.  Texts that agree in a band are a group.  First, a group is compared with one leader, so a group of n sends n rows, not
 n * n pairs.  What is then still in another class than most of its group, is compared with the rest of the group inside
@@ -83,16 +84,16 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, mix((sums[ends] - sums[starts]) * _powers(_BACK, len(data) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def shingles(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the distinct shingles, how often each occurs) of one text's bytes."""
+def shingles(text: np.ndarray) -> np.ndarray:
+    """Hashes of the distinct shingles of one text's bytes."""
     _, words = word_hashes(text)
     if not len(words):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64)
     width = min(WIDTH, len(words))
     total = np.zeros(len(words) - width + 1, dtype=np.uint64)
     for k in range(width):
         total = mix(total + words[k:len(words) - width + 1 + k] + _U(k))
-    return np.unique(total, return_counts=True)
+    return np.unique(total)
 
 
 def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, texts: int, registers: int = REGISTERS) -> np.ndarray:
@@ -121,7 +122,7 @@ def prob_min_hash(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, te
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Packed shingles of each text (id, keys, text)."""
     for batch in batches:
-        packed = [_packed(shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8))[0]) for t in batch.column(2)]
+        packed = [_packed(shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8))) for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "keys", "shingles"])
 
 
@@ -129,11 +130,10 @@ def _packed(hashes: np.ndarray) -> bytes:
     return np.unique((hashes >> _U(32)).astype(np.uint32)).tobytes()
 
 
-def band_keys(found: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Band keys (texts x bands) of texts given as (shingle hashes, counts), none of them empty."""
-    element = np.concatenate([h for h, _ in found])
-    weight = 1 + np.log(np.concatenate([c for _, c in found]).astype(np.float64))
-    signed = prob_min_hash(np.repeat(np.arange(len(found)), [len(h) for h, _ in found]), element, weight, len(found))
+def band_keys(found: list[np.ndarray]) -> np.ndarray:
+    """Band keys (texts x bands) of texts given as shingle hashes, none of them empty."""
+    element = np.concatenate(found)
+    signed = prob_min_hash(np.repeat(np.arange(len(found)), [len(h) for h in found]), element, np.ones(len(element)), len(found))
     keys = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), (len(found), BANDS))
     for r in range(ROWS):
         keys = mix(keys + signed[:, r::ROWS])
@@ -146,7 +146,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
             found = [shingles(np.frombuffer(t.as_buffer(), dtype=np.uint8)) for t in part.column(2)]
-            full = [bool(len(h)) for h, _ in found]
+            full = [bool(len(h)) for h in found]
             keys = band_keys([f for f, ok in zip(found, full, strict=True) if ok]) if any(full) else np.zeros((0, BANDS), dtype=np.uint64)
             ends = np.concatenate(([0], np.cumsum(full))).astype(np.int32) * BANDS
             bands = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64)))

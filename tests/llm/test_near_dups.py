@@ -133,3 +133,15 @@ def test_prefixes_of_similar_sets_meet():
         kept = x[:-(-4 * n // 5)]  # exactly 0.8 wherever 5 divides n
         y = np.unique(kept)
         assert np.isin(near_dups.prefix(np.unique(x), often), near_dups.prefix(y, often)).any()
+
+
+def test_repeated_lines_weigh_no_more(spark, documents):
+    rng, rows = random.Random(3), []
+    for k in range(30):
+        body = [f"b{rng.randrange(9000)}" for _ in range(120)]
+        for _ in range(2):
+            footer = [f"f{rng.randrange(9000)}" for _ in range(8)]
+            rows.append((len(rows), " ".join(body + footer * (2, 10, 30)[k % 3])))
+    want = brute(rows)
+    assert len(set(want.values())) == 30
+    assert {r["doc_id"]: r["class_id"] for r in near_dups.classes(documents(rows)).collect()} == want
