@@ -5,8 +5,8 @@ decides.  URLs without a rule are judged by trees that were fitted to labelled U
 parameter counts and the share of bad URLs per host suffix (smoothed towards the overall share).
 
 The trees are fitted on at most ``fit_rows`` labelled URLs (a bounded sample of the labelled rows by hash, as fitting
-passes over the rows many times); every URL is scored.  With labels of fewer than two classes the
-verdict is ``allow``.
+passes over the rows many times); the counts per suffix and the overall share are those of all labelled rows, and every URL
+is scored.  With labels of fewer than two classes, in the table or in the sample, the verdict is ``allow``.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule fits it and it is scored like any
 other; equal URLs get equal verdicts; an empty table gives an empty result; input columns named as an output column are
@@ -21,11 +21,11 @@ from dataclasses import dataclass
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower, let, small_join, stage
 
-#: Bound on the labelled rows that the trees are fitted on, and on the suffixes that are counted from them.
+#: Bound on the labelled rows that the trees are fitted on.
 FIT_ROWS = 20_000
 FOLDS = 5
 
@@ -119,20 +119,23 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 12, depth: i
     """Fit to ``labelled`` (url, bad: 0 or 1; other rows are left out)."""
     host, path = host_and_path(F.col("url"))
     rows = labelled.select("url", F.col("bad").cast("double").alias("_pw_bad")).filter("_pw_bad IN (0.0, 1.0)")
-    there = rows.count()
-    if there > fit_rows:  # a share by hash first, so that no task has to find the smallest hashes among all rows
-        rows = rows.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < math.ceil(1_500_000 * fit_rows / there))
-        rows = rows.orderBy(F.pmod(F.xxhash64("url"), F.lit(1_000_000)), "url", "_pw_bad").limit(fit_rows)
-    made = stage(features(rows.withColumns({"host": host, "path": path})))
-    n, bad = made.agg(F.count("*"), F.coalesce(F.sum("_pw_bad"), F.lit(0.0))).first()
+    # all labelled rows are counted by suffix and fold; only the trees are fitted on a sample
+    fold = F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(FOLDS)).alias("_pw_fold")
+    folds = stage(rows.groupBy(suffix(host).alias("_pw_suffix"), fold).agg(F.count("*").cast("double").alias("_pw_fold_n"), F.sum("_pw_bad").alias("_pw_fold_b")))
+    suffixes = stage(folds.groupBy("_pw_suffix").agg(F.sum("_pw_fold_n").alias("_pw_n"), F.sum("_pw_fold_b").alias("_pw_b")))
+    n, bad = suffixes.agg(F.coalesce(F.sum("_pw_n"), F.lit(0.0)), F.coalesce(F.sum("_pw_b"), F.lit(0.0))).first()
     share = bad / n if n else 0.0
-    suffixes = stage(made.groupBy("_pw_suffix").agg(F.count("*").cast("double").alias("_pw_n"), F.sum("_pw_bad").alias("_pw_b")))
     if bad in (0, n):
         return Model(None, suffixes, share)
+    if n > fit_rows:  # a share by hash first, so that no task has to find the smallest hashes among all rows
+        rows = rows.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < math.ceil(1_500_000 * fit_rows / n))
+        rows = rows.orderBy(F.pmod(F.xxhash64("url"), F.lit(1_000_000)), "url", "_pw_bad").limit(fit_rows)
+    made = stage(features(rows.withColumns({"host": host, "path": path})).withColumn("_pw_fold", fold))
+    if made.select("_pw_bad").distinct().count() < 2:
+        return Model(None, suffixes, share)
     # a row sees its suffix's labels from the other folds only, else the trees would read the label from them
-    all_folds, fold = Window.partitionBy("_pw_suffix"), Window.partitionBy("_pw_suffix", F.pmod(F.xxhash64(F.lit(seed), "url"), F.lit(FOLDS)))
-    own = made.withColumns({"_pw_n": F.count("*").over(all_folds) - F.count("*").over(fold).cast("double"),
-                            "_pw_b": F.sum("_pw_bad").over(all_folds) - F.sum("_pw_bad").over(fold)})
+    own = small_join(small_join(made, suffixes, ["_pw_suffix"]), folds, ["_pw_suffix", "_pw_fold"])
+    own = own.withColumns({"_pw_n": F.col("_pw_n") - F.col("_pw_fold_n"), "_pw_b": F.col("_pw_b") - F.col("_pw_fold_b")})
     vectors = _vectors(own, share).select("_pw_x", "_pw_bad").coalesce(1)
     steps = GBTClassifier(featuresCol="_pw_x", labelCol="_pw_bad", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3,
                           minInstancesPerNode=20, seed=seed, cacheNodeIds=False, checkpointInterval=-1)

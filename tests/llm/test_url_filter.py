@@ -74,3 +74,11 @@ def test_entropy_and_edges(spark):
     assert url_filter.judge(empty, RULES, model).count() == 0
     one_class = url_filter.fit(labelled(spark, 300).filter("bad = 1"))
     assert url_filter.judge(spark.createDataFrame([("http://x.org/",), ("http://x.org/",)], "url string"), [], one_class).select("verdict").collect() == [("allow",)] * 2
+
+
+def test_suffixes_are_counted_from_all_labels(spark):
+    data = labelled(spark, 1000)
+    model = url_filter.fit(data, fit_rows=100)
+    want = data.groupBy(url_filter.suffix(url_filter.host_and_path(F.col("url"))[0])).agg(F.count("*"), F.sum("bad"))
+    assert sorted(map(tuple, model.suffixes.select("_pw_suffix", "_pw_n", "_pw_b").collect())) == sorted(map(tuple, want.collect()))
+    assert model.trees is not None and model.share == data.agg(F.avg("bad")).first()[0]
