@@ -3,8 +3,11 @@
 A page is cut into blocks at block-level tags.  First pass: blocks in navigation, page headers, footers, sidebars, forms,
 adverts, notices and comments (by tag, role, class or id) are out; the others are decided by length, link density and
 stop-word density.  Second pass: short or middling blocks take the label of the nearest decided block before or after
-them; headings look ahead first.  Where a page marks its article (``article``, ``main`` or role main), only blocks inside it
-can be kept, longer ones need no stop words there, and neighbours are those inside it.
+them; headings look ahead first.  The stop words are those of four languages: a page whose longer blocks have few of them
+altogether is in another language, and its blocks are decided by length and link density alone.  On other pages a block of
+few stop words (a table, names, code) is in where the nearest decided blocks on both sides are.  Where a page marks its
+article (``article``, ``main`` or role main), only blocks inside it can be kept, longer ones need no stop words there, and
+neighbours are those inside it.
 
 Character references are decoded, white space becomes one space, blocks are joined by one space.  Nothing kept is cut.
 
@@ -28,6 +31,8 @@ from pyspark.sql import DataFrame, functions as F
 SHORT = 40
 LINKS = 0.5
 STOP_HIGH, STOP_LOW = 0.30, 0.12
+#: Share of letters (without combining marks) below which a block in another language is not text.
+LETTERS = 0.25
 
 #: Frequent function words of four languages.
 STOP_WORDS = frozenset("""
@@ -180,15 +185,38 @@ def parse(html: str) -> list[Block]:
     return page.blocks
 
 
-def _first_label(block: Block, marked: bool) -> str:
+def _first_label(block: Block, marked: bool, listed: bool) -> str:
     if block.link_density > LINKS:
         return "out"
     if len(block.text) < SHORT:
         return "short"
     if marked:
         return "in"
+    if not listed:
+        return "in" if sum(map(len, _WORD.findall(block.text))) >= LETTERS * len(block.text) else "out"
     density = block.stop_density
-    return "in" if density >= STOP_HIGH else "middling" if density >= STOP_LOW else "out"
+    return "in" if density >= STOP_HIGH else "middling" if density >= STOP_LOW else "low"
+
+
+def _listed(blocks: list[Block]) -> bool:
+    """Are the longer blocks that are not links in a language of the stop words?"""
+    words = [w for b in blocks if len(b.text) >= SHORT and b.link_density <= LINKS for w in _WORD.findall(b.text.lower())]
+    return sum(w in STOP_WORDS for w in words) >= STOP_LOW * len(words)
+
+
+def _low_label(blocks: list[Block]) -> None:
+    """Blocks of few stop words are in between two blocks that are; where no block is in, they are middling."""
+    decided = [i for i, b in enumerate(blocks) if b.label in ("in", "out")]
+    some, k = any(blocks[i].label == "in" for i in decided), 0
+    labels = [b.label for b in blocks]
+    for i, b in enumerate(blocks):
+        while k < len(decided) and decided[k] < i:
+            k += 1
+        if b.label == "low":
+            between = 0 < k < len(decided) and blocks[decided[k - 1]].label == blocks[decided[k]].label == "in"
+            labels[i] = "middling" if not some else "in" if between else "out"
+    for b, label in zip(blocks, labels, strict=True):
+        b.label = label
 
 
 def _second_label(blocks: list[Block]) -> None:
@@ -225,8 +253,10 @@ def label(blocks: list[Block]) -> list[Block]:
     open_ = [b for b in blocks if not b.skipped and (b.inside or not marked)]
     for b in blocks:
         b.label = "out"
+    listed = marked or _listed(open_)
     for b in open_:
-        b.label = _first_label(b, marked)
+        b.label = _first_label(b, marked, listed)
+    _low_label(open_)
     _second_label(open_)
     return blocks
 

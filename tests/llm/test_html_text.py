@@ -46,3 +46,16 @@ def test_edges(spark):
     whole = " ".join([LONG] * 5000)
     assert got == [(1, TEXT, len(TEXT)), (1, TEXT, len(TEXT)), (2, "", 0), (3, "", 0), (4, "", 0), (5, whole, len(whole))]
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_unmarked_page_in_an_unlisted_language():
+    first = "Комитет сообщил, что заседание пройдёт на севере острова и что добавить больше нечего."
+    second = "Η επιτροπή ανακοίνωσε ότι η συνεδρίαση θα γίνει στο βόρειο τμήμα του νησιού την Κυριακή."
+    links = "<div><a href=x>Главная страница сайта</a> <a href=y>Последние новости</a></div>"
+    assert text(f"{links}<h2>Заголовок</h2><p>{first}</p><p>Да.</p><p>{second}</p>{links}") == f"Заголовок {first} Да. {second}"
+
+
+def test_names_between_paragraphs_are_kept():
+    names = "Abara Lindqvist, Chidi Okonkwo, Marta Kowalska, Jan Novak, Ines Duarte"
+    assert text(f"<div>{LONG}</div><div>{names}</div><div>{LONG}</div>") == f"{LONG} {names} {LONG}"
+    assert text(f"<div>{names}</div>") == names
