@@ -7,7 +7,8 @@ them; headings look ahead first.  The stop words are those of four languages: a
 altogether is in another language, and its blocks are decided by length and link density alone.  On other pages a block of
 few stop words (a table, names, code) is in where the nearest decided blocks on both sides are.  Where a page marks its
 article (``article``, ``main`` or role main), only blocks inside it can be kept, longer ones need no stop words there, and
-neighbours are those inside it.
+neighbours are those inside it; for their links alone only runs of list items that are links are out there, other blocks of
+links (headings, quotations) take the label of their neighbours.
 
 Character references are decoded, white space becomes one space, blocks are joined by one space.  Nothing kept is cut.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 #: Length in characters below which a block is short, and the densities that decide the others.
 SHORT = 40
-LINKS = 0.5
+LINKS, ALL_LINKS = 0.5, 0.9
 STOP_HIGH, STOP_LOW = 0.30, 0.12
 #: Share of letters (without combining marks) below which a block in another language is not text.
 LETTERS = 0.25
@@ -73,6 +74,7 @@ class Block:
     heading: bool
     skipped: bool
     inside: bool
+    item: bool = False
     label: str = ""
 
     @property
@@ -97,11 +99,11 @@ class _Parser:
     links: int = 0
     heading: int = 0
     pieces: list[tuple[str, bool]] = field(default_factory=list)
-    here: tuple[bool, bool, bool] = (False, False, False)
+    here: tuple[bool, bool, bool, bool] = (False, False, False, False)
 
     def text(self, raw: str) -> None:
         if raw and not self.pieces:
-            self.here = (self.heading > 0, self.skipped > 0, self.inside > 0)
+            self.here = (self.heading > 0, self.skipped > 0, self.inside > 0, self.names["li"] > 0)
         if raw:
             self.pieces.append((raw, self.links > 0))
 
@@ -187,7 +189,7 @@ def parse(html: str) -> list[Block]:
 
 def _first_label(block: Block, marked: bool, listed: bool) -> str:
     if block.link_density > LINKS:
-        return "out"
+        return "out" if not marked else "short" if len(block.text) < SHORT else "middling"
     if len(block.text) < SHORT:
         return "short"
     if marked:
@@ -254,8 +256,10 @@ def label(blocks: list[Block]) -> list[Block]:
     for b in blocks:
         b.label = "out"
     listed = marked or _listed(open_)
-    for b in open_:
-        b.label = _first_label(b, marked, listed)
+    items = [b.item and not b.heading and b.link_density > ALL_LINKS for b in open_]
+    for i, b in enumerate(open_):
+        run = items[i] and any(items[max(i - 1, 0):i] + items[i + 1:i + 2])
+        b.label = "out" if run else _first_label(b, marked, listed)
     _low_label(open_)
     _second_label(open_)
     return blocks

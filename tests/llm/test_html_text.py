@@ -59,3 +59,13 @@ def test_names_between_paragraphs_are_kept():
     names = "Abara Lindqvist, Chidi Okonkwo, Marta Kowalska, Jan Novak, Ines Duarte"
     assert text(f"<div>{LONG}</div><div>{names}</div><div>{LONG}</div>") == f"{LONG} {names} {LONG}"
     assert text(f"<div>{names}</div>") == names
+
+
+def test_links_inside_an_article():
+    linked = f"<p><a href=q>{LONG}</a></p>"
+    assert text(f"<article><h1><a href=p>A headline that is a permalink</a></h1><p>{LONG}</p>{linked}<p>Es.</p><p>{LONG}</p></article>") == (
+        f"A headline that is a permalink {LONG} {LONG} Es. {LONG}")
+    menu = "<ul>" + "".join(f"<li><a href={i}>Entry {i}</a></li>" for i in range(5)) + "</ul>"
+    assert text(f"<article><p>{LONG}</p>{menu}</article>") == LONG
+    sources = "<ul><li>Ann Lee: <a href=1>A report on the island</a></li><li>Bo Roe: <a href=2>A second report on it</a></li></ul>"
+    assert text(f"<article><p>{LONG}</p>{sources}</article>") == f"{LONG} Ann Lee: A report on the island Bo Roe: A second report on it"
