@@ -10,6 +10,13 @@ article (``article``, ``main`` or role main), only blocks inside it can be kept,
 neighbours are those inside it; for their links alone only runs of list items that are links are out there, other blocks of
 links (headings, quotations) take the label of their neighbours.
 
+A class or id names such a zone as a whole: alone (``sidebar``), with words of place or form (``sidebar-left``, ``footer_links``)
+or, for names that mean nothing else, after any word (``post-comments``).  Words of state (``has-sidebar``, ``no-comments``) name
+none.  A zone by class, id or form that holds the page's only article does not hide it.
+
+End tags that HTML lets one leave out are implied: a paragraph ends where a block starts; list items, terms, rows, cells and
+options end where the next one starts.  An attribute whose quote is not closed ends with its tag.
+
 Character references are decoded, white space becomes one space, blocks are joined by one space.  Nothing kept is cut.
 
 Defined cases: null, empty and text-less pages give an empty text; plain text without tags is one block; unclosed tags end
@@ -48,25 +55,60 @@ desde todo nos ya fue ha son
 """.split())
 
 _SKIPPED_TAGS = frozenset("nav aside footer form noscript template select button textarea iframe svg dialog menu object canvas fieldset datalist".split())
+#: Zones that may hold the whole page, and those that never do.
+SOFT, HARD = 1, 2
+_SOFT_TAGS = frozenset(("form", "dialog", "fieldset"))
+_HEADER_NAMES = frozenset("header site-header page-header top-header main-header global-header header-wrapper header-container".split())
 _RAW_TAGS = frozenset("script style title".split())
 _VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE_TAGS = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span
 strike strong sub sup time tt u var wbr""".split())
-_SKIPPED_NAMES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr
-notice notices popup modal overlay newsletter subscribe subscription sidebar menu navbar nav navigation breadcrumb breadcrumbs masthead footer
-comment comments disqus reply replies respond related recommended recommendations share sharing social toolbar pagination pager login signup
-search widget widgets topbar""".split())
+_CLEAR_NAMES = frozenset("""advert adverts advertisement advertisements advertising cookie cookies consent gdpr newsletter sidebar menu navbar
+nav navigation breadcrumb breadcrumbs masthead footer comment comments disqus replies pagination pager toolbar topbar popup modal""".split())
+_SKIPPED_NAMES = _CLEAR_NAMES | frozenset("""ad ads sponsor sponsored sponsors promo promos promotion promotions banner banners notice notices
+overlay subscribe subscription reply respond related recommended recommendations share sharing social login signup search widget
+widgets""".split())
+#: Words of place and form that leave a name what it is, and words of state that make it no name.
+_FORM_NAMES = frozenset("""left right top bottom upper lower first last main primary secondary site page global header head title label body
+content inner outer box wrap wrapper container holder list item items link links icon icons button buttons bar block area section
+panel slot unit group row column col form field text message thread count posts articles stories card cards image thumbnail policy
+side mobile desktop""".split())
+_STATE_NAMES = frozenset("has have no non not without with hide hidden show is are js un enable enabled disable disabled".split())
 _COMMENT_NAMES = frozenset("comment comments reply replies disqus respond".split())
 _SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"(?=[\s/>])|'[^']*'(?=[\s/>]))*+(?=>)|[^<>]*+)>", re.S)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-_NAME = re.compile(r"[a-z]+|[0-9]+")
+_NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+#: Elements that end an open one of the given names, unless one of the bounds lies between.
+_ENDS_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5
+h6 header hgroup hr main menu nav ol p pre search section summary table ul""".split())
+_IMPLIED = {"li": (("li",), frozenset(("ul", "ol", "menu"))), "dt": (("dt", "dd"), frozenset(("dl",))), "dd": (("dt", "dd"), frozenset(("dl",))),
+            "td": (("td", "th"), frozenset(("table", "tr"))), "th": (("td", "th"), frozenset(("table", "tr"))),
+            "tr": (("tr",), frozenset(("table",))), "option": (("option",), frozenset(("select", "datalist")))}
+_BOUNDS_P = frozenset("td th table caption object button template li dd dt".split())
+
+
+def names_zone(value: str) -> bool:
+    """Does one class or id name a zone that is left out?"""
+    parts = [p.lower() for p in _NAME.findall(value) if len(p) > 1]
+    if not parts or parts[0] in _STATE_NAMES:
+        return False
+    if all(p in _SKIPPED_NAMES or p in _FORM_NAMES for p in parts) and any(p in _SKIPPED_NAMES and p not in _FORM_NAMES for p in parts):
+        return True
+    if len(parts) == 1:
+        return parts[0] in _SKIPPED_NAMES
+    while len(parts) > 1 and parts[-1] in _FORM_NAMES and parts[-1] not in _CLEAR_NAMES:
+        parts.pop()
+    return parts[-1] in _CLEAR_NAMES
+
+
 @dataclass
 class Block:
     text: str
@@ -75,6 +117,7 @@ class Block:
     skipped: bool
     inside: bool
     item: bool = False
+    wrapped: bool = False
     label: str = ""
 
     @property
@@ -92,18 +135,21 @@ class _Parser:
     """Open elements and the block being gathered."""
 
     blocks: list[Block] = field(default_factory=list)
-    open: list[tuple[str, bool, bool]] = field(default_factory=list)  # name, starts a skipped zone, starts the article
+    open: list[tuple[str, int, bool]] = field(default_factory=list)  # name, skipped zone it starts (SOFT, HARD), starts the article
     names: Counter = field(default_factory=Counter)
-    skipped: int = 0
+    hard: int = 0
+    soft: int = 0
+    wrapped: int = 0
     inside: int = 0
     links: int = 0
     heading: int = 0
     pieces: list[tuple[str, bool]] = field(default_factory=list)
-    here: tuple[bool, bool, bool, bool] = (False, False, False, False)
+    here: tuple[bool, ...] = ()
 
     def text(self, raw: str) -> None:
         if raw and not self.pieces:
-            self.here = (self.heading > 0, self.skipped > 0, self.inside > 0, self.names["li"] > 0)
+            skipped = self.hard > 0 or self.soft > self.wrapped
+            self.here = (self.heading > 0, skipped, self.inside > 0, self.names["li"] > 0, self.inside > 0 and self.wrapped > 0)
         if raw:
             self.pieces.append((raw, self.links > 0))
 
@@ -116,6 +162,7 @@ class _Parser:
             self.pieces = []
 
     def start(self, name: str, attrs: str) -> None:
+        self.imply(name)
         skip, article = self.zone(name, attrs)
         if name not in _INLINE_TAGS or skip:
             self.end_block()
@@ -125,9 +172,32 @@ class _Parser:
         self.names[name] += 1
         self.count(name, skip, article, 1)
 
-    def count(self, name: str, skip: bool, article: bool, by: int) -> None:
-        self.skipped += by * skip
-        self.inside += by * article
+    def imply(self, name: str) -> None:
+        """End the elements whose end tag may be left out before a start tag of that name."""
+        if name in _ENDS_P and self.names["p"]:
+            self.end_inside(("p",), _BOUNDS_P)
+        if name in _IMPLIED:
+            names, bounds = _IMPLIED[name]
+            if any(self.names[n] for n in names):
+                self.end_inside(names, bounds)
+
+    def end_inside(self, names: tuple[str, ...], bounds: frozenset[str]) -> None:
+        for top, _, _ in reversed(self.open):
+            if top in bounds:
+                return
+            if top in names:
+                self.end(top)
+                return
+
+    def count(self, name: str, skip: int, article: bool, by: int) -> None:
+        if article:
+            if by > 0 and not self.inside:
+                self.wrapped = self.soft  # zones around the article, by class, id or form
+            self.inside += by
+            if not self.inside:
+                self.wrapped = 0
+        self.hard += by * (skip == HARD)
+        self.soft += by * (skip == SOFT)
         self.links += by * (name == "a")
         self.heading += by * (len(name) == 2 and name[0] == "h" and name[1] in "123456")
 
@@ -145,21 +215,22 @@ class _Parser:
             if top == name:
                 return
 
-    def zone(self, name: str, attrs: str) -> tuple[bool, bool]:
-        """(does the element start a zone that is left out, is it the article)."""
+    def zone(self, name: str, attrs: str) -> tuple[int, bool]:
+        """(zone that is left out and starts here: 0, SOFT or HARD, is it the article)."""
         if name in _SKIPPED_TAGS or (name == "header" and not self.inside):
-            return True, False
-        found = {k.lower(): unescape(a or b or c or "").lower() for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip(" /") else {}
-        names = {n for n in _NAME.findall(found.get("class", "") + " " + found.get("id", ""))} if found else set()
-        role = found.get("role", "")
-        article = name in ("article", "main") or role == "main"
+            return SOFT if name in _SOFT_TAGS else HARD, False
+        found = {k.lower(): unescape(a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)} if attrs.strip(" /") else {}
+        values = f"{found.get('class', '')} {found.get('id', '')}".split() if found else []
+        role = found.get("role", "").lower()
         if name in ("html", "body"):
-            return False, False
-        if article:
-            return bool(names & _COMMENT_NAMES), not names & _COMMENT_NAMES
-        hidden = "hidden" in found or found.get("aria-hidden") == "true" or bool(_HIDDEN.search(found.get("style", "")))
-        named = bool(names & _SKIPPED_NAMES) or ("header" in names and not self.inside)
-        return hidden or named or role in _SKIPPED_ROLES, False
+            return 0, False
+        if name in ("article", "main") or role == "main":
+            comment = any(p.lower() in _COMMENT_NAMES for v in values for p in _NAME.findall(v) if names_zone(v))
+            return (HARD, False) if comment else (0, True)
+        if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(found.get("style", "")):
+            return HARD, False
+        named = any(map(names_zone, values)) or (not self.inside and any(v.lower() in _HEADER_NAMES for v in values))
+        return SOFT if named or role in _SKIPPED_ROLES else 0, False
 
 
 def parse(html: str) -> list[Block]:
@@ -251,8 +322,9 @@ def _second_label(blocks: list[Block]) -> None:
 
 
 def label(blocks: list[Block]) -> list[Block]:
+    apart = any(b.inside and not b.skipped and not b.wrapped for b in blocks)  # an article outside all zones
     marked = any(b.inside and not b.skipped for b in blocks)
-    open_ = [b for b in blocks if not b.skipped and (b.inside or not marked)]
+    open_ = [b for b in blocks if not b.skipped and (b.inside or not marked) and not (apart and b.wrapped)]
     for b in blocks:
         b.label = "out"
     listed = marked or _listed(open_)

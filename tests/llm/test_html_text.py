@@ -69,3 +69,71 @@ def test_links_inside_an_article():
     assert text(f"<article><p>{LONG}</p>{menu}</article>") == LONG
     sources = "<ul><li>Ann Lee: <a href=1>A report on the island</a></li><li>Bo Roe: <a href=2>A second report on it</a></li></ul>"
     assert text(f"<article><p>{LONG}</p>{sources}</article>") == f"{LONG} Ann Lee: A report on the island Bo Roe: A second report on it"
+
+
+def test_layout_classes_keep_the_article():
+    whole = text(PAGE)
+    for name in ("layout has-sidebar", "no-comments", "post-share-wrap", "ad-hoc-notes", "related-work", "with-sidebar", "sidebar", "sidebar-open"):
+        assert text(PAGE.replace("<body>", f'<body><div class="{name}">').replace("</body>", "</div></body>")) == whole
+    assert text(PAGE.replace("<main>", "<form><main>").replace("</main>", "</main></form>")) == whole
+    aside = f'<div class="related-posts"><article><p>{LONG}</p></article></div>'
+    assert text(PAGE.replace("</main>", "</main>" + aside)) == whole  # an article in a zone, beside one outside
+
+
+def test_names_of_zones():
+    for name in ("sidebar", "sidebar-left", "left_sidebar", "siteFooter", "comment-list", "post-comments", "cookie-banner", "nav-menu", "share-buttons",
+                 "related-posts", "ad", "ad-slot", "ads728x90", "sidebar__inner", "footer-links", "newsletter-signup", "widget-area"):
+        assert html_text.names_zone(name), name
+    for name in ("has-sidebar", "no-comments", "post-share-wrap", "ad-hoc-notes", "related-work", "content", "main-content", "header-image", "entry",
+                 "research", "adrift", "with-sidebar", "article-body", "left", "123", "--"):
+        assert not html_text.names_zone(name), name
+
+
+def test_end_tags_left_out():
+    assert text(f'<article><p class="promo">Buy<p>{LONG}<p>Es.</article>') == f"{LONG} Es."
+    assert text(f'<article><ul><li class="share">{LONG}<li>{LONG}</ul></article>') == LONG
+    assert text(f'<article><dl><dt class="ad">x<dd>{LONG}<dt class="ad">y</dl></article>') == LONG
+    assert text(f'<article><table><tr class="ad"><td>x<tr><td class="ad">y<td>{LONG}</table></article>') == LONG
+    assert text(f'<article><p class="ad">Buy<div>{LONG}</div></article>') == LONG
+    assert text(f'<article><div class="ad"><ul><li>x<li>y</ul></div><ul><li>{LONG}<ul class="menu"><li>z</ul></ul></article>') == LONG
+
+
+def test_quotes_left_open():
+    assert text(f'<article><p class="x>{LONG}</p></article>') == LONG
+    assert text(f'<article><p>{LONG} <a href="x>l</a> and <b class="y">on</b> it goes, for a while.</p></article>') == f"{LONG} l and on it goes, for a while."
+    assert text('<p ' * 30_000).count("<p") == 30_000  # no tag, and linear
+
+
+def brute_page(rng):
+    """A page with a known article, in one of several layouts, with zones around and inside it."""
+    article = []
+    out = []
+    for _ in range(rng.randint(1, 6)):
+        kind = rng.choice(["p", "p", "p open", "h2", "li", "ad", "form"])
+        if kind in ("p", "p open"):
+            out.append(f"<p>{LONG}" + ("</p>" if kind == "p" else ""))
+            article.append(LONG)
+        elif kind == "h2":
+            out.append("<h2>Head of it</h2>")
+            out.append(f"<p>{LONG}</p>")
+            article += ["Head of it", LONG]
+        elif kind == "li":
+            out.append(f"<ul><li>{LONG}<li>{LONG}</ul>")
+            article += [LONG, LONG]
+        else:
+            out.append(f'<div class="{rng.choice(["ad", "share-buttons", "post-comments"])}">{LONG}</div>' if kind == "ad" else f"<form>{LONG}</form>")
+    body = "".join(out)
+    mark = rng.choice(["article", "main", "div role=main"])
+    body = f"<{mark}>{body}</{mark.split()[0]}>"
+    for zone in ("nav", "aside", "footer", 'div class="sidebar"', 'div id="comments"'):
+        part = f"<{zone}><p>{LONG}</p></{zone.split()[0]}>"
+        body = rng.choice([body, part + body, body + part])
+    return rng.choice(["<body>{}</body>", '<body><div class="has-sidebar">{}</div></body>', '<form id="page">{}</form>']).format(body), " ".join(article)
+
+
+def test_pages_with_a_known_article():
+    import random
+    rng = random.Random(4)
+    for _ in range(400):
+        html, article = brute_page(rng)
+        assert text(html) == article, html
