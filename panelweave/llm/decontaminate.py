@@ -8,7 +8,8 @@ hits are mapped to character spans of the original text.
 The items are sent to every worker, which is fine as long as they are few: their size is summed first, and beyond
 ``ITEM_BYTES`` they are dealt by hash into groups of that size, each with its own automaton and its own pass.
 
-Defined cases: null and empty texts have no words and no hits; null items have none either; equal items are all named;
+Defined cases: null and empty texts have no words and no hits; null items have none either; an item
+without an id hits words, too, and is a null among the items named; equal items are all named;
 overlapping hits count each word once; repeated rows get equal results; input columns named as an output column are
 replaced.
 """
@@ -45,7 +46,7 @@ def _automaton(key: str, items: Broadcast, width: int) -> tuple:
 
     if key not in _ready:
         numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for item, text in items.value:
             ids = [numbers.setdefault(w, len(numbers) + 1) for w in normal_words(text)]
             for at in range(max(len(ids) - width + 1, 1) if ids else 0):
@@ -77,7 +78,7 @@ def _scan_text(text: bytes | None, machine, numbers: dict[bytes, int]) -> tuple:
     found = normal_words(text) if text else []
     if not found or machine is None:
         return len(found), 0, [], [], []
-    names: set[str] = set()
+    names: set[str | None] = set()
     hits: list[tuple[int, int]] = []
     for end, (length, owners) in machine.iter(tuple(map(numbers.get, found, repeat(0)))):
         first = end - length + 1
@@ -88,7 +89,7 @@ def _scan_text(text: bytes | None, machine, numbers: dict[bytes, int]) -> tuple:
     if not hits:
         return len(found), 0, [], [], []
     ranges = [{"first": a, "last": b} for a, b in hits]
-    return len(found), sum(b - a + 1 for a, b in hits), sorted(names), ranges, _spans(text, hits)
+    return len(found), sum(b - a + 1 for a, b in hits), sorted(names, key=lambda n: (n is None, n)), ranges, _spans(text, hits)
 
 
 def _scanner(items: Broadcast, width: int):

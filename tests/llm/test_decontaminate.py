@@ -37,3 +37,14 @@ def test_edges(spark, documents):
     assert decontaminate.scan(documents(ROWS).limit(0), items).count() == 0
     long_text = "filler words " * 100_000 + ITEM
     assert decontaminate.scan(documents([(1, long_text)] * 2), items).select("n_hit").distinct().first()["n_hit"] == 14
+
+
+def test_items_without_an_id(spark, documents, rows_of, sql_rows):
+    from pyspark.sql import functions as F
+    items = spark.createDataFrame([*ITEMS, (None, ITEM), (None, "no maybe")], "item_id long, text string")
+    expected = sql_rows(q_decontaminate.SQL, documents=documents(ROWS), benchmark=items)
+    for item_bytes in (decontaminate.ITEM_BYTES, 60):
+        out = decontaminate.scan(documents(ROWS), items, item_bytes=item_bytes).select(
+            "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+            F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+        assert rows_of(out) == expected
