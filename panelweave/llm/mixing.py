@@ -63,7 +63,7 @@ def allocate(leaves: DataFrame, levels: list[str], weights: dict[tuple[str, ...]
         at = (capped.groupBy(*names).agg(F.sum("_pw_cap").alias("cap")).withColumn("_pw_root", F.lit(1))
               .withColumn("w", weight_of(names, weights, default)).filter((F.col("w") > 0) & (F.col("cap") > 0)))
         over = above.withColumnRenamed("share", "b")
-        order = Window.partitionBy(*parents).orderBy(F.col("cap") / F.col("w"), names[-1])
+        order = Window.partitionBy(*parents).orderBy(F.expr("cap div w"), F.expr("(cap % w) / w"), names[-1])  # exact beyond 2^53
         before = order.rowsBetween(Window.unboundedPreceding, -1)
         kin = Window.partitionBy(*parents)
         at = (at.join(over, parents)
@@ -133,10 +133,10 @@ def select(docs: DataFrame, levels: dict[str, Column], weights: dict[tuple[str,
     keyed = small_join(slim, shares.filter("rest > 0").select(*names, "full", "rest"), names).select(
         *names, order_key(seed, F.col("full"), F.col("_pw_doc")).alias("key"), "tokens", "rest")
     plan = stage(shares.select(*names, "full").join(prefix_ends(keyed, names), names, "left"))
-    plan = plan.withColumnsRenamed({n: f"_pw_{n}" for n in names})
+    plan = plan.withColumnsRenamed({n: f"_pw_{n}" for n in names} | {"full": "_pw_passes", "end": "_pw_last"})
     joined = small_join(marked.filter(F.col("_pw_n") > 0), plan, list(made))
-    last = F.coalesce(order_key(seed, F.col("full"), F.col("doc_id")) <= F.col("end"), F.lit(False))
-    passes = F.col("full") + last.cast("long")
+    last = F.coalesce(order_key(seed, F.col("_pw_passes"), F.col("doc_id")) <= F.col("_pw_last"), F.lit(False))
+    passes = F.col("_pw_passes") + last.cast("long")
     return joined.filter(passes > 0).select(
         *[F.col(c) for c in keep], *[F.col(f"_pw_{n}").alias(n) for n in names], F.col("_pw_n").alias("n_tokens"),
         F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)).alias("epoch"))

@@ -50,3 +50,19 @@ def test_edges(spark, documents):
     assert count == {1: 4, 4: 2}
     assert mixing.select(documents(rows).limit(0), levels, {}).count() == 0
     assert mixing.select(documents(rows), levels, {("d",): 0}).count() == 0
+
+
+def test_columns_named_like_the_plan(spark, documents):
+    docs = documents([(i, "w " * (1 + i % 9), "en", f"s{i % 3}") for i in range(200)])
+    clash = documents([(i, "w " * (1 + i % 9), "en", f"s{i % 3}") for i in range(200)], extra=("full", "end", "rest", "share", "left", "others", "open"))
+    plain = sorted(map(tuple, q_mixing.mixture(docs).select("doc_id", "n_tokens", "epoch").collect()))
+    out = q_mixing.mixture(clash)
+    assert sorted(map(tuple, out.select("doc_id", "n_tokens", "epoch").collect())) == plain
+    assert out.select("full", "end").distinct().collect() == [("mine", "mine")]
+
+
+def test_order_of_siblings_beyond_doubles(spark):
+    big = (1 << 60) + 1
+    leaves = spark.createDataFrame([("a", big), ("b", big - 1), ("c", 1 << 61)], "s string, tokens long")
+    share = {r["s"]: r["share"] for r in mixing.allocate(leaves, ["s"], {}, 3 * (big - 1) + 1, 1).collect()}
+    assert share == {"b": big - 1, "a": big - 1, "c": big - 1} or share == {"b": big - 1, "a": big - 1, "c": big}
