@@ -4,9 +4,10 @@ Rules name a host and the start of a path; a rule fits its host and every subdom
 decides.  URLs without a rule are judged by trees that were fitted to labelled URLs: lengths, depth, digit ratio, entropy,
 parameter counts and the share of bad URLs per host suffix (smoothed towards the overall share).
 
-The trees are fitted on at most ``fit_rows`` labelled URLs (a bounded sample of the labelled rows by hash, as fitting
-passes over the rows many times); the counts per suffix and the overall share are those of all labelled rows, and every URL
-is scored.  With labels of fewer than two classes, in the table or in the sample, the verdict is ``allow``.
+The trees are fitted on at most ``fit_rows`` distinct labelled URLs (a bounded sample by hash, as fitting passes over the
+rows many times), each weighing as much as it has labelled rows; the counts per suffix and the overall share are those of all
+labelled rows, and every URL is scored.  With labels of fewer than two classes, in the table or in the sample, the verdict
+follows the overall share: ``block`` where it reaches ``block_at``, ``allow`` otherwise and without labels.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule fits it and it is scored like any
 other; equal URLs get equal verdicts; an empty table gives an empty result; input columns named as an output column are
@@ -127,6 +128,10 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 12, depth: i
     share = bad / n if n else 0.0
     if bad in (0, n):
         return Model(None, suffixes, share)
+    rows = rows.groupBy("url", "_pw_bad").agg(F.count("*").cast("double").alias("_pw_weight"))
+    if n > fit_rows:
+        rows = stage(rows)
+        n = rows.count()
     if n > fit_rows:  # a share by hash first, so that no task has to find the smallest hashes among all rows
         rows = rows.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < math.ceil(1_500_000 * fit_rows / n))
         rows = rows.orderBy(F.pmod(F.xxhash64("url"), F.lit(1_000_000)), "url", "_pw_bad").limit(fit_rows)
@@ -136,8 +141,8 @@ def fit(labelled: DataFrame, fit_rows: int = FIT_ROWS, trees: int = 12, depth: i
     # a row sees its suffix's labels from the other folds only, else the trees would read the label from them
     own = small_join(small_join(made, suffixes, ["_pw_suffix"]), folds, ["_pw_suffix", "_pw_fold"])
     own = own.withColumns({"_pw_n": F.col("_pw_n") - F.col("_pw_fold_n"), "_pw_b": F.col("_pw_b") - F.col("_pw_fold_b")})
-    vectors = _vectors(own, share).select("_pw_x", "_pw_bad").coalesce(1)
-    steps = GBTClassifier(featuresCol="_pw_x", labelCol="_pw_bad", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3,
+    vectors = _vectors(own, share).select("_pw_x", "_pw_bad", "_pw_weight").coalesce(1)
+    steps = GBTClassifier(featuresCol="_pw_x", labelCol="_pw_bad", weightCol="_pw_weight", maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.3,
                           minInstancesPerNode=20, seed=seed, cacheNodeIds=False, checkpointInterval=-1)
     return Model(steps.fit(vectors), suffixes, share)
 
@@ -156,7 +161,7 @@ def judge(urls: DataFrame, rules: list[Rule], model: Model, block_at: float = 0.
     out = small_join(out, model.suffixes, ["_pw_suffix"], "left")
     if model.trees is None:
         out = out.withColumn("bad_probability", F.lit(float(model.share)))
-        by_trees = F.lit("allow")
+        by_trees = F.lit("block" if model.share >= block_at else "allow")
     else:
         scored = model.trees.setFeaturesCol("_pw_x").setRawPredictionCol("").setPredictionCol("").setProbabilityCol("_pw_p").transform(_vectors(out, model.share))
         out = scored.withColumn("bad_probability", vector_to_array("_pw_p")[1])

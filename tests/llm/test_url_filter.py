@@ -73,7 +73,18 @@ def test_entropy_and_edges(spark):
     empty = spark.createDataFrame([], "page_id long, url string, rule string, verdict string")
     assert url_filter.judge(empty, RULES, model).count() == 0
     one_class = url_filter.fit(labelled(spark, 300).filter("bad = 1"))
-    assert url_filter.judge(spark.createDataFrame([("http://x.org/",), ("http://x.org/",)], "url string"), [], one_class).select("verdict").collect() == [("allow",)] * 2
+    assert url_filter.judge(spark.createDataFrame([("http://x.org/",), ("http://x.org/",)], "url string"), [], one_class).select("verdict").collect() == [("block",)] * 2
+    none_bad = url_filter.fit(labelled(spark, 300).filter("bad = 0"))
+    assert url_filter.judge(spark.createDataFrame([("http://x.org/",)], "url string"), [], none_bad).select("verdict").collect() == [("allow",)]
+
+
+def test_a_url_repeated_very_often_leaves_room_for_others(spark):
+    data = labelled(spark, 600)
+    often = data.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(3000)))).drop("n")
+    model = url_filter.fit(data.unionByName(often), fit_rows=400)
+    assert model.trees is not None
+    fresh = spark.createDataFrame([(*spam(i), ) for i in range(5000, 5100)], "url string, bad int")
+    assert url_filter.judge(fresh, [], model).filter("verdict = 'block'").count() > 90
 
 
 def test_suffixes_are_counted_from_all_labels(spark):
