@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order_stats import expanding_quantiles, expanding_rank
 from .windows import islands, last_n, series
 
 # Crowding windows (sessions), zone limits, cells, horizons (weeks), entry gap (weeks).
@@ -184,18 +185,10 @@ def streak(df: DataFrame, key: str, order: str, x: str, out: str = "streak") ->
     return runs.withColumn(out, (n * F.col("_sign")).cast("int")).drop("_sign", "_run")
 
 
-def average_rank_so_far(x: str, key: str, order: str, least: int) -> Column:
-    """Percentile of the current value in its own history, ties at their average rank."""
-    w = series(key, order).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.collect_list(x).over(w)
-    below, equal = F.size(F.filter(seen, lambda v: v < F.col(x))), F.size(F.filter(seen, lambda v: v == F.col(x)))
-    return F.when(F.col(x).isNotNull() & (F.count(x).over(w) >= least), (below + (equal + 1) / 2) / F.count(x).over(w))
-
-
 def flow_waves(daily: DataFrame, group: str = "group_id", min_history: int = WAVE_MIN_HISTORY, index: str = "index_close") -> DataFrame:
     """10-session flow as a share of assets, its point-in-time band and rank, waves and what followed.
 
-    A group's series has one row per session; its expanding quantiles are exact.
+    A group's series has one row per session; its expanding quantiles and ranks are exact.
     """
     w = series(group, "trade_date")
     rows = daily.withColumns({"_n": F.row_number().over(w), "_f": F.coalesce("flow", F.lit(0.0)),
@@ -203,10 +196,8 @@ def flow_waves(daily: DataFrame, group: str = "group_id", min_history: int = WAV
     total = F.when(F.col("_n") >= WAVE_SESSIONS, F.sum("_f").over(w.rowsBetween(-(WAVE_SESSIONS - 1), 0)))
     rows = rows.withColumn("wave_flow", total).withColumn("wave_pct", F.col("wave_flow") / F.lag("aum", WAVE_SESSIONS).over(w))
     past = w.rowsBetween(Window.unboundedPreceding, -1)
-    enough = F.count("wave_pct").over(past) >= min_history
-    rows = rows.withColumn("_q", F.percentile("wave_pct", F.array(F.lit(WAVE_TAIL), F.lit(1 - WAVE_TAIL))).over(past))
-    rows = rows.withColumns({"low": F.when(enough, F.col("_q")[0]), "high": F.when(enough, F.col("_q")[1]),
-                             "rank": average_rank_so_far("wave_pct", group, "trade_date", min_history)})
+    rows = expanding_quantiles(rows, group, "trade_date", "wave_pct", {"low": WAVE_TAIL, "high": 1 - WAVE_TAIL}, min_history)
+    rows = expanding_rank(rows, group, "trade_date", "wave_pct", "rank", min_history)
     rows = streak(rows, group, "trade_date", "flow")
     rows = rows.withColumn("index_window", F.col(index) / F.lag(index, WAVE_SESSIONS).over(w) - 1)
     rows = rows.withColumns({f"after_{h}": F.lead(index, h).over(w) / F.col(index) - 1 for h in WAVE_HORIZONS})
@@ -218,7 +209,7 @@ def flow_waves(daily: DataFrame, group: str = "group_id", min_history: int = WAV
     rows = rows.withColumn("wave", wave)
     rising = F.coalesce(F.col("index_window") > 0, F.lit(False))
     counter = ((F.col("wave") == "redemption") & rising) | ((F.col("wave") == "creation") & ~rising & F.col("index_window").isNotNull())
-    return rows.withColumn("counter", F.coalesce(counter, F.lit(False))).drop("_n", "_f", "_q")
+    return rows.withColumn("counter", F.coalesce(counter, F.lit(False))).drop("_n", "_f")
 
 
 def wave_base(waves: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order_stats import expanding_quantiles
+
 
 def intrinsic(kind: Column, spot: Column, strike: Column) -> Column:
     return F.greatest(F.when(kind == "call", spot - strike).otherwise(strike - spot), F.lit(0.0))
@@ -93,10 +95,9 @@ def alerts(history: DataFrame, by: list[str], day: str, value: str, rise: float,
 
 def thin(minutes: DataFrame, by: list[str], order: str, strikes: str, share: float, least: int = 5) -> DataFrame:
     """Flag minutes with far fewer strikes than the median of the ones before."""
-    past = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    usual = F.percentile(strikes, F.lit(0.5)).over(past)
-    enough = F.count(strikes).over(past) >= least
-    return minutes.withColumn("thin", F.coalesce(enough & (F.col(strikes) < share * usual), F.lit(False)))
+    keyed = minutes.withColumn("_key", F.to_json(F.struct(*by)))
+    usual = expanding_quantiles(keyed, "_key", order, strikes, {"_usual": 0.5}, least)
+    return usual.withColumn("thin", F.coalesce(F.col(strikes) < share * F.col("_usual"), F.lit(False))).drop("_key", "_usual")
 
 
 def pick_by_target(rows: DataFrame, by: list[str], x: str, target: float, tie: str) -> DataFrame:

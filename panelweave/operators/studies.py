@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .order_stats import expanding_quantiles
 from .windows import last_n, lead_n, series, so_far
 
 
@@ -53,8 +54,7 @@ def regimes(prices: DataFrame, ma: int = 200, look: int = 250, vol: int = 60, hi
     mean = F.when(F.count(price).over(last_n(ma, key, order)) >= ma, F.avg(price).over(last_n(ma, key, order)))
     rows = prices.withColumn("_r", F.log(F.col(price) / F.lag(price).over(w)))
     rows = rows.withColumn("_v", F.when(F.count("_r").over(last_n(vol, key, order)) >= vol, F.stddev_samp("_r").over(last_n(vol, key, order))))
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_m", F.when(F.count("_v").over(past) >= history, F.percentile("_v", F.lit(0.5)).over(past)))
+    rows = expanding_quantiles(rows, key, order, "_v", {"_m": 0.5}, history)
     change = F.col(price) / F.lag(price, look).over(w) - 1
     return rows.withColumns({
         "ma_side": F.when(F.col(price) > mean, "above").when(mean.isNotNull(), "below"),

@@ -2,9 +2,35 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the cluster's shared checkpoint folder; a temporary one only for a local master."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if root:
+        return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return tempfile.mkdtemp(prefix=f"{name}-")
+
+
+def written(df: DataFrame, name: str = "stage") -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, and read again when an executor is lost.
+
+    The files go when the application ends.
+    """
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 

@@ -7,25 +7,14 @@ copy, and readers take the newest row of a key.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.io import shared_folder
 from . import monitors
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder; a temporary one only for a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return f"{root.rstrip('/')}/{name}-{os.urandom(6).hex()}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-    return tempfile.mkdtemp(prefix=f"{name}-")
-
-
 def file_stream(spark: SparkSession, directory: str, name: str, files_per_batch: int | None = None) -> DataFrame:
     """A table as a stream with the table's own schema: a folder of part files, or a single file."""
     path = f"{directory}/{name}.parquet"
