@@ -204,7 +204,7 @@ def score(docs: DataFrame, target: DataFrame, doc_id: str = "doc_id", text: str
           buckets: int = BUCKETS, scale: int = SCALE, seed: int = SEED) -> DataFrame:
     """``docs`` with n_words, n_features, weight and score; the texts of ``target`` say what is wanted."""
     names = ["n_words", "n_features", "weight"]
-    raw, wanted = bucket_counts(docs, text, longest, buckets), bucket_counts(target, text, longest, buckets)
+    raw, wanted = (stage(bucket_counts(t, text, longest, buckets)) for t in (docs, target))  # a row a bucket, read more than once
     weigh = _weights(docs.sparkSession, bucket_gains(raw, wanted, buckets, scale), longest, buckets)
     found = docs.withColumn("_pw_found", weigh(F.col(text).cast("binary")))
     return found.select(*[F.col(c) for c in docs.columns if c not in [*names, "score"]], *[F.col(f"_pw_found.{c}") for c in names],
@@ -216,7 +216,7 @@ def draw(scored: DataFrame, doc_id: str = "doc_id", percent: int = 5, min_words:
 
     Every column goes through one shuffle by score: give it ids and numbers, and join texts to the rows drawn.
     """
-    rows = scored.drop("rank").withColumn("_pw_in", F.col("n_words") >= min_words)
+    rows = stage(scored.drop("rank")).withColumn("_pw_in", F.col("n_words") >= min_words)  # range partitioning reads it twice
     rows = rows.withColumn("_pw_spread", F.when(~F.col("_pw_in") | F.col("score").isNull(), F.monotonically_increasing_id()))  # order of no use
     order = [F.desc("_pw_in"), F.desc_nulls_last("score"), F.asc(doc_id), F.asc("n_features"), F.asc("_pw_spread")]
     ranged = stage(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_pw_at", F.monotonically_increasing_id()))
