@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
-from ..operators import accounts, normalize, options
+from ..operators import accounts, normalize, options, series
 from ..sources.io import read_table
-from ..streaming import jobs, monitors
+from ..streaming import jobs, monitors, state
 from . import queries_accounts, queries_structure  # noqa: F401  (its SQL views are used below)
 from .ctes import define, oracle
 from .queries_evaluation import rounded
 from .registry import query
 
 BIG = 60.0
-#: The event files hold a month in no order, so nothing in it may count as late.
-SPAN = "40 days"
 define("trades", "", """
 SELECT event_id AS seq, ts, CAST(ts AS DATE) AS day, 'g' || CAST(user_id % 5 AS VARCHAR) AS group_id, CAST(user_id AS VARCHAR) AS symbol, value AS amount, CASE WHEN event_type IN ('purchase', 'click') THEN 'B' WHEN event_type = 'error' THEN 'S' ELSE 'N' END AS side FROM events""")
 define("minutes", "trades", f"""
@@ -33,6 +31,12 @@ def trades(spark, sf):
     return jobs.trades_stream(read_table(spark, sf, "events"))
 
 
+def trades_from_files(spark, sf, files):
+    """The event files as a stream; they are in no order, so nothing in the table's whole span may count as late."""
+    late = jobs.span(read_table(spark, sf, "events"), "ts")
+    return jobs.trades_stream(jobs.file_stream(spark, sf, "events", files), late=late)
+
+
 def sums(names):
     return ", ".join(f"round({n}, 4) + 0.0::DOUBLE AS {n}" for n in names)
 
@@ -49,7 +53,7 @@ def session_minutes(spark, sf):
 @query("session_minutes_stream", "ST1 ST2 ST3 ST10", oracle("minutes", f"SELECT group_id, day, minute, {sums(MEASURES)} FROM minutes"))
 def session_minutes_stream(spark, sf, files=None):
     """The same table from the stream: duplicates dropped within the watermark, totals in state."""
-    stream = jobs.trades_stream(jobs.file_stream(spark, sf, "events", files), late=SPAN)
+    stream = trades_from_files(spark, sf, files)
     written = jobs.run_available(jobs.cumulative_stream(stream, BIG), "update", "minutes")
     return r4(jobs.newest(written, ["group_id", "day", "minute"]), *MEASURES)
 
@@ -64,7 +68,7 @@ SELECT group_id, time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL 10 MINUTE * k AS
  round(coalesce(sum(amount) FILTER (side = 'B' AND amount >= {BIG}), 0) - coalesce(sum(amount) FILTER (side = 'S' AND amount >= {BIG}), 0), 4) + 0.0::DOUBLE AS big_net, count(*) AS trades
 FROM trades, range(3) t(k) GROUP BY ALL"""))
 def sliding_half_hours_stream(spark, sf, files=None):
-    stream = jobs.trades_stream(jobs.file_stream(spark, sf, "events", files), late=SPAN)
+    stream = trades_from_files(spark, sf, files)
     written = jobs.run_available(jobs.sliding_stream(stream, BIG), "update", "sliding")
     return r4(jobs.newest(written, ["group_id", "start", "end"]), "big_net")
 
@@ -117,7 +121,7 @@ def session_alerts(spark, sf):
 @query("alert_once_stream", "ST5", oracle("trades", """
 SELECT group_id, side, day FROM trades WHERE amount >= 150 AND side <> 'N' GROUP BY 1, 2, 3"""))
 def alert_once_stream(spark, sf, files=None):
-    stream = jobs.trades_stream(jobs.file_stream(spark, sf, "events", files), late=SPAN).drop("seq")
+    stream = trades_from_files(spark, sf, files).drop("seq")
     alerts = jobs.alert_stream(stream, 150.0)
     return jobs.run_available(alerts, "append", "alerts").select("group_id", "side", "day")
 
@@ -132,6 +136,66 @@ def late_sources(spark, sf):
         F.count_if(day == cut).alias("current_rows"), F.count_if(day < cut).alias("stale_rows"))
 
 
+@query("stale_sources", "ST10", oracle("trades", """
+WITH t AS (SELECT symbol, day, strftime(ts, '%H') AS hour, sum(amount) AS amount FROM trades GROUP BY 1, 2, 3),
+q AS (SELECT symbol, day, strftime(ts, '%H') AS hour, sum(amount) AS amount FROM trades WHERE side <> 'S' GROUP BY 1, 2, 3),
+c AS (SELECT symbol, day, hour, sum(amount) OVER (PARTITION BY symbol, day ORDER BY hour) AS total FROM t),
+d AS (SELECT symbol, day, hour, sum(amount) OVER (PARTITION BY symbol, day ORDER BY hour) AS quoted FROM q)
+SELECT c.symbol, c.day, c.hour, round(c.total, 4) AS total, round(d.quoted, 4) AS quoted, CASE WHEN d.quoted IS NULL THEN 'no_quote' WHEN c.total > d.quoted * 1.5::DOUBLE + 20 THEN 'stale' ELSE 'fresh' END AS source
+FROM c ASOF LEFT JOIN d ON c.symbol = d.symbol AND c.day = d.day AND c.hour >= d.hour"""))
+def stale_sources(spark, sf):
+    """Sources whose trades run far above what the newest quote says: they still serve another session."""
+    t = trades(spark, sf).withColumn("hour", F.date_format("ts", "HH"))
+    keys = ["symbol", "day", "hour"]
+    quotes = t.filter("side <> 'S'").groupBy(*keys).agg(F.sum("amount").alias("amount"))
+    quoted = quotes.select(*keys, F.sum("amount").over(Window.partitionBy("symbol", "day").orderBy("hour")).alias("quoted"))
+    return r4(monitors.freshness(t.groupBy(*keys).agg(F.sum("amount").alias("amount")), quoted, "symbol", "hour", 1.5, 20.0), "total", "quoted")
+
+
+define("vol_monitor", "vol_index", """
+WITH RECURSIVE e AS MATERIALIZED (SELECT *, strftime(day, '%Y-%m') AS session, row_number() OVER (PARTITION BY underlying ORDER BY day) AS n FROM vol_index),
+f AS (
+ SELECT DISTINCT underlying, 0::BIGINT AS n, '' AS session, []::BIGINT[] AS seen, NULL::DOUBLE AS last, NULL::DOUBLE AS previous, []::DOUBLE[] AS reference, false AS alerted,
+  NULL::DATE AS day, NULL::DOUBLE AS value, false AS kept, NULL::DOUBLE AS rise, NULL::DOUBLE AS pct, false AS alert FROM e
+ UNION ALL
+ SELECT underlying, n, session, CASE WHEN kept THEN list_append(s0, strikes) ELSE s0 END, CASE WHEN kept THEN value ELSE l0 END, p0, r0, a0 OR alert, day, value, kept, rise, pct, alert
+ FROM (SELECT *, coalesce(kept AND NOT a0 AND rise >= 0.02 AND pct >= 0.5, false) AS alert
+  FROM (SELECT *, CASE WHEN kept AND p0 IS NOT NULL THEN value / p0 - 1 END AS rise, CASE WHEN kept AND len(r0) > 0 THEN len(list_filter(r0, lambda x: x <= value)) / len(r0)::DOUBLE END AS pct
+   FROM (SELECT *, value IS NOT NULL AND near_vol IS NOT NULL AND NOT (len(s0) >= 5 AND strikes < 0.9::DOUBLE * list_aggregate(s0, 'median')) AS kept
+    FROM (SELECT e.*, CASE WHEN f.session <> e.session THEN [] ELSE f.seen END AS s0, CASE WHEN f.session <> e.session THEN NULL ELSE f.last END AS l0,
+      CASE WHEN f.session <> e.session AND f.last IS NOT NULL THEN f.last ELSE f.previous END AS p0,
+      CASE WHEN f.session <> e.session AND f.last IS NOT NULL THEN list_append(f.reference, f.last)[-50:] ELSE f.reference END AS r0, f.alerted AND f.session = e.session AS a0
+     FROM f JOIN e ON e.underlying = f.underlying AND e.n = f.n + 1)))))
+SELECT underlying, day, round(value, 6) AS value, kept, round(rise, 6) + 0.0::DOUBLE AS rise, round(pct, 6) AS percentile, alert FROM f WHERE n > 0""")
+VOL_SCHEMA = "underlying string, day date, value double, kept boolean, rise double, percentile double, alert boolean"
+VOL_COLUMNS = ["underlying", "day", "session", "value", "near_vol", "strikes"]
+
+
+def volatility_minutes(spark, sf):
+    """Index values in order; a month stands for a session and a day for a minute."""
+    rows = queries_structure.vol_index(spark, sf)
+    return rows.select("underlying", F.col("day").cast("date").alias("day"), F.date_format("day", "yyyy-MM").alias("session"), "value", "near_vol",
+                       F.col("strikes").cast("long").alias("strikes"))
+
+
+@query("volatility_monitor", "ST8 O8", oracle("vol_monitor", "SELECT * FROM vol_monitor"))
+def volatility_monitor(spark, sf):
+    """Which index values are kept, and the one alert of a session that rises far enough."""
+    found = series.ordered_fold(volatility_minutes(spark, sf), ["underlying"], ["day"], VOL_SCHEMA, monitors.volatility_step, VOL_COLUMNS)
+    return rounded(found, "value", "rise", "percentile")
+
+
+@query("volatility_monitor_stream", "ST8 ST5", oracle("vol_monitor", "SELECT * FROM vol_monitor"))
+def volatility_monitor_stream(spark, sf, files=None):
+    """The same state kept over files in any order."""
+    rows = volatility_minutes(spark, sf).withColumn("id", F.concat_ws("|", "underlying", F.col("day").cast("string")))
+    days = int(jobs.span(rows, "day").split()[0])
+    folder = jobs.event_files(rows, "volatility-minutes", files or 1)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    found = state.fold_stream(stream, ["underlying"], ["day"], VOL_COLUMNS, VOL_SCHEMA, monitors.volatility_step, days, "volatility-monitor")
+    return rounded(found, "value", "rise", "percentile")
+
+
 @query("account_stream", "ST7 P18", oracle("folded", "SELECT * FROM folded"))
 def account_stream(spark, sf, files=None):
     """The account fold over line-item files in any order: accounts that a batch touches are folded again by day."""

@@ -27,6 +27,19 @@ def file_stream(spark: SparkSession, directory: str, name: str, files_per_batch:
     return reader.parquet(path)
 
 
+def span(rows: DataFrame, ts: str) -> str:
+    """A watermark delay that covers a whole table: files in no order then lose no row."""
+    days = rows.agg(F.datediff(F.max(ts), F.min(ts))).first()[0] or 0
+    return f"{days + 1} days"
+
+
+def event_files(rows: DataFrame, name: str, files: int) -> str:
+    """A folder with ``rows`` dealt over ``files`` files in no order of time, as a feed may leave them."""
+    folder = shared_folder(rows.sparkSession, name)
+    rows.repartition(files).write.parquet(folder)
+    return folder
+
+
 def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Process everything that is there and return the written rows with their batch id."""
     return _run(stream, mode, name, lambda batch, batch_id, folder: batch)

@@ -5,8 +5,12 @@ A trade table has: day, ts, seq, symbol, group_id, amount, side (B, S or N).
 
 from __future__ import annotations
 
+from statistics import median
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.asof import asof_join
+
 # Session bounds (a minute is labelled by its end), minutes of a session, recent span.
 FIRST, NOON, AFTERNOON, LAST, MINUTES, RECENT = "09:31", "11:30", "13:00", "15:00", 240, 30
 
@@ -88,3 +92,42 @@ def direction(min_ratio: float, min_big_share: float, min_net: float, net_share:
 def first_alerts(rows: DataFrame, group: str = "group_id") -> DataFrame:
     """One alert per (group, direction, day): the first minute."""
     return rows.filter("direction is not null").groupBy(group, "day", "direction").agg(F.min("minute").alias("minute"))
+
+
+def freshness(trades: DataFrame, quotes: DataFrame, key: str, at: str, factor: float, slack: float) -> DataFrame:
+    """Running turnover of a source's day against its newest quote of that day: fresh, stale or without a quote.
+
+    ``trades``: key, day, at, amount; ``quotes``: key, day, at, quoted (turnover of the day so far).  A quote of another day
+    says nothing, and turnover far above the quoted one is another session's.
+    """
+    total = F.sum("amount").over(Window.partitionBy(key, "day").orderBy(at))
+    rows = asof_join(trades.withColumn("total", total).drop("amount"), quotes, [key, "day"], at, at, ["quoted"])
+    source = (F.when(F.col("quoted").isNull(), "no_quote").when(F.col("total") > F.col("quoted") * factor + slack, "stale").otherwise("fresh"))
+    return rows.withColumn("source", source)
+
+
+#: Strikes a value must have against the session's median, values before that counts, rise and percentile of an alert.
+STRIKE_SHARE, STRIKE_VALUES, ALERT_RISE, ALERT_PERCENTILE, REFERENCE = 0.9, 5, 0.02, 0.5, 50
+
+
+def volatility_step(state: dict, row: dict) -> tuple[dict, dict]:
+    """One value of a volatility index: kept or thin, its rise over the last session, and at most one alert a session.
+
+    The state holds the session's strike counts, its last value, and the last values of up to ``REFERENCE`` sessions.
+    """
+    known = lambda x: x is not None and x == x
+    s = {"session": "", "seen": [], "last": None, "previous": None, "reference": [], "alerted": False} | state
+    if row["session"] != s["session"]:
+        if s["last"] is not None:
+            s = s | {"previous": s["last"], "reference": [*s["reference"], s["last"]][-REFERENCE:]}
+        s = s | {"session": row["session"], "seen": [], "last": None, "alerted": False}
+    value, strikes = row["value"], int(row["strikes"])
+    thin = len(s["seen"]) >= STRIKE_VALUES and strikes < STRIKE_SHARE * median(s["seen"])
+    kept = known(value) and known(row["near_vol"]) and not thin
+    rise = value / s["previous"] - 1 if kept and s["previous"] is not None else None
+    share = sum(x <= value for x in s["reference"]) / len(s["reference"]) if kept and s["reference"] else None
+    alert = bool(not s["alerted"] and rise is not None and share is not None and rise >= ALERT_RISE and share >= ALERT_PERCENTILE)
+    if kept:
+        s = s | {"seen": [*s["seen"], strikes], "last": float(value), "alerted": s["alerted"] or alert}
+    return s, {"underlying": row["underlying"], "day": row["day"], "value": float(value) if known(value) else None, "kept": kept, "rise": rise,
+               "percentile": share, "alert": alert}
