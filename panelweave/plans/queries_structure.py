@@ -417,6 +417,85 @@ def put_exit_rule(spark, sf):
     return out.withColumn("exit_value", F.round("exit_value", 4))
 
 
+def _hart(x: str) -> str:
+    """The normal distribution function in SQL."""
+    def polynomial(a, terms):
+        out = str(terms[0])
+        for c in terms[1:]:
+            out = f"({out} * {a} + {c})"
+        return out
+
+    a = f"abs({x})"
+    far = f"({a} + 0.65)"
+    for c in (4, 3, 2, 1):
+        far = f"({a} + {c}.0::DOUBLE / {far})"
+    tail = (f"(CASE WHEN {a} > {options.HART_END} THEN 0 ELSE exp(-{a} * {a} / 2) * CASE WHEN {a} < {options.HART_CUT} THEN "
+            f"{polynomial(a, options.HART_TOP)}::DOUBLE / {polynomial(a, options.HART_BOTTOM)} ELSE 1 / ({far} * {options.ROOT_TWO_PI}) END END)")
+    return f"(CASE WHEN {x} > 0 THEN 1 - {tail} ELSE {tail} END)"
+
+
+RATE = 0.015
+_VALUE = f"CASE WHEN kind = 'call' THEN spot * {_hart('d')} - paid * {_hart('e')} ELSE paid * {_hart('(-e)')} - spot * {_hart('(-d)')} END"
+_AT = lambda vol: (f"SELECT *, {_VALUE} AS p FROM (SELECT *, d - {vol} * sqrt(t) AS e FROM (SELECT *, (ln(spot / strike) + ({RATE}::DOUBLE + {vol} * {vol} / 2) * t) / ({vol} * sqrt(t)) AS d FROM {{}}))")
+# the volatility by plain bisection, sixty halvings
+define("option_risk", "option_bars spots", f"""
+WITH RECURSIVE b AS MATERIALIZED (SELECT underlying, term, day, strike::DOUBLE AS strike, kind, close, spot, 30.0::DOUBLE * term / 365 AS t, strike * exp(-{RATE}::DOUBLE * (30.0::DOUBLE * term / 365)) AS paid FROM option_bars JOIN spots USING (underlying, term, day)),
+lowest AS ({_AT(str(options.VOL_LOW) + '::DOUBLE').format('b')}), highest AS ({_AT(str(options.VOL_HIGH) + '::DOUBLE').format('b')}),
+u AS (SELECT b.* FROM b JOIN lowest l USING (underlying, term, day, strike, kind) JOIN highest h USING (underlying, term, day, strike, kind)
+ WHERE b.spot > 0 AND b.close >= greatest(CASE WHEN b.kind = 'call' THEN b.spot - b.paid ELSE b.paid - b.spot END, 0) + {options.TIME_VALUE}::DOUBLE * b.spot AND b.close > l.p AND b.close < h.p),
+r AS (SELECT *, 0 AS k, {options.VOL_LOW}::DOUBLE AS low, {options.VOL_HIGH}::DOUBLE AS high FROM u
+ UNION ALL SELECT underlying, term, day, strike, kind, close, spot, t, paid, k + 1, CASE WHEN p > close THEN low ELSE (low + high) / 2 END, CASE WHEN p > close THEN (low + high) / 2 ELSE high END
+ FROM ({_AT('((low + high) / 2)').format('r')}) WHERE k < 60),
+v AS (SELECT *, (low + high) / 2 AS iv FROM r WHERE k = 60)
+SELECT b.underlying, b.term, b.day, b.strike::BIGINT AS strike, b.kind, b.close, b.spot, v.iv, v.delta FROM b LEFT JOIN (
+ SELECT underlying, term, day, strike, kind, iv, CASE WHEN kind = 'call' THEN {_hart('d')} ELSE {_hart('d')} - 1 END AS delta FROM (SELECT *, (ln(spot / strike) + ({RATE}::DOUBLE + iv * iv / 2) * t) / (iv * sqrt(t)) AS d FROM v)) v USING (underlying, term, day, strike, kind)""")
+
+
+@views.kept
+def option_risk(spark, sf):
+    rows = option_bars(spark, sf).join(spots(spark, sf), ["underlying", "term", "day"]).withColumn("t", 30 * F.col("term") / 365.0)
+    return options.with_risk(rows, RATE).drop("t", "prev_close")
+
+
+@query("option_risk", "O2", oracle("option_risk", """
+SELECT underlying, term, day, strike, kind, round(iv, 6) AS iv, round(delta, 6) + 0.0::DOUBLE AS delta FROM option_risk"""))
+def implied_risk(spark, sf):
+    """Implied volatility and delta of every contract and day."""
+    return rounded(option_risk(spark, sf).select("underlying", "term", "day", "strike", "kind", "iv", "delta"), "iv", "delta")
+
+
+@query("option_chain_risk", "O2", oracle("option_risk", """
+SELECT underlying, term, day, strike, round(max(iv) FILTER (kind = 'call'), 6) AS call_iv, round(max(delta) FILTER (kind = 'call'), 6) + 0.0::DOUBLE AS call_delta,
+ round(max(iv) FILTER (kind = 'put'), 6) AS put_iv, round(max(delta) FILTER (kind = 'put'), 6) + 0.0::DOUBLE AS put_delta FROM option_risk GROUP BY 1, 2, 3, 4"""))
+def option_chain_risk(spark, sf):
+    side = [r6(F.max(F.when(F.col("kind") == k, F.col(c)))).alias(f"{k}_{c}") for k in ("call", "put") for c in ("iv", "delta")]
+    return option_risk(spark, sf).groupBy("underlying", "term", "day", "strike").agg(*side)
+
+
+GAINS = {"gain_50": 0.5, "gain_100": 1.0}
+
+
+@query("put_delta_returns", "O9", oracle("option_risk", """
+WITH p AS (SELECT *, dense_rank() OVER (PARTITION BY underlying ORDER BY day) AS i FROM option_risk WHERE kind = 'put'),
+b AS (SELECT * FROM p WHERE 30 * term BETWEEN 45 AND 120), n AS (SELECT * FROM b QUALIFY term = min(term) OVER (PARTITION BY underlying, i)),
+c AS (SELECT underlying, i, term, strike, delta FROM n WHERE abs(delta + 0.3) <= 0.15 QUALIFY row_number() OVER (PARTITION BY underlying, i ORDER BY abs(delta + 0.3), strike) = 1),
+e AS (SELECT c.*, p.close AS entry FROM c JOIN p USING (underlying, term, strike) WHERE p.i = c.i + 1 AND p.close > 0),
+x AS (SELECT e.*, p.i - e.i - 1 AS age, p.close FROM e JOIN p USING (underlying, term, strike) WHERE p.i BETWEEN e.i + 1 AND e.i + 1 + e.term),
+s AS (SELECT underlying, term, strike, i, delta, entry, max(close) FILTER (age = term) AS z, max(close) FILTER (age = least(2, term)) AS h,
+ arg_min(close, age) FILTER (age > 0 AND close >= 1.5 * entry) AS a, arg_min(close, age) FILTER (age > 0 AND close >= 2 * entry) AS b FROM x GROUP BY ALL)
+SELECT underlying, term, strike, i, round(delta, 6) AS delta, round(entry, 6) AS entry, round(z / entry - 1, 6) + 0.0::DOUBLE AS at_end, round(h / entry - 1, 6) + 0.0::DOUBLE AS held,
+ round(coalesce(a, z) / entry - 1, 6) + 0.0::DOUBLE AS gain_50, round(coalesce(b, z) / entry - 1, 6) + 0.0::DOUBLE AS gain_100 FROM s"""))
+def put_delta_returns(spark, sf):
+    """Puts of a delta and an expiry band, bought the session after: held, to the end, or until a gain."""
+    session = F.dense_rank().over(Window.partitionBy("underlying").orderBy("day")).cast("long")
+    puts = option_risk(spark, sf).filter("kind = 'put'").withColumn("i", session)
+    chosen = options.pick_by_delta(puts, ["underlying", "i"], "term", 30 * F.col("term"), 45, 120, -0.3, 0.15)
+    contract = ["underlying", "term", "strike"]
+    out = options.exits(chosen, puts, contract, "i", F.col("term"), 2, GAINS)
+    out = out.join(chosen.select(*contract, "i", "delta"), [*contract, "i"])
+    return rounded(out, "delta", "entry", "at_end", "held", *GAINS)
+
+
 @query("hindsight_best_price", "O10", oracle("option_bars spots", """
 WITH c AS (SELECT underlying, kind, day, strike / spot AS m, close, max(close) OVER (PARTITION BY underlying, term, strike, kind ORDER BY day ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) AS best FROM option_bars JOIN spots USING (underlying, term, day))
 SELECT underlying, kind, CASE WHEN m < 0.8 THEN 'low' WHEN m <= 1.2 THEN 'near' ELSE 'high' END AS bucket, round(max(best / close), 6) AS top, round(avg(best / close), 6) AS mean, count(*) AS n FROM c WHERE close > 0 GROUP BY 1, 2, 3"""))
