@@ -129,3 +129,64 @@ def reconcile(intervals: DataFrame, evidence: DataFrame, least: int, key: str =
               .otherwise(F.array().cast("array<struct<new_start:date,new_end:date>>")))
     return rows.withColumn("action", action).withColumn("_p", F.explode_outer(pieces)).select(
         key, "start_date", "end_date", "action", "_p.new_start", "_p.new_end")
+
+
+#: Statuses that prices can speak for, and the support days of a side that count as more than coincidence.
+RISK_STATUSES, STRONG = ("ST", "*ST"), 3
+
+
+def settle(intervals: DataFrame, evidence: DataFrame, calendar: DataFrame, data_start: Column, strong: int = STRONG, key: str = "symbol") -> DataFrame:
+    """Risk intervals made to agree with dated price evidence.
+
+    ``intervals``: key, status, start_date (unique with the key), end_date (open: null), low (null, or the day after which an
+    uncertain start may lie); ``evidence``: key, trade_date, beyond (traded outside the tight band), at_limit (closed on
+    it).  Support is a close on the limit of a day that stays inside the band.
+
+    An uncertain start is moved back to the session after the last break since ``low`` (without one, to the first session
+    after ``low``, at the earliest ``data_start``) if support lies between.  Breaks inside then decide by the support on their
+    two sides: strong on both, split around them; on the later side, the start moves behind them; on the earlier one, the
+    end moves to them; on neither, by the larger number; without any, the interval is dropped.  ``action`` is what was
+    done, null for nothing; a split interval has two rows, a dropped one has none of ``new_start`` and ``new_end``.
+    """
+    from .asof import interval_join, next_session
+    own = [key, "start_date"]
+    judged = intervals.filter(F.col("status").isin(*RISK_STATUSES))
+    reach = judged.select(*own, F.coalesce(F.date_add("low", 1), "start_date").alias("_from"), F.col("end_date").alias("_to"))
+    hits = interval_join(evidence.select(key, "trade_date", "beyond", "at_limit"), reach, [key], "trade_date", "_from", "_to", ["start_date"], how="inner")
+    each = Window.partitionBy(*own)
+    day, early, support = F.col("trade_date"), F.col("trade_date") < F.col("start_date"), F.col("at_limit") & ~F.col("beyond")
+    inside = F.when(~early & F.col("beyond"), day)
+    hits = hits.withColumns({"_break": F.max(F.when(early & F.col("beyond"), day)).over(each), "_first": F.min(inside).over(each), "_last": F.max(inside).over(each)})
+    since = F.coalesce(F.date_add("_break", 1), data_start)
+    sums = hits.groupBy(*own).agg(
+        F.first("_break").alias("_break"), F.first("_first").alias("_first"), F.first("_last").alias("_last"),
+        F.count_if(early & support & (day >= since)).alias("_extension"),
+        F.count_if(~early & support & (day < F.col("_first"))).alias("_before"), F.count_if(~early & support & (day > F.col("_last"))).alias("_after"))
+    rows = intervals.join(sums, own, "left")
+    final = calendar.agg(F.max("trade_date")).scalar()
+    days = calendar.select("idx", F.col("trade_date").alias("_day"))
+
+    def following(df: DataFrame, name: str, out: str) -> DataFrame:
+        """The first session after a date, the last one of all past the calendar."""
+        found = next_session(df, calendar, name, inclusive=False, out="_idx").join(days, F.col("_idx") == days["idx"], "left")
+        return found.withColumn(out, F.when(F.col(name).isNotNull(), F.coalesce("_day", final))).drop("idx", "_idx", "_day")
+
+    for name, out in (("_break", "_after_break"), ("_last", "_after_last"), ("low", "_after_low")):
+        rows = following(rows, name, out)
+    moved_back = F.coalesce(F.col("_after_break"), F.greatest("_after_low", data_start))
+    extended = F.coalesce((F.col("_extension") > 0) & (moved_back < F.col("start_date")), F.lit(False))
+    before = F.col("_before") + F.when(extended, F.col("_extension")).otherwise(0)
+    rows = rows.withColumns({"_start": F.when(extended, moved_back).otherwise(F.col("start_date")), "_extended": extended, "support_before": before,
+                             "support_after": F.col("_after")})
+    b, a = F.col("support_before"), F.col("support_after")
+    decision = F.when((b >= strong) & (a >= strong), "split").when((a >= strong) | ((b < strong) & (a > b)), "start_moved").when(
+        (b >= strong) | (b > a), "end_moved").otherwise("dropped")
+    rows = rows.withColumn("_decision", F.when(F.col("_first").isNotNull(), decision))
+    piece = lambda s, e: F.struct(F.col(s).alias("new_start"), F.col(e).alias("new_end"))
+    d = F.col("_decision")
+    pieces = (F.when(d == "split", F.array(piece("_start", "_first"), piece("_after_last", "end_date"))).when(d == "start_moved", F.array(piece("_after_last", "end_date")))
+              .when(d == "end_moved", F.array(piece("_start", "_first"))).when(d == "dropped", F.array(F.struct(
+                  F.lit(None).cast("date").alias("new_start"), F.lit(None).cast("date").alias("new_end")))).otherwise(F.array(piece("_start", "end_date"))))
+    action = F.concat_ws(",", F.when(F.col("_extended"), "start_extended"), d)
+    return rows.withColumn("action", F.when(action != "", action)).withColumn("_p", F.explode(pieces)).select(
+        key, "status", "start_date", "end_date", "action", "support_before", "support_after", "_p.new_start", "_p.new_end")

@@ -450,6 +450,43 @@ def reconcile_intervals(spark, sf):
     return intervals.reconcile(spans, seen, 2)
 
 
+define("risk_intervals", "bars", """
+SELECT symbol, CASE month(start_date) % 4 WHEN 0 THEN 'DELISTING' WHEN 1 THEN '*ST' ELSE 'ST' END AS status, start_date, end_date, CASE WHEN month(start_date) % 3 = 0 THEN start_date - 75 END AS low
+FROM (SELECT symbol, date_trunc('quarter', trade_date) AS q, min(trade_date) + 20 AS start_date, CASE WHEN year(min(trade_date)) < 2001 THEN max(trade_date) + 10 END AS end_date FROM bars GROUP BY 1, 2)""")
+
+
+@query("settle_risk_intervals", "Q18", oracle("risk_intervals evidence calendar", """
+WITH i AS (SELECT * FROM risk_intervals WHERE status <> 'DELISTING'),
+v AS (SELECT e.symbol, c.trade_date AS d, e.beyond AND e.idx % 23 = 0 AS beyond, NOT (e.beyond AND e.idx % 23 = 0) AND (e.agrees OR NOT e.beyond AND e.idx % 5 = 0) AS support FROM evidence e JOIN calendar c USING (idx)),
+s AS (SELECT min(trade_date) AS first_day, max(trade_date) AS final FROM calendar),
+w AS (SELECT i.symbol, i.start_date, max(d) FILTER (beyond) AS lb FROM i JOIN v ON v.symbol = i.symbol AND v.d > i.low AND v.d < i.start_date GROUP BY 1, 2),
+n AS (SELECT i.*, CASE WHEN w.lb IS NOT NULL THEN coalesce((SELECT min(trade_date) FROM calendar c WHERE c.trade_date > w.lb), final)
+  ELSE greatest(coalesce((SELECT min(trade_date) FROM calendar c WHERE c.trade_date > i.low), final), DATE '1995-06-01') END AS back FROM i LEFT JOIN w USING (symbol, start_date), s WHERE low IS NOT NULL),
+x AS (SELECT n.symbol, n.start_date, any_value(back) AS back FROM n JOIN v ON v.symbol = n.symbol AND v.d >= n.back AND v.d > n.low AND v.d < n.start_date AND support WHERE back < start_date GROUP BY 1, 2),
+r AS (SELECT i.*, coalesce(x.back, i.start_date) AS st, x.back IS NOT NULL AS extended FROM i LEFT JOIN x USING (symbol, start_date)),
+f AS (SELECT r.symbol, r.start_date, min(d) AS fb, max(d) AS la FROM r JOIN v ON v.symbol = r.symbol AND v.d >= r.st AND (r.end_date IS NULL OR v.d < r.end_date) AND beyond GROUP BY 1, 2),
+c AS (SELECT r.symbol, r.start_date, count(d) FILTER (support AND d < fb) AS sb, count(d) FILTER (support AND d > la) AS sa FROM r JOIN f USING (symbol, start_date) LEFT JOIN v ON v.symbol = r.symbol AND v.d >= r.st AND (r.end_date IS NULL OR v.d < r.end_date) GROUP BY 1, 2),
+z AS (SELECT r.*, fb, coalesce((SELECT min(trade_date) FROM calendar k WHERE k.trade_date > la), final) AS al, CASE WHEN fb IS NULL THEN NULL WHEN sb >= 3 AND sa >= 3 THEN 'split' WHEN sa >= 3 OR (sb < 3 AND sa > sb) THEN 'start_moved' WHEN sb >= 3 OR sb > sa THEN 'end_moved' ELSE 'dropped' END AS dec
+ FROM r LEFT JOIN f USING (symbol, start_date) LEFT JOIN c USING (symbol, start_date), s),
+y AS (SELECT *, nullif(concat_ws(',', CASE WHEN extended THEN 'start_extended' END, dec), '') AS action FROM z)
+SELECT symbol, status, start_date, end_date, action, CASE dec WHEN 'start_moved' THEN al WHEN 'dropped' THEN NULL ELSE st END AS new_start, CASE WHEN dec IN ('end_moved', 'split') THEN fb WHEN dec = 'dropped' THEN NULL ELSE end_date END AS new_end FROM y
+UNION ALL SELECT symbol, status, start_date, end_date, action, al, end_date FROM y WHERE dec = 'split'
+UNION ALL SELECT symbol, status, start_date, end_date, NULL, start_date, end_date FROM risk_intervals WHERE status = 'DELISTING'"""))
+def settle_risk_intervals(spark, sf):
+    """Intervals trimmed, split, dropped and extended by price evidence."""
+    spans = views.bars(spark, sf).groupBy("symbol", F.trunc("trade_date", "quarter").alias("q")).agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
+    start = F.date_add("a", 20)
+    spans = spans.select("symbol", start.alias("start_date"), F.when(F.year("a") < 2001, F.date_add("b", 10)).alias("end_date"))
+    month = F.month("start_date")
+    status = F.when(month % 4 == 0, "DELISTING").when(month % 4 == 1, "*ST").otherwise("ST")
+    spans = spans.select("symbol", status.alias("status"), "start_date", "end_date", F.when(month % 3 == 0, F.date_sub("start_date", 75)).alias("low"))
+    # these trades break the band every other day and hardly ever close on it: some breaks count, and some quiet days support
+    breaks, quiet = F.col("beyond") & (F.col("idx") % 23 == 0), ~F.col("beyond") & (F.col("idx") % 5 == 0)
+    seen = evidence(spark, sf).select("symbol", "idx", breaks.alias("beyond"), (F.col("agrees") | quiet).alias("at_limit")).join(views.calendar(spark, sf), "idx")
+    out = intervals.settle(spans, seen, views.calendar(spark, sf), F.to_date(F.lit("1995-06-01")))
+    return out.drop("support_before", "support_after")
+
+
 @query("evidence_mismatches", "Q19", oracle("evidence", """
 WITH a AS (SELECT symbol, idx, CASE WHEN beyond THEN 'ST' ELSE 'none' END AS status FROM evidence WHERE idx % 2 = 0), b AS (SELECT symbol, idx, CASE WHEN beyond THEN 'ST' ELSE 'none' END AS status FROM evidence WHERE idx % 2 = 1)
 SELECT symbol, idx, status FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.symbol = a.symbol AND b.status = a.status AND b.idx BETWEEN a.idx - 2 AND a.idx + 2)"""))
