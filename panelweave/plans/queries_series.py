@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..operators import series, windows
+from ..operators import chart_lines, series, windows
 from ..sources.io import read_table
 from . import views
 from .common import r6
@@ -172,26 +172,96 @@ def average_true_range(spark, sf):
     return rounded(series.with_atr(views.bars(spark, sf)).select("symbol", "trade_date", "atr"), "atr")
 
 
+define("ranged", "bars", """
+WITH t AS (SELECT *, greatest(high - low, abs(high - p), abs(low - p)) AS tr FROM (SELECT *, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY trade_date), close) AS p FROM bars))
+SELECT symbol, trade_date, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY symbol) AS n, high::DOUBLE AS high, low::DOUBLE AS low, close::DOUBLE AS close,
+ greatest(avg(tr) OVER (PARTITION BY symbol ORDER BY trade_date ROWS 13 PRECEDING), 1e-9) AS atr FROM t WINDOW w AS (PARTITION BY symbol ORDER BY trade_date)""")
+# Bar by bar: what is looked for (a high, a low, or either at the start), the best so far, and the highs and lows since then.
+define("pivots", "ranged", """
+WITH RECURSIVE s AS MATERIALIZED (SELECT symbol, pos, high, low, 3 * atr AS reach FROM ranged WHERE n >= 3),
+f AS (
+ SELECT symbol, pos, '' AS seek, pos AS hp, high AS hx, pos AS lp, low AS lx, [high] AS hs, [low] AS ls, NULL::VARCHAR AS kind, NULL::BIGINT AS turn_at, NULL::DOUBLE AS price FROM s WHERE pos = 0
+ UNION ALL
+ SELECT symbol, pos, CASE kind WHEN 'H' THEN 'L' WHEN 'L' THEN 'H' ELSE seek END,
+  CASE WHEN kind = 'L' AND seek = 'L' THEN lp + list_position(h1, list_max(h1)) ELSE hp1 END, CASE WHEN kind = 'L' AND seek = 'L' THEN list_max(h1) ELSE hx1 END,
+  CASE WHEN kind = 'H' AND seek = 'H' THEN hp + list_position(l1, list_min(l1)) ELSE lp1 END, CASE WHEN kind = 'H' AND seek = 'H' THEN list_min(l1) ELSE lx1 END,
+  CASE WHEN seek = '' THEN CASE kind WHEN 'L' THEN h1[hp1 + 2:] WHEN 'H' THEN h1[lp1 + 2:] ELSE h1 END
+   WHEN seek = 'H' THEN CASE WHEN hp1 = pos THEN [] WHEN kind = 'H' THEN h1[list_position(l1, list_min(l1)) + 1:] ELSE h1 END
+   ELSE CASE WHEN lp1 = pos THEN [] WHEN kind = 'L' THEN h1[list_position(h1, list_max(h1)) + 1:] ELSE h1 END END,
+  CASE WHEN seek = '' THEN CASE kind WHEN 'L' THEN l1[hp1 + 2:] WHEN 'H' THEN l1[lp1 + 2:] ELSE l1 END
+   WHEN seek = 'H' THEN CASE WHEN hp1 = pos THEN [] WHEN kind = 'H' THEN l1[list_position(l1, list_min(l1)) + 1:] ELSE l1 END
+   ELSE CASE WHEN lp1 = pos THEN [] WHEN kind = 'L' THEN l1[list_position(h1, list_max(h1)) + 1:] ELSE l1 END END,
+  kind, CASE kind WHEN 'H' THEN hp1 WHEN 'L' THEN lp1 END, CASE kind WHEN 'H' THEN hx1 WHEN 'L' THEN lx1 END
+ FROM (SELECT *, CASE WHEN seek = '' AND hx1 - lx1 >= reach THEN CASE WHEN hp1 > lp1 THEN 'L' ELSE 'H' END
+   WHEN seek = 'H' AND hp1 < pos AND hx - low >= reach THEN 'H' WHEN seek = 'L' AND lp1 < pos AND high - lx >= reach THEN 'L' END AS kind
+  FROM (SELECT s.*, f.seek, f.hp, f.hx, f.lp, f.lx, list_append(f.hs, s.high) AS h1, list_append(f.ls, s.low) AS l1,
+    CASE WHEN f.seek <> 'L' AND s.high > f.hx THEN s.pos ELSE f.hp END AS hp1, CASE WHEN f.seek <> 'L' AND s.high > f.hx THEN s.high ELSE f.hx END AS hx1,
+    CASE WHEN f.seek <> 'H' AND s.low < f.lx THEN s.pos ELSE f.lp END AS lp1, CASE WHEN f.seek <> 'H' AND s.low < f.lx THEN s.low ELSE f.lx END AS lx1
+   FROM f JOIN s ON s.symbol = f.symbol AND s.pos = f.pos + 1))),
+g AS MATERIALIZED (SELECT * FROM f),
+l AS (SELECT * FROM g QUALIFY pos = max(pos) OVER (PARTITION BY symbol)),
+p AS (SELECT symbol, turn_at AS pos, price, kind, true AS confirmed FROM g WHERE kind IS NOT NULL
+ UNION ALL SELECT symbol, CASE seek WHEN 'H' THEN hp ELSE lp END, CASE seek WHEN 'H' THEN hx ELSE lx END, seek, false FROM l WHERE seek <> '')
+SELECT p.symbol, r.trade_date, CAST(p.pos AS INTEGER) AS pos, p.price, p.kind, p.confirmed FROM p JOIN ranged r USING (symbol, pos)""")
+
+
 @views.kept
 def pivots(spark, sf):
     return series.zigzag(views.bars(spark, sf))
 
 
-@query("zigzag_pivots", "G12")
+@query("zigzag_pivots", "G12", oracle("pivots", "SELECT * FROM pivots"))
 def zigzag_pivots(spark, sf):
     return pivots(spark, sf)
 
 
-@query("price_zones", "G13")
+define("zones", "pivots ranged", """
+WITH RECURSIVE z AS (SELECT symbol, any_value(n) AS n, arg_max(close, pos) AS last_close, greatest(0.8::DOUBLE * arg_max(atr, pos), 0.005::DOUBLE * arg_max(close, pos)) AS tol, max(high) AS top, min(low) AS bottom FROM ranged GROUP BY 1),
+p AS MATERIALIZED (SELECT p.symbol, p.pos, p.price, p.kind, z.n, z.tol, z.last_close, row_number() OVER (PARTITION BY p.symbol ORDER BY p.price, p.pos) AS r FROM pivots p JOIN z USING (symbol) WHERE confirmed),
+c AS (SELECT symbol, r, price AS first, 0 AS cluster FROM p WHERE r = 1
+ UNION ALL SELECT p.symbol, p.r, CASE WHEN p.price - c.first > 2 * p.tol THEN p.price ELSE c.first END, CASE WHEN p.price - c.first > 2 * p.tol THEN c.cluster + 1 ELSE c.cluster END FROM c JOIN p ON p.symbol = c.symbol AND p.r = c.r + 1),
+g AS (SELECT p.symbol, cluster, any_value(tol) AS tol, any_value(last_close) AS last_close, count(*) AS touches, avg(price) AS price, min(price) AS lo, max(price) AS hi,
+ sum(0.5 + 0.5 * exp(-(n - 1 - pos) / greatest(n / 3.0::DOUBLE, 1))) AS weight, count(DISTINCT kind) = 2 AS flipped FROM p JOIN c USING (symbol, r) GROUP BY 1, 2 HAVING count(*) >= 2),
+o AS (SELECT symbol, CASE WHEN price > last_close THEN 'resistance' ELSE 'support' END AS side, lo - greatest(0, (tol * 0.5 - (hi - lo)) / 2) AS low, hi + greatest(0, (tol * 0.5 - (hi - lo)) / 2) AS high, price, touches,
+ round(weight + CASE WHEN flipped THEN 0.5 ELSE 0 END, 3) AS score, flipped FROM g),
+e AS (SELECT symbol, tol, 'resistance' AS side, top AS price FROM z UNION ALL SELECT symbol, tol, 'support', bottom FROM z),
+u AS (SELECT * FROM o UNION ALL SELECT symbol, side, price - tol * 0.25, price + tol * 0.25, price, 1, 0.9, false FROM e WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.symbol = e.symbol AND e.price >= o.low - e.tol AND e.price <= o.high + e.tol))
+SELECT symbol, side, round(low, 6) AS low, round(high, 6) AS high, round(price, 6) AS price, touches, score, flipped FROM u QUALIFY row_number() OVER (PARTITION BY symbol, side ORDER BY score DESC, u.price) <= 3""")
+
+
+@query("price_zones", "G13", oracle("zones", "SELECT * FROM zones"))
 def price_zones(spark, sf):
     return rounded(series.price_zones(pivots(spark, sf), views.bars(spark, sf)), "low", "high", "price")
 
 
-@query("fibonacci_levels", "G15")
+@query("fibonacci_levels", "G15", oracle("pivots", """
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY pos DESC) AS r FROM pivots),
+e AS (SELECT symbol, max(price) FILTER (r = 2) AS from_price, max(price) FILTER (r = 1) AS to_price FROM l WHERE r <= 2 GROUP BY 1 HAVING count(*) = 2)
+SELECT symbol, from_price, to_price, ratio, round(to_price - (to_price - from_price) * ratio, 6) AS level FROM e, (SELECT unnest([0, 0.236, 0.382, 0.5, 0.618, 0.786, 1])::DOUBLE AS ratio)"""))
 def fibonacci_levels(spark, sf):
     return rounded(series.fibonacci(pivots(spark, sf)), "level")
 
 
+@query("trend_lines", "G14", oracle("pivots ranged", """
+WITH z AS (SELECT symbol, any_value(n) AS n, 0.5 * arg_max(atr, pos) AS tol FROM ranged GROUP BY 1 HAVING any_value(n) >= 10),
+a AS (SELECT p.*, n, tol, CASE kind WHEN 'L' THEN 1 ELSE -1 END AS s FROM pivots p JOIN z USING (symbol) WHERE confirmed QUALIFY row_number() OVER (PARTITION BY symbol, kind ORDER BY pos DESC) <= 8),
+c AS (SELECT a.symbol, a.kind, a.s, a.n, a.tol, a.pos AS i1, a.price AS p1, b.pos AS i2, b.price AS p2 FROM a JOIN a b ON a.symbol = b.symbol AND a.kind = b.kind AND b.pos - a.pos >= 3
+ WHERE a.s * (b.price - a.price) > 0 AND abs(b.price - a.price) / (b.pos - a.pos) <= 0.03::DOUBLE * a.price),
+v AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM ranged r WHERE r.symbol = c.symbol AND r.pos BETWEEN c.i1 AND c.i2
+  AND c.s * (CASE WHEN c.kind = 'L' THEN r.low ELSE r.high END - (c.p1 + (c.p2 - c.p1) * (r.pos - c.i1) / (c.i2 - c.i1))) < -c.tol)),
+k AS (SELECT v.symbol, v.kind, v.i1, v.i2, min(r.pos) AS b FROM v JOIN ranged r ON r.symbol = v.symbol AND r.pos > v.i2 AND v.s * (r.close - (v.p1 + (v.p2 - v.p1) * (r.pos - v.i1) / (v.i2 - v.i1))) < -v.tol GROUP BY ALL),
+e AS (SELECT v.*, k.b IS NOT NULL AS broken, coalesce(k.b, v.n - 1) AS end_pos FROM v LEFT JOIN k USING (symbol, kind, i1, i2)),
+t AS (SELECT e.symbol, e.kind, e.i1, e.i2, count(*) AS touches FROM e JOIN pivots p ON p.symbol = e.symbol AND p.kind = e.kind AND p.confirmed AND p.pos BETWEEN e.i1 AND e.end_pos
+ AND abs(p.price - (e.p1 + (e.p2 - e.p1) * (p.pos - e.i1) / (e.i2 - e.i1))) <= e.tol GROUP BY ALL),
+q AS (SELECT e.*, touches, round(touches * 2 + (i2 - i1) / n::DOUBLE + CASE WHEN broken THEN 0 ELSE 2 END + CASE WHEN broken THEN 1 - (n - 1 - end_pos) / n::DOUBLE ELSE 1 END, 3) AS score FROM e JOIN t USING (symbol, kind, i1, i2)),
+w AS (SELECT * FROM (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY symbol, kind ORDER BY score DESC, i1, i2) = 1) WHERE NOT broken OR n - 1 - end_pos <= 20),
+o AS (SELECT w.symbol, w.kind, max(w.s * (CASE WHEN w.kind = 'L' THEN r.high ELSE r.low END - (w.p1 + (w.p2 - w.p1) * (r.pos - w.i1) / (w.i2 - w.i1)))) AS off FROM w JOIN ranged r ON r.symbol = w.symbol AND r.pos BETWEEN w.i1 AND w.end_pos GROUP BY ALL)
+SELECT symbol, CASE kind WHEN 'L' THEN 'up' ELSE 'down' END AS kind, i1, p1, i2, p2, touches, broken, CAST(end_pos AS INTEGER) AS end_pos, score, round(CASE WHEN off > tol THEN s * off END, 6) AS channel_offset FROM w JOIN o USING (symbol, kind)"""))
+def trend_lines(spark, sf):
+    """The best rising and the best falling line of each series with its channel."""
+    return rounded(chart_lines.trend_lines(views.bars(spark, sf), pivots(spark, sf)), "channel_offset")
+
+
 # Session by session: the highest and lowest price since the last turn, and whether the price has left one of them by a fifth.
 define("turns", "panel", """
 WITH RECURSIVE s AS MATERIALIZED (SELECT symbol, idx, adj_last::DOUBLE AS x, row_number() OVER (PARTITION BY symbol ORDER BY idx) AS n FROM panel WHERE adj_last IS NOT NULL),
