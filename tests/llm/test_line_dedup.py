@@ -38,12 +38,28 @@ def test_matches_definition_and_sql(spark, documents, rows_of, sql_rows):
 
 def test_bitmaps_are_sparse_words(spark, documents):
     row = line_dedup.bitmaps(documents(ROWS + [(14, LONG)])).filter("_pw_doc = 13").first()
-    assert [w["word"] for w in row["dropped"]] == [0, 1, 2, 3]
-    assert sum(bin(w["bits"] & (1 << 64) - 1).count("1") for w in row["dropped"]) == 200
+    assert [w["word"] for w in row["kept"]] == [0, 1, 2, 3]
+    assert sum(bin(w["bits"] & (1 << 64) - 1).count("0") - 1 for w in row["kept"][3:]) == 8  # less the 0 of 0b
+    assert [w["bits"] for w in row["kept"][:3]] == [0, 0, 0]  # 200 lines go, the last stays
+
+
+def test_first_occurrences_are_streamed_off_sorted_ranges(spark, documents):
+    """One exchange by range, one sort by hash, document and position, no hash exchange before the first rows."""
+    many = documents([(i, f"{LONG}\n{LONG}\nonly in {i:020d}") for i in range(600)])
+    lines = line_dedup.line_rows(many, 20)
+    first = line_dedup.first_occurrences(lines)
+    plan = first._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning(_pw_hash" in plan and "Sort [_pw_hash" in plan and "Window" in plan
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spread = first.withColumn("part", F.spark_partition_id()).groupBy("_pw_hash").agg(F.countDistinct("part").alias("parts"), F.count("*").alias("n"))
+    hot = spread.orderBy(F.desc("n")).first()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert hot["n"] == 600 and hot["parts"] > 1  # one hash over several partitions
+    assert sorted(r["n_dropped"] for r in line_dedup.decide(many).collect()) == [0] + [2] * 599
 
 
 def test_edges(spark, documents):
-    clash = documents(ROWS, extra=("dropped", "word", "kept_text", "n_lines"))
+    clash = documents(ROWS, extra=("keep_bits", "word", "kept", "bits", "kept_text", "n_lines"))
     out = line_dedup.apply(clash)
     assert out.columns == clash.columns
     kept = {r["doc_id"]: r for r in out.collect()}
