@@ -1,5 +1,8 @@
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 from panelweave.llm import q_quality, quality
 
 CLEAN = "The quick brown fox jumps over the lazy dog while seven wizards quietly mix a potion of herbs and roots."
@@ -32,10 +35,29 @@ def test_cascade_keeps_what_all_rules_pass(spark, documents):
 
 
 def test_order_is_rejections_per_cost(spark, documents):
-    stats = quality.statistics(__import__("pyspark.sql.functions", fromlist=["col"]).col("text"))
-    order = quality.plan(documents(ROWS * 20), quality.base_rules(stats) + quality.method_rules(stats))
+    order = quality.plan(documents(ROWS * 20))
     gains = [rate / cost for _, cost, rate in order]
     assert gains == sorted(gains, reverse=True) and len(order) == 6
+    rates = {name: rate for name, _, rate in order}
+    assert 0.1 < rates["too_short"] < 0.6 and 0 < rates["symbols"] < rates["too_short"]
+
+
+def test_later_rules_are_not_evaluated(spark, documents):
+    """A rule behind one that a row fails would raise; rules evaluated in all are fewer than rows times rules."""
+    docs = documents(ROWS)
+    text = F.col("text")
+
+    def rules(s):
+        words_of_few = quality.Rule("few", s["n_words"] < 10_000)
+        return [words_of_few, quality.Rule("raises", F.raise_error(F.lit("evaluated")).cast("boolean"))]
+
+    assert [r[0] for r in docs.select(quality.cascade(text, ["few", "raises"], rules)).collect()] == ["few"] * len(ROWS)
+    with pytest.raises(Exception, match="evaluated"):
+        docs.select(quality.cascade(text, ["raises", "few"], rules)).collect()
+    order = [name for name, _, _ in quality.plan(docs)]
+    first = [r[0] for r in docs.select(quality.cascade(text, order)).collect()]
+    evaluated = sum(order.index(name) + 1 if name else len(order) for name in first)
+    assert evaluated < 0.8 * len(ROWS) * len(order)
 
 
 def test_edges(spark, documents):
