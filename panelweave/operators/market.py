@@ -119,3 +119,33 @@ def sector_changes(bars: DataFrame, classes: DataFrame, day: str, key: str = "sy
              .filter(F.col("trade_date") == F.to_date(F.lit(day))).join(classes, key))
     means = moves.groupBy("industry").agg(F.avg("_chg").alias("change"), F.count("_chg").alias("stocks"))
     return means.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("change"), "industry")))
+
+
+#: Days after the listing in which a security has no price band.
+YOUNG_DAYS = 10
+
+
+def daily_moves(ruled: DataFrame, key: str = "symbol") -> DataFrame:
+    """Change of each bar against the session before it, carried through a factor step; null without a bar there.
+
+    ``ruled``: key, idx, has_bar, close, close_before, hfq_before, hfq, and the band of the rules (up, down).
+    """
+    adjacent = F.coalesce(F.lag("has_bar").over(series(key, "idx")), F.lit(False))
+    base = F.col("close_before") * F.coalesce(F.try_divide("hfq_before", "hfq"), F.lit(1.0))
+    rows = ruled.withColumn("change", F.when(F.col("has_bar") & adjacent & (base > 0), F.col("close") / base - 1))
+    return rows.filter("has_bar")
+
+
+def overview(moves: DataFrame) -> DataFrame:
+    """Every session at once: advances, declines, limit moves by the rules in force, turnover."""
+    known, banded = F.col("change").isNotNull(), F.datediff("trade_date", "list_date") >= YOUNG_DAYS
+    return moves.groupBy("idx").agg(
+        F.count_if(F.col("change") > 0).alias("advances"), F.count_if(F.col("change") < 0).alias("declines"), F.count_if(F.col("change") == 0).alias("flat"),
+        F.count_if(known & banded & (F.col("close") >= F.col("up"))).alias("limit_up"),
+        F.count_if(known & banded & (F.col("close") <= F.col("down"))).alias("limit_down"), F.sum("amount").alias("amount"))
+
+
+def sectors(moves: DataFrame, classes: DataFrame, key: str = "symbol") -> DataFrame:
+    """Mean change of each industry and its place in every session."""
+    means = moves.filter("change is not null").join(classes, key).groupBy("idx", "industry").agg(F.avg("change").alias("change"), F.count("*").alias("stocks"))
+    return means.withColumn("place", F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("change"), "industry")))

@@ -6,8 +6,10 @@ study is one equi-join of the events to their (symbol, session) row.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..sources.io import written
 from .order_stats import expanding_quantiles
 from .windows import last_n, lead_n, series, so_far
 
@@ -149,3 +151,100 @@ def drawdown_context(panel: DataFrame, lookback: int = 250, key: str = "symbol",
                               "_up": F.col("adj_last") > F.lag("adj_last").over(series(key, order))})
     return rows.groupBy(order).agg(F.percentile("_dd", F.lit(0.5)).alias("median_drawdown"), F.avg(F.col("_up").cast("int")).alias("up_share"),
                                    F.count_if(F.col("_dd") == 0).alias("new_highs"))
+
+
+#: Months a regime (or the whole past) must have before it decides, and the months of the trailing rule.
+STATE_MONTHS, TRAILING = 12, 12
+
+
+def select_families(families: DataFrame, regimes_: DataFrame, keys: tuple[str, ...], least: int = STATE_MONTHS, trailing: int = TRAILING) -> DataFrame:
+    """What rules that choose families by their past would have earned, period by period.
+
+    ``families``: k (period number, without gaps), family, value; ``regimes_``: k and one label column per regime key.  At
+    period k the results up to k - 2 are known.  A rule takes the families whose mean over its past is positive, all that
+    are there where none is or the past is shorter than ``least``: of the periods in today's state (of all, where those are
+    fewer than ``least``), the last ``trailing``, or all.  Rule ``all`` always takes all.  One running sum per family and
+    one per (family, state) give every mean; no period meets another.
+    """
+    periods = families.select("k").distinct().join(regimes_, "k", "left")
+    rows = families.join(regimes_, "k", "left")
+    of_family = Window.partitionBy("family").orderBy("k")
+    past, recent = of_family.rangeBetween(Window.unboundedPreceding, -2), of_family.rangeBetween(-trailing - 1, -2)
+    rows = rows.withColumns({"_all": F.avg("value").over(past), "_recent": F.avg("value").over(recent)})
+    first = families.agg(F.min("k")).scalar()
+    rows = rows.withColumn("_known", F.greatest(F.col("k") - 1 - first, F.lit(0)))
+    bases = {"all": None, "expanding": F.col("_all"), "trailing": F.col("_recent")}
+    for key in keys:
+        state = Window.partitionBy("family", key).orderBy("k").rangeBetween(Window.unboundedPreceding, -2)
+        months = Window.partitionBy(key).orderBy("k").rangeBetween(Window.unboundedPreceding, -2)
+        seen = periods.withColumn("_seen", F.when(F.col(key).isNotNull(), F.count("*").over(months)).otherwise(0)).select("k", F.col("_seen").alias(f"_n_{key}"))
+        rows = rows.withColumn(f"_in_{key}", F.avg("value").over(state)).join(seen, "k")
+        bases[f"by_{key}"] = F.when(F.coalesce(F.col(f"_n_{key}"), F.lit(0)) >= least, F.col(f"_in_{key}")).otherwise(F.col("_all"))
+    good = [F.struct(F.lit(name).alias("rule"), (F.lit(False) if base is None else F.coalesce((F.col("_known") >= least) & (base > 0), F.lit(False))).alias("good"))
+            for name, base in bases.items()]
+    long = rows.filter("value is not null").select("k", "value", F.inline(F.array(*good)))
+    chosen = long.groupBy("k", "rule").agg(F.avg("value").alias("_any"), F.avg(F.when(F.col("good"), F.col("value"))).alias("_good"), F.count_if("good").alias("chosen"))
+    return chosen.select("k", "rule", F.coalesce("_good", "_any").alias("value"), "chosen")
+
+
+# -- classifiers ---------------------------------------------------------------------------------
+
+def _solve(n: int, keys: list[str]):
+    """Newton steps of small systems, one row each: gradient and the upper triangle of the Hessian."""
+    def run(batches):
+        for pdf in batches:
+            out = pdf[keys].copy()
+            grad = np.stack(pdf["grad"].to_numpy()) if len(pdf) else np.zeros((0, n))
+            flat = np.stack(pdf["hess"].to_numpy()) if len(pdf) else np.zeros((0, n * (n + 1) // 2))
+            full = np.zeros((len(pdf), n, n))
+            full[:, *np.triu_indices(n)] = flat
+            full = full + np.transpose(np.triu(full, 1), (0, 2, 1))
+            step = np.linalg.solve(full, grad[..., None])[..., 0] if len(pdf) else grad
+            out["w"] = list(np.stack(pdf["w"].to_numpy()) - step) if len(pdf) else []
+            yield out
+
+    return run
+
+
+def expanding_logistic(samples: DataFrame, x: list[str], label: str, order: str, known: str, least: int = 60, penalty: float = 1.0,
+                       rounds: int = 8) -> DataFrame:
+    """``samples`` with the probability that a logistic model of everything known before gives to label 1.
+
+    For every period of ``order`` a model is fitted to the samples whose outcome was ``known`` before it, with inputs
+    standardised by their mean and deviation there, by reweighted least squares with a penalty on all but the constant.
+    All periods are fitted at once: a round is one join of the samples with the weights of the periods they are known in
+    and one aggregation by period of gradient and Hessian, summed before the shuffle; the small systems that remain, one
+    row a period, are solved in tasks.  Periods with fewer than ``least`` known samples or one class have no model.
+    """
+    n = len(x) + 1
+    data = written(samples.dropna(subset=[*x, order]), "samples")
+    periods = data.select(F.col(order).alias("_at")).distinct()
+    trained = data.filter(F.col(label).isNotNull() & F.col(known).isNotNull())
+    inputs = F.array(*[F.col(c).cast("double") for c in x])
+    # a sample meets the periods after it became known: the fits overlap, so the work is samples times periods
+    last = periods.agg(F.max("_at")).scalar()
+    firsts = trained.select(F.col(known).cast("long").alias("_known"), inputs.alias("_x"), F.col(label).cast("double").alias("_y"))
+    pairs = firsts.select("_x", "_y", F.explode(F.when(F.col("_known") <= last, F.sequence(F.col("_known"), last.cast("long")))).alias("_at"))
+    pairs = pairs.join(periods, "_at")
+    moments = pairs.groupBy("_at").agg(F.count("*").alias("_n"), F.sum("_y").alias("_ones"), F.array(*[F.avg(F.col("_x")[i]) for i in range(n - 1)]).alias("_mean"),
+                                       F.array(*[F.stddev_samp(F.col("_x")[i]) for i in range(n - 1)]).alias("_dev"))
+    fits = moments.filter((F.col("_n") >= least) & (F.col("_ones") > 0) & (F.col("_ones") < F.col("_n")))
+    fits = written(fits.select("_at", "_mean", "_dev"), "moments")
+    scaled = lambda at: F.zip_with(F.zip_with(at, "_mean", lambda a, m: a - m), "_dev", lambda a, d: F.when(d > 0, a / d).otherwise(0.0))
+    pairs = written(pairs.join(fits, "_at").select("_at", "_y", F.concat(F.array(F.lit(1.0)), scaled(F.col("_x"))).alias("_z")), "pairs")
+    weights = fits.select("_at", F.array_repeat(F.lit(0.0), n).alias("w"))
+    cells = [(i, j) for i in range(n) for j in range(i, n)]
+    ridge = [penalty if i else 0.0 for i in range(n)]
+    for _ in range(rounds):
+        dot = F.aggregate(F.zip_with("_z", "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        met = pairs.join(weights, "_at").withColumn("_p", 1 / (1 + F.exp(-dot)))
+        z = lambda i: F.col("_z")[i]
+        v = F.col("_p") * (1 - F.col("_p"))
+        grad = F.array(*[F.sum(z(i) * (F.col("_p") - F.col("_y"))) + ridge[i] * F.first(F.col("w")[i]) for i in range(n)])
+        hess = F.array(*[F.sum(z(i) * z(j) * v) + (ridge[i] if i == j else 0.0) for i, j in cells])
+        sums = met.groupBy("_at").agg(grad.alias("grad"), hess.alias("hess"), F.first("w").alias("w"))
+        weights = written(sums.mapInPandas(_solve(n, ["_at"]), "_at long, w array<double>"), "weights")
+    scored = data.join(fits.join(weights, "_at"), data[order] == F.col("_at"))
+    own = F.concat(F.array(F.lit(1.0)), scaled(inputs))
+    p = 1 / (1 + F.exp(-F.aggregate(F.zip_with(own, "w", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)))
+    return scored.select(*samples.columns, p.alias("probability"))

@@ -474,17 +474,21 @@ UNION ALL SELECT symbol, status, start_date, end_date, action, al, end_date FROM
 UNION ALL SELECT symbol, status, start_date, end_date, NULL, start_date, end_date FROM risk_intervals WHERE status = 'DELISTING'"""))
 def settle_risk_intervals(spark, sf):
     """Intervals trimmed, split, dropped and extended by price evidence."""
+    # these trades break the band every other day and hardly ever close on it: some breaks count, and some quiet days support
+    breaks, quiet = F.col("beyond") & (F.col("idx") % 23 == 0), ~F.col("beyond") & (F.col("idx") % 5 == 0)
+    seen = evidence(spark, sf).select("symbol", "idx", breaks.alias("beyond"), (F.col("agrees") | quiet).alias("at_limit")).join(views.calendar(spark, sf), "idx")
+    out = intervals.settle(risk_spans(spark, sf), seen, views.calendar(spark, sf), F.to_date(F.lit("1995-06-01")))
+    return out.drop("support_before", "support_after")
+
+
+def risk_spans(spark, sf):
+    """Risk intervals, some with an uncertain start."""
     spans = views.bars(spark, sf).groupBy("symbol", F.trunc("trade_date", "quarter").alias("q")).agg(F.min("trade_date").alias("a"), F.max("trade_date").alias("b"))
     start = F.date_add("a", 20)
     spans = spans.select("symbol", start.alias("start_date"), F.when(F.year("a") < 2001, F.date_add("b", 10)).alias("end_date"))
     month = F.month("start_date")
     status = F.when(month % 4 == 0, "DELISTING").when(month % 4 == 1, "*ST").otherwise("ST")
-    spans = spans.select("symbol", status.alias("status"), "start_date", "end_date", F.when(month % 3 == 0, F.date_sub("start_date", 75)).alias("low"))
-    # these trades break the band every other day and hardly ever close on it: some breaks count, and some quiet days support
-    breaks, quiet = F.col("beyond") & (F.col("idx") % 23 == 0), ~F.col("beyond") & (F.col("idx") % 5 == 0)
-    seen = evidence(spark, sf).select("symbol", "idx", breaks.alias("beyond"), (F.col("agrees") | quiet).alias("at_limit")).join(views.calendar(spark, sf), "idx")
-    out = intervals.settle(spans, seen, views.calendar(spark, sf), F.to_date(F.lit("1995-06-01")))
-    return out.drop("support_before", "support_after")
+    return spans.select("symbol", status.alias("status"), "start_date", "end_date", F.when(month % 3 == 0, F.date_sub("start_date", 75)).alias("low"))
 
 
 @query("evidence_mismatches", "Q19", oracle("evidence", """

@@ -228,3 +228,64 @@ def walk_forward_classifier(spark, sf):
             F.count("*").alias("n"), r6(F.avg((F.col("prediction") == F.col("label")).cast("int"))).alias("accuracy"))
         out = out.unionByName(part)
     return out
+
+
+# -- choice by regime and monthly models -------------------------------------------------------
+
+define("family_periods", "quantiles", """
+WITH f AS (SELECT CASE factor WHEN 'rev_1m' THEN 'momentum' WHEN 'vol_60' THEN 'risk' WHEN 'turn_20' THEN 'liquidity' WHEN 'ln_float_mcap' THEN 'size' ELSE 'technical' END AS family, idx, avg(top_minus_bottom) AS value FROM quantiles GROUP BY 1, 2)
+SELECT family, idx, dense_rank() OVER (ORDER BY idx) AS k, value FROM f""")
+define("family_regimes", "family_periods bench calendar", """
+WITH r AS (SELECT idx, bench AS close, ln(bench / lag(bench) OVER (ORDER BY idx)) AS r FROM bench),
+v AS (SELECT *, CASE WHEN count(close) OVER a >= 100 THEN avg(close) OVER a END AS m, close / lag(close, 60) OVER (ORDER BY idx) - 1 AS y FROM r WINDOW a AS (ORDER BY idx ROWS 99 PRECEDING))
+SELECT DISTINCT k, CASE WHEN close > m THEN 'above' WHEN m IS NOT NULL THEN 'below' END AS ma_side, CASE WHEN y > 0 THEN 'up' WHEN y IS NOT NULL THEN 'down' END AS year FROM family_periods LEFT JOIN v USING (idx)""")
+
+
+def family_periods(spark, sf):
+    """Spread of each factor family by evaluation period, numbered in order."""
+    from .queries_evaluation import QUANTILES, bucketed
+    from ..operators import evaluate
+    name = F.when(F.col("factor") == "rev_1m", "momentum").when(F.col("factor") == "vol_60", "risk").when(F.col("factor") == "turn_20", "liquidity").when(
+        F.col("factor") == "ln_float_mcap", "size").otherwise("technical")
+    rows = evaluate.quantile_returns(bucketed(spark, sf), QUANTILES).groupBy(name.alias("family"), "idx").agg(F.avg("top_minus_bottom").alias("value"))
+    numbers = rows.select("idx").distinct().withColumn("k", F.row_number().over(Window.orderBy("idx")).cast("long"))  # one row a period
+    return rows.join(numbers, "idx")
+
+
+@query("family_selection", "V7", oracle("family_periods family_regimes", """
+WITH p AS (SELECT k, family, value, ma_side, year FROM family_periods JOIN family_regimes USING (k)),
+b AS (SELECT p.*, (SELECT count(DISTINCT q.k) FROM p q WHERE q.k <= p.k - 2) AS known,
+  (SELECT avg(q.value) FROM p q WHERE q.family = p.family AND q.k <= p.k - 2) AS e, (SELECT avg(q.value) FROM p q WHERE q.family = p.family AND q.k BETWEEN p.k - 5 AND p.k - 2) AS t,
+  (SELECT count(DISTINCT q.k) FROM p q WHERE q.ma_side = p.ma_side AND q.k <= p.k - 2) AS n1, (SELECT avg(q.value) FROM p q WHERE q.family = p.family AND q.ma_side = p.ma_side AND q.k <= p.k - 2) AS s1,
+  (SELECT count(DISTINCT q.k) FROM p q WHERE q.year = p.year AND q.k <= p.k - 2) AS n2, (SELECT avg(q.value) FROM p q WHERE q.family = p.family AND q.year = p.year AND q.k <= p.k - 2) AS s2 FROM p),
+r AS (SELECT k, value, known, 'all' AS rule, NULL::DOUBLE AS m FROM b UNION ALL SELECT k, value, known, 'expanding', e FROM b UNION ALL SELECT k, value, known, 'trailing', t FROM b
+ UNION ALL SELECT k, value, known, 'by_ma_side', CASE WHEN n1 >= 3 THEN s1 ELSE e END FROM b UNION ALL SELECT k, value, known, 'by_year', CASE WHEN n2 >= 3 THEN s2 ELSE e END FROM b)
+SELECT k, rule, round(coalesce(avg(value) FILTER (known >= 3 AND m > 0), avg(value)), 6) AS value, count(*) FILTER (known >= 3 AND m > 0) AS chosen FROM r WHERE value IS NOT NULL GROUP BY 1, 2"""))
+def family_selection(spark, sf):
+    """Families chosen by their past in today's regime, by their last periods, or by all of it; few periods pass the universe here."""
+    periods = family_periods(spark, sf)
+    market = bench(spark, sf).select(F.lit("market").alias("series"), "idx", F.col("bench").alias("close"))
+    labels = studies.regimes(market, ma=100, look=60).select("idx", "ma_side", "year")
+    of_period = periods.select("k", "idx").distinct().join(labels, "idx", "left").drop("idx")
+    return rounded(studies.select_families(periods.select("k", "family", "value"), of_period, ("ma_side", "year"), least=3, trailing=4), "value")
+
+
+def monthly_samples(spark, sf):
+    """One sample a symbol and month: three inputs at the month's last session, and whether the next 20 sessions rose."""
+    w = windows.series("symbol", "idx")
+    number = (F.year("trade_date") * 12 + F.month("trade_date")).cast("long")
+    rows = inputs(spark, sf).withColumns({
+        "m": number, "turn": F.avg("turnover_rate").over(windows.last_n(20)), "dist": F.col("adj_last") / F.max("adj_last").over(windows.last_n(60)),
+        "move": F.col("adj_last") / F.lag("adj_last", 20).over(w) - 1, "later": F.lead("adj_last", 20).over(w), "m_later": F.lead(number, 20).over(w)})
+    rows = rows.withColumn("final", F.max("idx").over(Window.partitionBy("symbol", "m"))).filter("idx = final")
+    return rows.select("symbol", F.col("m").alias("month"), "turn", "dist", "move", (F.col("m_later") + 1).alias("known"),
+                       F.when(F.col("later").isNotNull(), (F.col("later") > F.col("adj_last")).cast("double")).alias("label"))
+
+
+@query("monthly_classifier", "V8")
+def monthly_classifier(spark, sf):
+    """Out-of-sample probabilities of a logistic model fitted anew for each month, and how often they were right."""
+    scored = studies.expanding_logistic(monthly_samples(spark, sf), ["move", "turn", "dist"], "label", "month", "known")
+    hit = (F.col("probability") > 0.5).cast("double") == F.col("label")
+    return scored.filter("label is not null").groupBy("month").agg(
+        F.count("*").alias("n"), r6(F.avg(hit.cast("int"))).alias("hits"), r6(F.avg("label")).alias("rose"), r6(F.avg("probability")).alias("probability"))
