@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import math
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
 
+from .options import normal_cdf
 from .windows import lead_n, series
 from .xsection import pct_rank
 
@@ -111,9 +108,9 @@ def summary(ic: DataFrame, quantiles: DataFrame, turnover: DataFrame, periods_pe
     return stats.join(spreads, "factor", "left").join(moves, "factor", "left")
 
 
-@F.pandas_udf(DoubleType())  # a type object: a string would need a running session at import
-def normal_p(t: pd.Series) -> pd.Series:
-    return t.map(lambda v: math.erfc(abs(v) / math.sqrt(2)) if pd.notna(v) else None)
+def normal_p(t: str) -> Column:
+    """Two-sided p-value of a normal statistic."""
+    return F.when(F.col(t).isNotNull(), 2 * normal_cdf(-F.abs(F.col(t))))
 
 
 def benjamini_hochberg(df: DataFrame, p: str, out: str) -> DataFrame:

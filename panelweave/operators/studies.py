@@ -108,6 +108,51 @@ def entry_rules(panel: DataFrame, events: DataFrame, hold: int, rules: dict[str,
                                     F.avg((F.col("ret") > 0).cast("int")).alias("win"))
 
 
+ENTRY_RULES = ("at_once", "thirds", "at_once_stop", "thirds_stop", "above_mean")
+
+
+def entry_paths(panel: DataFrame, events: DataFrame, hold: int = 120, step: int = 20, look: int = 20, mean: int = 60, key: str = "symbol",
+                order: str = "idx") -> DataFrame:
+    """One unit of capital into each event by five rules: key, order, rule, ret, worst (deepest fall of its value on the way).
+
+    ``panel``: key, order, open, close (adjusted, a row a session).  All at the next open; thirds at opens ``step`` apart; both
+    with an exit at the first close under the low of the ``look`` closes before the event; or all at the open after the
+    first close above its mean of ``mean``.  An event brings ``hold`` sessions with it and meets the panel on (key, session);
+    events without all of them are left out.
+    """
+    w = series(key, order)
+    rows = panel.withColumns({"_mean": F.when(F.count("close").over(last_n(mean, key, order)) >= mean, F.avg("close").over(last_n(mean, key, order))),
+                              "_low": F.min("close").over(w.rowsBetween(-look, -1))})
+    start = events.select(key, order).distinct().join(rows.select(key, order, "_low"), [key, order])
+    ahead = start.select(key, F.col(order).alias("_event"), "_low", F.explode(F.sequence(F.lit(1), F.lit(hold))).alias("_k")).withColumn(order, F.col("_event") + F.col("_k"))
+    path = ahead.join(rows.select(key, order, "open", "close", "_mean"), [key, order]).drop(order)
+    each = Window.partitionBy(key, "_event")
+    upto = each.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    path = path.withColumn("_n", F.count("close").over(each)).filter(F.col("_n") == hold)
+    k, c, o = F.col("_k"), F.col("close"), F.col("open")
+    third = F.when(k.isin(1, step + 1, 2 * step + 1), F.lit(1.0) / 3)
+    path = path.withColumns({
+        "at_once": c * F.max(F.when(k == 1, 1 / o)).over(each), "thirds": 1 - F.sum(third).over(upto) + F.sum(third / o).over(upto) * c,
+        "_hit": F.min(F.when(c < F.col("_low"), k)).over(each), "_above": F.min(F.when((c > F.col("_mean")) & (k <= hold - 2), k)).over(each)})
+    frozen = lambda name: F.when(k < F.coalesce("_hit", F.lit(hold)), F.col(name)).otherwise(
+        F.max(F.when(k == F.coalesce("_hit", F.lit(hold)), F.col(name))).over(each))
+    entry = F.max(F.when(k == F.col("_above") + 1, o)).over(each)
+    path = path.withColumns({"at_once_stop": frozen("at_once"), "thirds_stop": frozen("thirds"),
+                             "above_mean": F.when(k > F.col("_above"), c / entry).otherwise(1.0)})
+    long = path.select(key, "_event", "_k", F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("v")) for r in ENTRY_RULES])))
+    peak = F.max(F.greatest(F.col("v"), F.lit(1.0))).over(Window.partitionBy(key, "_event", "rule").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0))
+    return long.withColumn("_d", F.col("v") / peak - 1).groupBy(key, F.col("_event").alias(order), "rule").agg(
+        (F.max_by("v", "_k") - 1).alias("ret"), F.least(F.min("_d"), F.lit(0.0)).alias("worst"))
+
+
+def entry_summary(paths: DataFrame) -> DataFrame:
+    """What each rule brought over all events."""
+    return paths.groupBy("rule").agg(
+        F.count("*").alias("events"), F.avg("ret").alias("mean"), F.percentile("ret", F.lit(0.5)).alias("median"), F.avg((F.col("ret") > 0).cast("int")).alias("win"),
+        F.percentile("ret", F.lit(0.1)).alias("low_tenth"), F.min("ret").alias("lowest"), F.percentile("worst", F.lit(0.5)).alias("fall_median"),
+        F.percentile("worst", F.lit(0.1)).alias("fall_tenth"))
+
+
 def rally_bottoms(panel: DataFrame, lookback: int, ahead: int, rise: float, fall: float, key: str = "symbol", order: str = "idx") -> DataFrame:
     """Falls after a rally: whether the low of the day held over the next sessions, and the worst close."""
     high = F.max("adj_last").over(last_n(lookback, key, order))

@@ -119,7 +119,7 @@ def top_n(df: DataFrame, by: list[str], score: str, n: int, key: str = "symbol",
 
 def family_scores(z: DataFrame, families: DataFrame) -> DataFrame:
     """Mean of a family's factors per name; ``families`` is a small (factor, family) table."""
-    return z.join(F.broadcast(families), "factor").groupBy("idx", "symbol", "family").agg(F.avg("z").alias("score"))
+    return z.join(families, "factor").groupBy("idx", "symbol", "family").agg(F.avg("z").alias("score"))
 
 
 def composite(scores: DataFrame, n_families: int, min_families: int) -> DataFrame:

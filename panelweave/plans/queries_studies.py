@@ -125,6 +125,43 @@ def entry_rule_comparison(spark, sf):
     return rounded(out, "ret", "worst", "win")
 
 
+ENTRY_VALUES = {
+    "at_once": "c[k] / o[1]", "thirds": "1 - (1 + CAST(k > 20 AS INTEGER) + CAST(k > 40 AS INTEGER)) / 3.0::DOUBLE + (1 / o[1] + CASE WHEN k > 20 THEN 1 / o[21] ELSE 0 END + CASE WHEN k > 40 THEN 1 / o[41] ELSE 0 END) / 3 * c[k]"}
+ENTRY_VALUES |= {f"{n}_stop": v.replace("k", "least(k, hit)") for n, v in ENTRY_VALUES.items()}
+ENTRY_VALUES["above_mean"] = "CASE WHEN up IS NOT NULL AND k > up THEN c[k] / o[up + 1] ELSE 1 END"
+define("entry_paths", "panel surge_events", """
+WITH p AS (SELECT symbol, idx, list(coalesce(open * hfq, adj_last)) OVER f AS o, list(adj_last) OVER f AS c, min(adj_last) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS low, list(m) OVER f AS m
+ FROM (SELECT *, CASE WHEN count(adj_last) OVER w >= 60 THEN avg(adj_last) OVER w END AS m FROM panel WHERE adj_last IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS 59 PRECEDING)) WINDOW f AS (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 120 FOLLOWING)),
+e AS (SELECT p.*, coalesce(list_position(list_transform(c, lambda x: x < low), true), 120) AS hit, list_position(list_transform(range(1, 119), lambda i: coalesce(c[i] > m[i], false)), true) AS up
+ FROM p JOIN surge_events USING (symbol, idx) WHERE len(c) = 120),
+""" + ",\n".join(f"v_{n} AS (SELECT symbol, idx, '{n}' AS rule, list_transform(range(1, 121), lambda k: {v}) AS v FROM e)" for n, v in ENTRY_VALUES.items()) + """,
+u AS (""" + " UNION ALL ".join(f"SELECT * FROM v_{n}" for n in ENTRY_VALUES) + """),
+x AS (SELECT symbol, idx, rule, v[120] - 1 AS ret, unnest(v) AS y, generate_subscripts(v, 1) AS k FROM u),
+z AS (SELECT *, y / greatest(max(y) OVER (PARTITION BY symbol, idx, rule ORDER BY k), 1) - 1 AS d FROM x)
+SELECT symbol, idx, rule, any_value(ret) AS ret, least(min(d), 0) AS worst FROM z GROUP BY 1, 2, 3""")
+
+
+@views.kept
+def entry_paths(spark, sf):
+    panel = views.panel(spark, sf).filter("adj_last is not null").select(
+        "symbol", "idx", F.coalesce(F.col("open") * F.col("hfq"), F.col("adj_last")).alias("open"), F.col("adj_last").alias("close"))
+    return studies.entry_paths(panel, surge_events(spark, sf))
+
+
+@query("entry_paths", "V10", oracle("entry_paths", "SELECT symbol, idx, rule, round(ret, 6) + 0.0::DOUBLE AS ret, round(worst, 6) + 0.0::DOUBLE AS worst FROM entry_paths"))
+def entry_path_results(spark, sf):
+    """Return and deepest fall of five ways into every surge."""
+    return rounded(entry_paths(spark, sf), "ret", "worst")
+
+
+@query("entry_summary", "V10", oracle("entry_paths", """
+SELECT rule, count(*) AS events, round(avg(ret), 6) AS mean, round(quantile_cont(ret, 0.5), 6) AS median, round(avg(CAST(ret > 0 AS INTEGER)), 6) AS win, round(quantile_cont(ret, 0.1), 6) AS low_tenth,
+ round(min(ret), 6) AS lowest, round(quantile_cont(worst, 0.5), 6) AS fall_median, round(quantile_cont(worst, 0.1), 6) AS fall_tenth FROM entry_paths GROUP BY 1"""))
+def entry_summary(spark, sf):
+    out = studies.entry_summary(entry_paths(spark, sf))
+    return rounded(out, *[c for c in out.columns if c not in ("rule", "events")])
+
+
 @query("rally_bottoms", "V11", oracle("panel", """
 WITH w AS (SELECT symbol, idx, adj_last, max(adj_last) OVER a AS h, min(adj_last) OVER a AS l, min(adj_last) OVER (PARTITION BY symbol ORDER BY idx ROWS BETWEEN 1 FOLLOWING AND 60 FOLLOWING) AS f FROM panel WINDOW a AS (PARTITION BY symbol ORDER BY idx ROWS 59 PRECEDING))
 SELECT symbol, idx, f >= adj_last AS held, round(f / adj_last - 1, 6) AS worst FROM w WHERE h / l - 1 >= 0.5 AND adj_last <= h * (1 - 0.6::DOUBLE) AND f IS NOT NULL"""))
