@@ -97,8 +97,8 @@ class Counter:
             if c:
                 new_spaced.update(c[1])
                 new_bare.update(c[2])
-        self._learn(self.spaced, new_spaced - self.spaced.keys(), "", 0)
-        self._learn(self.bare, new_bare - self.bare.keys(), "\n", 2)
+        self._learn(self.spaced, {w for w in new_spaced if w not in self.spaced}, "", 0)
+        self._learn(self.bare, {w for w in new_bare if w not in self.bare}, "\n", 2)
         spaced, bare = self.spaced.__getitem__, self.bare.__getitem__
         return [c[0] + sum(map(spaced, c[1])) + sum(map(bare, c[2])) if c else 0 for c in cut]
 
