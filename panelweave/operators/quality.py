@@ -166,3 +166,33 @@ def signal_gate(counts: DataFrame, order: str, n: str, back: int = 6, tolerance:
     w = Window.orderBy(order).rowsBetween(-back, -1)  # one row per run
     typical = F.percentile(n, F.lit(0.5)).over(w)
     return counts.withColumn("typical", typical).withColumn("passes", F.abs(F.col(n) / F.col("typical") - 1) <= tolerance)
+
+
+#: Fixed values of the run gates: range of the weights' sum, tolerance of the number of holdings, of signal counts, rows of their median.
+WEIGHT_SUM, HOLDINGS_TOLERANCE, SIGNAL_TOLERANCE, SIGNAL_ROWS, SIGNAL_LEAST = (0.90, 1.0 + 1e-9), 0.10, 0.20, 6, 3
+
+
+def run_gates(runs: DataFrame, order: str = "session", by: list[str] | None = None) -> DataFrame:
+    """The five gates of every decision run and whether all are open.
+
+    ``runs``: session, ingest_status, expected_latest, ingest_version, market_version, universe, scored, mode, confirmed, unfilled,
+    weight_sum, names, wanted; one row a run.  G1: the ingest is complete and reaches the session.  G2: the market's data version is
+    the ingest's.  G3: signal counts are near the median of the runs before (open without enough of them).  G4: a manual account's
+    holdings were confirmed and no approved order waits.  G5: the target's weights and number of names are sound.
+    """
+    past = Window.partitionBy(*(by or [])).orderBy(order).rowsBetween(-SIGNAL_ROWS, -1)
+
+    def stable(x: str) -> Column:
+        usual = F.percentile(x, F.lit(0.5)).over(past)
+        return (F.count(F.lit(1)).over(past) < SIGNAL_LEAST) | (usual <= 0) | (F.abs(F.col(x) - usual) / usual <= SIGNAL_TOLERANCE)
+
+    near = (F.coalesce("wanted", F.lit(0)) == 0) | (F.abs(F.col("names") - F.col("wanted")) / F.col("wanted") <= HOLDINGS_TOLERANCE)
+    gates = {
+        "g1": (F.col("ingest_status") == "complete") & (F.col("expected_latest") == F.col(order)),
+        "g2": (F.col("market_version") != "") & (F.col("market_version") == F.col("ingest_version")),
+        "g3": stable("universe") & stable("scored"),
+        "g4": (F.col("mode") != "manual") | (F.col("confirmed").isNotNull() & (F.coalesce("unfilled", F.lit(0)) == 0)),
+        "g5": F.col("weight_sum").between(*WEIGHT_SUM) & near}
+    closed = {name: F.coalesce(gate, F.lit(False)) for name, gate in gates.items()}
+    out = runs.withColumns(closed)
+    return out.withColumn("failed", F.array_join(F.filter(F.array(*[F.when(~F.col(g), F.lit(g)) for g in gates]), lambda g: g.isNotNull()), ","))

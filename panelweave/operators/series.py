@@ -187,6 +187,34 @@ def with_atr(bars: DataFrame, window: int = 14, key: str = "symbol", order: str
     return ranged.withColumn("atr", F.greatest(F.avg("_tr").over(last_n(window, key, order)), F.lit(1e-9))).drop("_tr")
 
 
+def retests(staged: DataFrame, rebound: float = 0.05, key: str = "symbol", order: str = "idx", price: str = "adj_last") -> DataFrame:
+    """Sessions of a base that come back near its low after a rebound from it, without closing below.
+
+    Inside each run of the base stage the lowest close so far is a running minimum; the closes since then are the islands
+    between new lows, so the rebound is a running maximum inside an island.  Both are read as of the session before.
+    """
+    run = islands(staged.filter(F.col(price).isNotNull()), [key], order, "stage", "_run").filter(F.col("stage") == BASE)
+    w = Window.partitionBy(key, "_run").orderBy(order)
+    low_before = F.min(price).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = run.withColumns({"_low": F.min(price).over(w.rowsBetween(Window.unboundedPreceding, 0)), "_new": F.coalesce(F.col(price) < low_before, F.lit(True)),
+                            "_place": F.row_number().over(w)})
+    rows = rows.withColumn("_island", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    since = Window.partitionBy(key, "_run", "_island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_high", F.max(F.when(~F.col("_new"), F.col(price))).over(since))
+    low, high = F.lag("_low").over(w), F.lag("_high").over(w)
+    holds = (F.col("_place") >= 5) & (high >= low * (1 + rebound)) & (F.col(price) >= low) & (F.col(price) <= low * (1 + rebound / 2))
+    return rows.withColumns({"base_low": low, "_holds": F.coalesce(holds, F.lit(False))}).filter("_holds").select(key, order, price, "base_low")
+
+
+def stage_years(staged: DataFrame, gate: DataFrame, horizons: tuple[int, ...] = (20, 60, 120), key: str = "symbol", order: str = "idx", price: str = "adj_last") -> DataFrame:
+    """Per year, stage and state of the index (``gate``: order, year, open): sessions, share of the year's, forward excess over the average."""
+    w, day = series(key, order), Window.partitionBy(order)
+    rows = staged.withColumns({f"_f{h}": F.lead(price, h).over(w) / F.col(price) - 1 for h in horizons})
+    rows = rows.withColumns({f"_x{h}": F.col(f"_f{h}") - F.avg(f"_f{h}").over(day) for h in horizons}).join(gate, order)
+    sums = rows.groupBy("year", "open", "stage").agg(F.count("*").alias("sessions"), *[F.avg(f"_x{h}").alias(f"excess_{h}") for h in horizons])
+    return sums.withColumn("share", F.col("sessions") / F.sum("sessions").over(Window.partitionBy("year")))
+
+
 def swing_points(high: np.ndarray, low: np.ndarray, reach: np.ndarray) -> list[tuple[int, float, str, bool]]:
     """Alternating swing highs and lows (position, price, kind, confirmed).
 

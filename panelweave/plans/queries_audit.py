@@ -506,3 +506,36 @@ def signal_count_gate(spark, sf):
     from .queries_evaluation import composite_scores
     counts = composite_scores(spark, sf).groupBy("idx").agg(F.count("*").alias("n"))
     return quality.signal_gate(counts, "idx", "n")
+
+
+# Runs by month of orders: what stands in for the ingest, the account and the target of each run.
+define("decision_runs", "", """
+SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS session, CASE WHEN count(*) FILTER (o_orderstatus = 'P') > 4 THEN 'partial' ELSE 'complete' END AS ingest_status,
+ CAST(date_trunc('month', o_orderdate) AS DATE) + CASE WHEN count(*) % 5 = 0 THEN 1 ELSE 0 END AS expected_latest, 'v' || (count(*) % 3) AS ingest_version, CASE count(*) % 7 WHEN 0 THEN '' WHEN 1 THEN 'v9' ELSE 'v' || (count(*) % 3) END AS market_version,
+ count(DISTINCT o_custkey) AS universe, count(*) FILTER (o_totalprice > 250000) AS scored, CASE WHEN count(*) % 2 = 0 THEN 'manual' ELSE 'paper' END AS mode, max(CAST(o_orderdate AS DATE)) FILTER (o_orderpriority[1] = '1' AND o_totalprice > 450000) AS confirmed,
+ count(*) FILTER (o_orderstatus = 'P' AND o_orderpriority[1] = '5') AS unfilled, round(count(*) FILTER (o_orderstatus <> 'P') / count(*)::DOUBLE, 6) AS weight_sum, count(*) FILTER (o_orderstatus = 'F') AS names, count(*) FILTER (o_orderstatus = 'F' OR o_totalprice > 400000) AS wanted
+FROM orders GROUP BY date_trunc('month', o_orderdate)""")
+
+
+def decision_runs(spark, sf):
+    month, n = F.to_date(F.trunc("o_orderdate", "month")), F.col("n")
+    status, first, total = F.col("o_orderstatus"), F.substring("o_orderpriority", 1, 1), F.col("o_totalprice")
+    runs = read_table(spark, sf, "orders").groupBy(month.alias("session")).agg(
+        F.count("*").alias("n"), F.count_if(status == "P").alias("p"), F.countDistinct("o_custkey").alias("universe"), F.count_if(total > 250000).alias("scored"),
+        F.max(F.when((first == "1") & (total > 450000), F.to_date("o_orderdate"))).alias("confirmed"), F.count_if((status == "P") & (first == "5")).alias("unfilled"),
+        F.round(F.count_if(status != "P") / F.count("*"), 6).alias("weight_sum"), F.count_if(status == "F").alias("names"), F.count_if((status == "F") | (total > 400000)).alias("wanted"))
+    version = F.concat(F.lit("v"), (n % 3).cast("string"))
+    return runs.withColumns({
+        "ingest_status": F.when(F.col("p") > 4, "partial").otherwise("complete"), "expected_latest": F.date_add("session", F.when(n % 5 == 0, 1).otherwise(0)),
+        "ingest_version": version, "market_version": F.when(n % 7 == 0, "").when(n % 7 == 1, "v9").otherwise(version), "mode": F.when(n % 2 == 0, "manual").otherwise("paper")})
+
+
+@query("run_gates", "Q20", oracle("decision_runs", """
+WITH m AS (SELECT *, count(*) OVER w AS h, quantile_cont(universe, 0.5) OVER w AS mu, quantile_cont(scored, 0.5) OVER w AS ms FROM decision_runs WINDOW w AS (ORDER BY session ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+g AS (SELECT session, ingest_status = 'complete' AND expected_latest = session AS g1, market_version <> '' AND market_version = ingest_version AS g2,
+ h < 3 OR ((mu <= 0 OR abs(universe - mu) / mu <= 0.2::DOUBLE) AND (ms <= 0 OR abs(scored - ms) / ms <= 0.2::DOUBLE)) AS g3, mode <> 'manual' OR (confirmed IS NOT NULL AND unfilled = 0) AS g4,
+ weight_sum BETWEEN 0.9::DOUBLE AND 1.000000001::DOUBLE AND (wanted = 0 OR abs(names - wanted) / wanted::DOUBLE <= 0.1::DOUBLE) AS g5 FROM m)
+SELECT *, concat_ws(',', CASE WHEN NOT g1 THEN 'g1' END, CASE WHEN NOT g2 THEN 'g2' END, CASE WHEN NOT g3 THEN 'g3' END, CASE WHEN NOT g4 THEN 'g4' END, CASE WHEN NOT g5 THEN 'g5' END) AS failed FROM g"""))
+def run_gates(spark, sf):
+    """All five gates of every run."""
+    return quality.run_gates(decision_runs(spark, sf)).select("session", "g1", "g2", "g3", "g4", "g5", "failed")

@@ -73,6 +73,31 @@ def volume_surges(spark, sf):
     return p.select("symbol", "idx", series.volume_surge(p, 6, 10, 0.9, 1.2).alias("surge")).filter("surge")
 
 
+@query("base_retests", "G2", oracle("stage_walk", """
+WITH r AS (SELECT *, sum(c) OVER (PARTITION BY symbol ORDER BY idx) AS run FROM (SELECT *, CAST(stage IS DISTINCT FROM lag(stage) OVER (PARTITION BY symbol ORDER BY idx) AS INTEGER) AS c FROM stage_walk WHERE adj_last IS NOT NULL)),
+l AS (SELECT symbol, idx, adj_last, row_number() OVER w AS n, list(adj_last) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS x FROM r WHERE stage = 1 WINDOW w AS (PARTITION BY symbol, run ORDER BY idx)),
+k AS (SELECT *, list_min(x) AS low, x[list_position(x, list_min(x)) + 1:] AS later FROM l WHERE n >= 5)
+SELECT symbol, idx, adj_last, low AS base_low FROM k WHERE len(later) > 0 AND list_max(later) >= low * 1.05::DOUBLE AND adj_last >= low AND adj_last <= low * (1 + 0.05::DOUBLE / 2)"""))
+def base_retests(spark, sf):
+    return series.retests(staged(spark, sf))
+
+
+@query("stage_years", "G4", oracle("stage_walk calendar", """
+WITH b AS (SELECT p.idx, avg(p.adj_last) AS x FROM stage_walk p GROUP BY 1),
+g AS (SELECT b.idx, year(c.trade_date) AS year, coalesce(b.x > avg(b.x) OVER (ORDER BY b.idx ROWS 99 PRECEDING), false) AS open FROM b JOIN calendar c ON c.idx = b.idx),
+f AS (SELECT *, lead(adj_last, 20) OVER w / adj_last - 1 AS f1, lead(adj_last, 60) OVER w / adj_last - 1 AS f2, lead(adj_last, 120) OVER w / adj_last - 1 AS f3 FROM stage_walk WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
+x AS (SELECT f.symbol, f.idx, f.stage, f1 - avg(f1) OVER d AS x1, f2 - avg(f2) OVER d AS x2, f3 - avg(f3) OVER d AS x3 FROM f WINDOW d AS (PARTITION BY f.idx)),
+s AS (SELECT year, open, stage, count(*) AS sessions, avg(x1) AS a, avg(x2) AS b, avg(x3) AS c FROM x JOIN g USING (idx) GROUP BY ALL)
+SELECT CAST(year AS INTEGER) AS year, open, stage, sessions, round(a, 6) + 0.0::DOUBLE AS excess_20, round(b, 6) + 0.0::DOUBLE AS excess_60, round(c, 6) + 0.0::DOUBLE AS excess_120, round(sessions / sum(sessions) OVER (PARTITION BY year)::DOUBLE, 6) AS share FROM s"""))
+def stage_years(spark, sf):
+    """Stages by year, in and out of a rising market."""
+    rows = staged(spark, sf)
+    index = rows.groupBy("idx").agg(F.avg("adj_last").alias("x")).join(views.calendar(spark, sf), "idx")
+    rising = F.col("x") > F.avg("x").over(Window.orderBy("idx").rowsBetween(-99, 0))  # one row a session
+    gate = index.select("idx", F.year("trade_date").alias("year"), F.coalesce(rising, F.lit(False)).alias("open"))
+    return rounded(series.stage_years(rows, gate), "excess_20", "excess_60", "excess_120", "share")
+
+
 # -- structures -------------------------------------------------------------------------------
 
 define("structured", "panel", """
