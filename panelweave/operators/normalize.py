@@ -270,3 +270,39 @@ def last_final_session(events: DataFrame, time: str, close: str = "15:00") -> Co
     """Last day that has an event at or after the close, as a scalar; a later day is still open."""
     closed = events.filter(F.date_format(time, "HH:mm") >= close)
     return closed.agg(F.max(F.to_date(time))).scalar()
+
+
+# The two layouts of a market snapshot, as target column: (source column, factor to its unit).
+SNAPSHOT_LAYOUTS = (
+    {"symbol": ("代码", None), "name": ("名称", None), "last": ("最新价", 1), "volume_shares": ("成交量", 100), "turnover_cny": ("成交额", 1),
+     "pct_change": ("涨跌幅", 1), "change_cny": ("涨跌额", 1), "open": ("今开", 1), "high": ("最高", 1), "low": ("最低", 1), "previous_close": ("昨收", 1),
+     "turnover_rate_pct": ("换手率", 1), "market_cap_cny": ("总市值", 1), "float_market_cap_cny": ("流通市值", 1)},
+    {"symbol": ("code", None), "name": ("name", None), "last": ("zxj", 1), "volume_shares": ("volume", 100), "turnover_cny": ("turnover", 10_000),
+     "pct_change": ("zdf", 1), "change_cny": ("zd", 1), "turnover_rate_pct": ("hsl", 1), "market_cap_cny": ("zsz", 100_000_000),
+     "float_market_cap_cny": ("ltsz", 100_000_000)})
+SNAPSHOT_NEEDED = ("symbol", "name", "last", "volume_shares", "turnover_cny")
+
+
+def market_snapshot(raw: DataFrame, snapshot_date: Column, order: str | None = None) -> DataFrame:
+    """A snapshot of either layout in common columns and units; what a layout lacks is null, bad numbers are null.
+
+    The last row of a security by ``order`` stays (any one without an order).
+    """
+    layout = next((one for one in SNAPSHOT_LAYOUTS if all(one[c][0] in raw.columns for c in SNAPSHOT_NEEDED)), None)
+    if layout is None:
+        raise ValueError(f"no known snapshot layout has the columns {raw.columns}")
+
+    def cell(target: str) -> Column:
+        source, factor = layout.get(target, (None, 1))
+        number = F.col(source).try_cast("double") * factor if source in raw.columns else F.lit(None).cast("double")
+        return F.round(number).cast("long") if target == "volume_shares" else number
+
+    symbol = F.lpad(F.regexp_extract(F.col(layout["symbol"][0]).cast("string"), r"(.{1,6})$", 1), 6, "0")
+    rows = raw.select(symbol.alias("symbol"), F.regexp_replace(F.col(layout["name"][0]).cast("string"), r"(?U)^\s+|\s+$", "").alias("name"),
+                      *[cell(c).alias(c) for c in SNAPSHOT_LAYOUTS[0] if c not in ("symbol", "name")], *([F.col(order).alias("_order")] if order else []))
+    rows = rows.withColumns({"exchange": codes.exchange(F.col("symbol")), "snapshot_date": snapshot_date,
+                             "is_st": F.coalesce(codes.risk_status(F.col("name")).isin("ST", "*ST"), F.lit(False))})
+    if not order:
+        return rows.dropDuplicates(["symbol"])
+    kept = [c for c in rows.columns if c not in ("symbol", "_order")]
+    return rows.groupBy("symbol").agg(F.max_by(F.struct(*kept), "_order").alias("_r")).select("symbol", "_r.*")

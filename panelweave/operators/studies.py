@@ -198,6 +198,24 @@ def drawdown_context(panel: DataFrame, lookback: int = 250, key: str = "symbol",
                                    F.count_if(F.col("_dd") == 0).alias("new_highs"))
 
 
+def recent_creations(flows: DataFrame, calendar: DataFrame, recent: int = 5, order: str = "idx") -> DataFrame:
+    """Per session: creations less redemptions of the last ``recent`` sessions, their share of assets, and groups that had creations."""
+    daily = flows.groupBy("trade_date").agg(F.sum("flow").alias("flow"), F.sum("aum").alias("aum"), F.count_if(F.col("flow") > 0).alias("groups"))
+    rows = calendar.join(daily, "trade_date", "left")
+    w = Window.orderBy(order).rowsBetween(-(recent - 1), 0)  # one row a session
+    return rows.select(order, F.sum("flow").over(w).alias("recent_flow"), F.try_divide(F.sum("flow").over(w), F.last("aum", True).over(
+        Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).alias("recent_share"), F.coalesce(F.sum("groups").over(w), F.lit(0)).alias("group_days"))
+
+
+def cap_weighted(rows: DataFrame, by: list[str], cap: str, values: list[str], key: str = "symbol") -> DataFrame:
+    """Cap-weighted means of some measures, with the largest weight and the effective number of names."""
+    known = rows.filter(F.col(cap) > 0).withColumn(cap, F.col(cap).cast("double"))
+    total = F.sum(cap)
+    means = [(F.sum(F.when(F.col(v).isNotNull(), F.col(cap) * F.col(v))) / F.sum(F.when(F.col(v).isNotNull(), F.col(cap)))).alias(v) for v in values]
+    return known.groupBy(*by).agg(F.count("*").alias("names"), (F.max(cap) / total).alias("largest"),
+                                  (total * total / F.sum(F.col(cap) * F.col(cap))).alias("effective_names"), *means)
+
+
 #: Months a regime (or the whole past) must have before it decides, and the months of the trailing rule.
 STATE_MONTHS, TRAILING = 12, 12
 

@@ -145,6 +145,28 @@ def market_snapshot(spark, sf):
                        codes.risk_status(F.col("name")).isin("ST", "*ST").alias("is_st"))
 
 
+SNAPSHOT_COLUMNS = "symbol, name, last, volume_shares, turnover_cny, pct_change, market_cap_cny, exchange, is_st"
+
+
+@query("market_snapshots", "N15", oracle("listings", f"""
+WITH a AS (SELECT code AS symbol, trim(name) AS name, round(c_acctbal, 2) AS last, CAST(round(c_custkey * 100.0::DOUBLE) AS BIGINT) AS volume_shares, c_acctbal AS turnover_cny, NULL::DOUBLE AS pct_change, c_acctbal * 2 AS market_cap_cny, code, name AS n, c_custkey FROM listings WHERE c_custkey % 2 = 0),
+b AS (SELECT code AS symbol, trim(name) AS name, CASE WHEN c_custkey % 3 > 0 THEN round(c_acctbal, 2) END, CAST(round((c_custkey + 0.25::DOUBLE) * 100) AS BIGINT), c_acctbal * 10000, c_acctbal / 100, c_acctbal * 100000000, code, name, c_custkey FROM listings WHERE c_custkey % 2 = 1),
+u AS (SELECT *, 'a' AS layout FROM a UNION ALL SELECT *, 'b' FROM b),
+l AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY layout, symbol ORDER BY c_custkey DESC) = 1)
+SELECT layout, symbol, name, last, volume_shares, round(turnover_cny, 2) AS turnover_cny, round(pct_change, 6) AS pct_change, round(market_cap_cny, 0) AS market_cap_cny, {EXCHANGE.replace('code', 'symbol')} AS exchange, coalesce({RISK.format(n="upper(" + CLEAN.format(n="name") + ")")} IN ('ST', '*ST'), false) AS is_st FROM l"""))
+def market_snapshots(spark, sf):
+    """Snapshots of both layouts in the same columns and units."""
+    c = listings(spark, sf)
+    k, money = F.col("c_custkey"), F.col("c_acctbal")
+    first = c.filter(k % 2 == 0).select(F.col("code").alias("代码"), F.col("name").alias("名称"), F.round(money, 2).cast("string").alias("最新价"), k.alias("成交量"), money.alias("成交额"), (money * 2).alias("总市值"), "c_custkey")
+    second = c.filter(k % 2 == 1).select(F.concat(F.lit("sh"), "code").alias("code"), "name", F.when(k % 3 > 0, F.round(money, 2).cast("string")).otherwise("-").alias("zxj"), (k + 0.25).alias("volume"),
+                                         money.alias("turnover"), (money / 100).alias("zdf"), money.alias("zsz"), "c_custkey")
+    day = F.to_date(F.lit("2002-01-31"))
+    parts = [normalize.market_snapshot(t, day, "c_custkey").withColumn("layout", F.lit(name)) for name, t in (("a", first), ("b", second))]
+    out = parts[0].unionByName(parts[1]).withColumns({"turnover_cny": F.round("turnover_cny", 2), "pct_change": F.round("pct_change", 6), "market_cap_cny": F.round("market_cap_cny", 0)})
+    return out.select("layout", *SNAPSHOT_COLUMNS.split(", "))
+
+
 define("halts", "", """
 SELECT o_orderkey AS k, o_custkey AS symbol, CAST(o_orderdate AS DATE) AS start_date, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INTEGER) END AS end_date,
  ['停牌一天', '连续停牌', '停牌半天', '盘中停牌', 'x'][o_orderkey % 5 + 1] AS term, CASE WHEN o_orderkey % 7 = 0 THEN '临时停牌核查' ELSE o_orderpriority END AS reason, o_orderstatus AS source FROM orders""")

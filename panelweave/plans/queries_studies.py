@@ -326,3 +326,23 @@ def monthly_classifier(spark, sf):
     hit = (F.col("probability") > 0.5).cast("double") == F.col("label")
     return scored.filter("label is not null").groupBy("month").agg(
         F.count("*").alias("n"), r6(F.avg(hit.cast("int"))).alias("hits"), r6(F.avg("label")).alias("rose"), r6(F.avg("probability")).alias("probability"))
+
+
+@query("market_context_flows", "V20", oracle("group_flows calendar", """
+WITH d AS (SELECT trade_date, sum(flow) AS flow, sum(aum) AS aum, count(*) FILTER (flow > 0) AS groups FROM group_flows GROUP BY 1),
+c AS (SELECT idx, flow, aum, groups FROM calendar LEFT JOIN d USING (trade_date))
+SELECT idx, round(sum(flow) OVER w, 2) + 0.0::DOUBLE AS recent_flow, round(sum(flow) OVER w / last_value(aum IGNORE NULLS) OVER (ORDER BY idx ROWS UNBOUNDED PRECEDING), 8) + 0.0::DOUBLE AS recent_share, CAST(coalesce(sum(groups) OVER w, 0) AS BIGINT) AS group_days
+FROM c WINDOW w AS (ORDER BY idx ROWS 4 PRECEDING)"""))
+def market_context_flows(spark, sf):
+    """The day's context: recent creations of funds."""
+    out = studies.recent_creations(group_flows(spark, sf), views.calendar(spark, sf))
+    return out.withColumns({"recent_flow": F.round("recent_flow", 2), "recent_share": F.round("recent_share", 8)})
+
+
+@query("constituent_volatility", "V16", oracle("inputs classes", """
+WITH v AS (SELECT symbol, idx, float_mcap::DOUBLE AS cap, CASE WHEN idx >= 60 AND count(ret) OVER w >= 20 THEN stddev_samp(ret) OVER w END AS vol, ret FROM inputs WINDOW w AS (PARTITION BY symbol ORDER BY idx ROWS 59 PRECEDING))
+SELECT industry, idx, count(*) AS names, round(max(cap) / sum(cap), 6) AS largest, round(sum(cap) * sum(cap) / sum(cap * cap), 6) AS effective_names, round(sum(cap * vol) / sum(cap) FILTER (vol IS NOT NULL), 6) AS vol FROM v JOIN classes USING (symbol) WHERE cap > 0 GROUP BY 1, 2"""))
+def constituent_volatility(spark, sf):
+    """Cap-weighted volatility and concentration of every industry and session."""
+    rows = inputs(spark, sf).withColumn("vol", windows.std_n(F.col("ret"), 60, 20)).select("symbol", "idx", F.col("float_mcap").alias("cap"), "vol").join(classes(spark, sf), "symbol")
+    return rounded(studies.cap_weighted(rows, ["industry", "idx"], "cap", ["vol"]), "largest", "effective_names", "vol")
