@@ -13,7 +13,8 @@ def define(name: str, needs: str, body: str) -> None:
     CTES[name] = (needs, body)
 
 
-def oracle(needs: str, body: str) -> str:
+def oracle(needs: str, body: str, once: bool = False) -> str:
+    """``body`` behind its definitions; with ``once`` each of them is worked out one time, however often it is read."""
     order: list[str] = []
 
     def visit(name: str) -> None:
@@ -27,7 +28,8 @@ def oracle(needs: str, body: str) -> str:
         visit(name)
     if not order:
         return body
-    parts = ",\n".join(f"{name} AS ({CTES[name][1].strip()})" for name in order)
+    kept = "MATERIALIZED " if once else ""
+    parts = ",\n".join(f"{name} AS {kept}({CTES[name][1].strip()})" for name in order)
     body = body.strip()
     if body[:5].upper() == "WITH ":
         return f"WITH {parts},\n{body[5:]}"

@@ -48,7 +48,7 @@ r AS (SELECT o.*, p.price, CAST(floor(o.weight * 3e8 * (1 - 0.02) / p.price) AS
 q AS (SELECT *, CASE WHEN gap < 100 THEN 0 ELSE gap // 100 * 100 END AS buy, CASE WHEN -gap <= 0 THEN 0 WHEN least(-gap, held) = held THEN held WHEN held < 100 THEN 0 WHEN least(-gap, held) < 100 THEN 0 ELSE least(-gap, held) // 100 * 100 END AS sell FROM r),
 s AS (SELECT *, CASE WHEN weight <= 0 AND held > 0 THEN 'exit' WHEN weight <= 0 THEN 'none' WHEN price IS NULL THEN 'no_price' WHEN held > 0 AND abs(held * price - value) <= 0.1 * value THEN 'within_band'
   WHEN gap > 0 THEN CASE WHEN buy > 0 THEN 'buy' WHEN held = 0 THEN 'lot_too_large' ELSE 'none' END WHEN gap < 0 AND sell > 0 THEN 'sell' ELSE 'none' END AS state FROM q)
-SELECT row, symbol, state, CASE state WHEN 'exit' THEN held WHEN 'buy' THEN buy WHEN 'sell' THEN sell END AS quantity FROM s WHERE state <> 'none'"""))
+SELECT row, symbol, state, CASE state WHEN 'exit' THEN held WHEN 'buy' THEN buy WHEN 'sell' THEN sell END AS quantity FROM s WHERE state <> 'none'""", once=True))
 def order_sizing(spark, sf):
     from .queries_portfolio import target_log
     log = target_log(spark, sf)
