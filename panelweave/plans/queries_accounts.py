@@ -15,7 +15,27 @@ from .queries_portfolio import members, ruled, schedule
 from .registry import query
 
 
-@query("constrained_selection", "P9")
+# Name after name, as the rule reads: held ones first, then industries that are short, then the rest.
+define("selection", "composite members targets schedule panel classes", f"""
+WITH RECURSIVE c AS MATERIALIZED (
+ SELECT s.idx, s.symbol, s.score, k.industry, h.symbol IS NOT NULL AS held, coalesce(p.close_last, 0) < 400000 AS able, row_number() OVER (PARTITION BY s.idx ORDER BY s.score DESC, s.symbol) AS place
+ FROM composite s JOIN members m ON m.idx = s.idx AND m.symbol = s.symbol AND m.in_universe JOIN classes k ON k.symbol = s.symbol JOIN panel p ON p.idx = s.idx AND p.symbol = s.symbol
+ LEFT JOIN (SELECT x.nxt AS idx, t.symbol FROM targets t JOIN (SELECT idx, lead(idx) OVER (ORDER BY idx) AS nxt FROM schedule) x ON x.idx = t.idx) h ON h.idx = s.idx AND h.symbol = s.symbol),
+k AS (SELECT idx, industry, count(*) / sum(count(*)) OVER (PARTITION BY idx)::DOUBLE AS share FROM c GROUP BY 1, 2),
+d AS (SELECT idx, w, sum(greatest(0, ceil((share - w) * 6 - 1e-9))) AS total FROM k, (SELECT unnest({accounts._widths(0.05)}) AS w) GROUP BY 1, 2),
+b AS (SELECT idx, min(w) AS w FROM d WHERE total <= 6 OR w >= 1 GROUP BY 1),
+i AS (SELECT idx, industry, greatest(0, ceil((share - w) * 6 - 1e-9)) AS least, greatest(greatest(0, ceil((share - w) * 6 - 1e-9)), floor((share + w) * 6 + 1e-9)) AS most FROM k JOIN b USING (idx)),
+r AS (SELECT *, 1 AS round FROM c WHERE able AND held AND place <= 9 UNION ALL SELECT *, 2 FROM c WHERE able UNION ALL SELECT *, 3 FROM c WHERE able),
+a AS MATERIALIZED (SELECT r.idx, r.symbol, r.industry, r.round, i.least, i.most, row_number() OVER (PARTITION BY r.idx ORDER BY r.round, CASE r.round WHEN 2 THEN r.industry ELSE '' END, r.place) AS n FROM r JOIN i USING (idx, industry)),
+f AS (SELECT DISTINCT idx, 0::BIGINT AS n, []::VARCHAR[] AS chosen, []::VARCHAR[] AS from_industry FROM a
+ UNION ALL SELECT idx, n, CASE WHEN take THEN list_append(chosen, symbol) ELSE chosen END, CASE WHEN take THEN list_append(from_industry, industry) ELSE from_industry END
+ FROM (SELECT *, NOT list_contains(chosen, symbol) AND taken < most AND CASE round WHEN 1 THEN true WHEN 2 THEN taken < least AND len(chosen) < 6 ELSE len(chosen) < 6 END AS take
+  FROM (SELECT a.*, f.chosen, f.from_industry, len(list_filter(f.from_industry, lambda x: x = a.industry)) AS taken FROM f JOIN a ON a.idx = f.idx AND a.n = f.n + 1))),
+l AS (SELECT idx, unnest(chosen) AS symbol FROM f QUALIFY n = max(n) OVER (PARTITION BY idx))
+SELECT c.idx, c.symbol, round(c.score, 6) + 0.0::DOUBLE AS score, c.industry, c.place FROM l JOIN c USING (idx, symbol)""")
+
+
+@query("constrained_selection", "P9", oracle("selection", "SELECT * FROM selection", once=True))
 def constrained_selection(spark, sf):
     scores = composite_scores(spark, sf).join(members(spark, sf), ["idx", "symbol"])
     held = targets(spark, sf).join(schedule(spark, sf).select("idx", F.lead("idx").over(Window.orderBy("idx")).alias("next")), "idx").select(
