@@ -121,8 +121,7 @@ def expanding_quantiles(rows: DataFrame, key: str, order: str, x: str, quantiles
         met = met.withColumn("_passed", F.size(passed)).withColumn("_under", F.when(F.col("_passed") > 0, F.col("_upto")[F.col("_passed") - 1]).otherwise(0))
         asked = met.select(key, order, *own, "_which", "_at", "_end", (F.col("_k") - F.col("_under")).alias("_k"),
                            (F.col("_prefix") * BASE + F.col("_passed")).alias("_prefix"))
-    found = asked.join(values, (asked[key] == values[key]) & (asked["_prefix"] == values["_code"])).select(
-        asked[key], order, "_which", "_at", "_end", "_value")
+    found = asked.join(values.withColumnRenamed("_code", "_prefix"), [key, "_prefix"]).select(key, order, "_which", "_at", "_end", "_value")
     low, high = F.max(F.when(F.col("_end") == 0, F.col("_value"))), F.max(F.when(F.col("_end") == 1, F.col("_value")))
     share = F.max(F.col("_at") - F.floor("_at"))
     one = found.groupBy(key, order, "_which").agg((low + F.coalesce(high - low, F.lit(0.0)) * share).alias("_q"))
