@@ -53,6 +53,15 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], left_on: str, ri
                         *[F.col(f"_found.{c}").alias(c) for c in kept])
 
 
+# Fixed value: rows that are sent to every task of a join.
+FEW = 50_000
+
+
+def sent_if_few(df: DataFrame) -> DataFrame:
+    """``df``, counted first, sent whole to every task of a join if it is small: the other side, often with few keys, stays where it is."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
+
+
 def running_sum(df: DataFrame, by: list[str], order: list[str], sums: dict[str, str], bucket: str,
                 bucket_of: str) -> DataFrame:
     """Running totals per key, split by time bucket so that a hot key spreads over tasks.

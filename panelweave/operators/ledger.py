@@ -26,28 +26,30 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .series import ordered_fold
+from ..sources.io import written
+from .series import ordered_scan
 
 KINDS = ("deposit", "adjust", "buy", "sell", "correct", "cash", "delist")
 ORDER = ["day", "seq", "event_id", "symbol", "shares", "amount"]
 COLUMNS = ["account", "event_id", "day", "seq", "kind", "symbol", "shares", "amount", "fees", "step_milli", "expected"]
 SCHEMA = ("account long, event_id string, day date, kind string, symbol string, verdict string, cash long, quantity long, "
           "sellable long, cost long")
+TAKEN = ["again", "day", "kind", "symbol", "shares", "amount", "fees", "step_milli", "expected"]
+FOUND = ["verdict", "cash", "quantity", "sellable", "cost"]
 
 
-def verdict(row: dict, cash: int, quantity: int, sellable: int) -> str:
-    kind, shares, amount = row["kind"], row["shares"], row["amount"]
-    if row["again"]:
+def verdict(again: bool, kind: str, shares: int, amount: int, fees: int, step_milli: int, expected: int, cash: int, quantity: int, sellable: int) -> str:
+    if again:
         return "duplicate"
     if kind in ("adjust", "delist", "correct"):
         held = quantity > 0 or kind == "correct"
-        if not held or (row["expected"] >= 0 and row["expected"] != quantity):
+        if not held or (expected >= 0 and expected != quantity):
             return "mismatch"
-        return "invalid" if amount < 0 or shares < 0 or row["step_milli"] < 0 else "ok"
-    if kind in ("buy", "sell") and (shares <= 0 or amount <= 0 or row["fees"] < 0):
+        return "invalid" if amount < 0 or shares < 0 or step_milli < 0 else "ok"
+    if kind in ("buy", "sell") and (shares <= 0 or amount <= 0 or fees < 0):
         return "invalid"
     if kind == "buy":
-        return "ok" if cash >= amount + row["fees"] else "no_cash"
+        return "ok" if cash >= amount + fees else "no_cash"
     if kind == "sell":
         return "ok" if shares <= sellable else "not_sellable"
     if kind == "deposit":
@@ -55,9 +57,8 @@ def verdict(row: dict, cash: int, quantity: int, sellable: int) -> str:
     return "ok" if cash + amount >= 0 else "no_cash"
 
 
-def apply(row: dict, cash: int, quantity: int, sellable: int, cost: int) -> tuple[int, int, int, int]:
+def apply(kind: str, shares: int, amount: int, fees: int, step_milli: int, cash: int, quantity: int, sellable: int, cost: int) -> tuple[int, int, int, int]:
     """(cash, quantity, sellable, cost) after an event that passed."""
-    kind, shares, amount, fees = row["kind"], row["shares"], row["amount"], row["fees"]
     if kind in ("deposit", "cash"):
         return cash + amount, quantity, sellable, cost
     if kind == "buy":
@@ -66,41 +67,62 @@ def apply(row: dict, cash: int, quantity: int, sellable: int, cost: int) -> tupl
         left = quantity - shares
         return cash + amount - fees, left, sellable - shares, cost * left // quantity
     if kind == "adjust":
-        new, rest = divmod(quantity * row["step_milli"], 1000)
-        free = new if sellable == quantity else min(new, sellable * row["step_milli"] // 1000)
+        new, rest = divmod(quantity * step_milli, 1000)
+        free = new if sellable == quantity else min(new, sellable * step_milli // 1000)
         return cash + rest * amount // 1000, new, free, cost if new else 0
     if kind == "delist":
         return cash + quantity * amount, 0, 0, 0
     return cash, shares, shares, amount if shares else 0
 
 
-def step(state: dict, row: dict) -> tuple[dict, dict]:
-    """One event of an account.  The state: cash, and (quantity, sellable, cost, day) per symbol."""
-    cash, held, symbol, day = state.get("cash", 0), state.get("held", {}), row["symbol"], str(row["day"])
+def start() -> dict:
+    """An account before its first event: its cash, and (quantity, sellable, cost, day) per symbol."""
+    return {"cash": 0, "held": {}}
+
+
+def advance(state: dict, again: bool, day: object, kind: str, symbol: str, shares: int, amount: int, fees: int, step_milli: int,
+            expected: int) -> tuple[str, int, int, int, int]:
+    """One event of an account, whose state is changed in place: (verdict, cash, quantity, sellable, cost)."""
+    cash, held = state["cash"], state["held"]
     quantity, sellable, cost, last = held.get(symbol, (0, 0, 0, None))
     if last != day:  # what was held overnight can be sold
         sellable = quantity
-    found = verdict(row, cash, quantity, sellable)
+    found = verdict(again, kind, shares, amount, fees, step_milli, expected, cash, quantity, sellable)
     if found == "ok":
-        cash, quantity, sellable, cost = apply(row, cash, quantity, sellable, cost)
+        cash, quantity, sellable, cost = apply(kind, shares, amount, fees, step_milli, cash, quantity, sellable, cost)
+        state["cash"] = cash
         if symbol:
-            held = {k: v for k, v in held.items() if k != symbol} | ({symbol: (quantity, sellable, cost, day)} if quantity else {})
-    shown = {k: row[k] for k in ("account", "event_id", "day", "kind", "symbol")}
-    return {"cash": cash, "held": held}, shown | {"verdict": found, "cash": cash, "quantity": quantity, "sellable": sellable, "cost": cost}
+            if quantity:
+                held[symbol] = (quantity, sellable, cost, day)
+            else:
+                held.pop(symbol, None)
+    return found, cash, quantity, sellable, cost
+
+
+def step(state: dict, row: dict) -> tuple[dict, dict]:
+    """:func:`advance` for folds that keep an earlier state."""
+    new = {"cash": state.get("cash", 0), "held": dict(state.get("held", {}))}
+    found = advance(new, row["again"], str(row["day"]), *[row[c] for c in TAKEN[2:]])
+    return new, {k: row[k] for k in ("account", "event_id", "day", "kind", "symbol")} | dict(zip(FOUND, found, strict=True))
 
 
 def fold(events: DataFrame) -> DataFrame:
     """Verdict of every event and the account's cash and position after it (``SCHEMA``)."""
     first = Window.partitionBy("account", "event_id").orderBy(*[c for c in ORDER if c != "event_id"])
-    marked = events.select(*COLUMNS).withColumn("again", F.row_number().over(first) > 1)
-    return ordered_fold(marked, ["account"], ORDER, SCHEMA, step, [*COLUMNS, "again"])
-
-
-def closing(folded: DataFrame, events: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(account, cash) and (account, symbol, quantity, cost) after the last event of each."""
-    order = F.struct("day", F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind")), "event_id", "symbol")
-    # duplicates and refusals repeat the state, so that among equal places any row will do but for the cash of a passed event
-    after = folded.filter("verdict = 'ok'")
-    cash = after.groupBy("account").agg(F.max_by("cash", order).alias("cash"))
-    held = after.filter("symbol <> ''").groupBy("account", "symbol").agg(F.max_by(F.struct("quantity", "cost"), order).alias("_r"))
-    return cash, held.select("account", "symbol", "_r.*").filter("quantity > 0")
+    # dealt by account once, for the copies and for the fold
+    marked = events.select(*COLUMNS).repartition("account").withColumn("again", F.row_number().over(first) > 1)
+    return ordered_scan(marked, ["account"], ORDER, SCHEMA, start, advance, TAKEN, FOUND)
+
+
+def numbered(folded: DataFrame) -> DataFrame:
+    """What :func:`fold` returned with ``n``, which grows along an account: it is one task's, in order."""
+    return folded.withColumn("n", F.monotonically_increasing_id())
+
+
+def closing(folded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(account, cash) and (account, symbol, quantity, cost) after the last event of each, of :func:`numbered` rows."""
+    # duplicates and refusals repeat the state; a number as the order keeps the aggregation in a hash table
+    last = [F.max_by(c, "n").alias(c) for c in ("cash", "quantity", "cost")]
+    after = written(folded.filter("verdict = 'ok'").groupBy("account", "symbol").agg(*last, F.max("n").alias("n")), "closing")
+    cash = after.groupBy("account").agg(F.max_by("cash", "n").alias("cash"))
+    return cash, after.filter("symbol <> '' AND quantity > 0").select("account", "symbol", "quantity", "cost")

@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from ..functions import trading_rules as rules
 from ..operators import accounts, asof, market, perf, windows
-from ..sources.io import read_table
+from ..sources.io import read_table, written
 from . import queries_datasets, queries_factors, queries_structure, views  # noqa: F401  (their SQL views are used below)
 from .common import classes, r6
 from .ctes import define, oracle
@@ -131,8 +131,9 @@ c AS (SELECT account, sum(cash_change) + {OPENING} AS cash FROM folded GROUP BY
 n AS (SELECT account, CAST(any_value(cash) + coalesce(sum(value), 0) AS BIGINT) AS nav FROM c LEFT JOIN h USING (account) GROUP BY 1)
 SELECT account, symbol, quantity, price, value, nav, round(value / nav::DOUBLE, 6) AS weight FROM h JOIN n USING (account)"""))
 def marked_accounts(spark, sf):
-    both = folded(spark, sf).groupBy("account", "symbol").agg(
-        F.max_by("quantity", F.struct("day", "event_id")).alias("quantity"), F.sum("cash_change").alias("spent"))
+    # in a task the rows of a key are in order, so that a number of the row tells the last one; written, as it is read for cash, value and weight
+    both = written(folded(spark, sf).withColumn("n", F.monotonically_increasing_id()).groupBy("account", "symbol").agg(
+        F.max_by("quantity", "n").alias("quantity"), F.sum("cash_change").alias("spent")), "marked")
     cash = both.groupBy("account").agg((F.sum("spent") + OPENING).alias("cash"))
     prices = market.latest_per_key(views.bars(spark, sf), ["symbol"], ["trade_date"], ["close"]).withColumnRenamed("close", "price")
     return rounded(accounts.mark(both.drop("spent"), prices, cash, ["account"]), "weight")

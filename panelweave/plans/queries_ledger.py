@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..operators import accounts, ledger, market
+from ..operators import accounts, asof, ledger, market
 from ..sources.io import read_table
 from ..streaming import jobs, state
 from . import views
@@ -104,13 +104,11 @@ def _placed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("seq", seq).select(*ledger.COLUMNS)
 
 
-@views.kept
 def ledger_events(spark, sf):
     orders = read_table(spark, sf, "orders")
     return events_from(read_table(spark, sf, "lineitem"), orders, read_table(spark, sf, "part")).unionByName(order_events(orders))
 
 
-@views.kept
 def folded(spark, sf):
     return ledger.fold(ledger_events(spark, sf))
 
@@ -136,9 +134,9 @@ p AS (SELECT symbol, arg_max(close, trade_date) AS price FROM bars GROUP BY 1),
 v AS (SELECT account, CAST(sum(quantity * price) AS BIGINT) AS value, CAST(sum(cost) AS BIGINT) AS cost, count(*) AS names FROM h JOIN p USING (symbol) WHERE quantity > 0 GROUP BY 1)
 SELECT account, cash, coalesce(value, 0) AS value, coalesce(cost, 0) AS cost, coalesce(names, 0) AS names, cash + coalesce(value, 0) AS nav FROM c LEFT JOIN v USING (account)"""))
 def ledger_nav(spark, sf):
-    cash, held = ledger.closing(folded(spark, sf))
+    cash, held = ledger.closing(ledger.numbered(folded(spark, sf)))
     prices = market.latest_per_key(views.bars(spark, sf), ["symbol"], ["trade_date"], ["close"]).withColumnRenamed("close", "price")
-    value = held.join(prices, "symbol").groupBy("account").agg(
+    value = held.join(asof.sent_if_few(prices), "symbol").groupBy("account").agg(
         F.sum(F.col("quantity") * F.col("price")).alias("value"), F.sum("cost").alias("cost"), F.count("*").alias("names"))
     rows = cash.join(value, "account", "left").fillna(0, ["value", "cost", "names"])
     return rows.withColumn("nav", F.col("cash") + F.col("value"))
@@ -151,9 +149,8 @@ x AS (SELECT o.account, p.symbol, p.ex_date, p.cash_per_10 FROM (SELECT DISTINCT
 SELECT x.account, x.symbol, x.ex_date, x.cash_per_10, h.quantity, CAST(floor(h.quantity * x.cash_per_10 / 10 + 0.5::DOUBLE) AS BIGINT) AS cash
 FROM x ASOF JOIN h ON h.account = x.account AND h.symbol = x.symbol AND h.day < x.ex_date WHERE h.quantity > 0"""))
 def ledger_pending_actions(spark, sf):
-    order = F.struct(F.array_position(F.array(*[F.lit(k) for k in ledger.KINDS]), F.col("kind")), "event_id")
-    held = folded(spark, sf).filter("symbol <> '' AND verdict = 'ok'").groupBy("account", "symbol", "day").agg(
-        F.max_by("quantity", order).alias("quantity"), F.lit("").alias("event_id"))
+    held = ledger.numbered(folded(spark, sf)).filter("symbol <> '' AND verdict = 'ok'").select(
+        "account", "symbol", "day", "quantity", F.col("n").alias("event_id"))
     plans = views.dividends(views.bars(spark, sf)).filter("cash_per_10 > 0").select("symbol", "ex_date", "cash_per_10")
     return accounts.pending_actions(plans, held)
 
@@ -162,7 +159,7 @@ def ledger_pending_actions(spark, sf):
 def ledger_stream(spark, sf, files=None):
     """The ledger over event files in any order, each read once; open days are kept in state until the watermark closes them."""
     events = ledger_events(spark, sf)
-    days = events.agg(F.datediff(F.max("day"), F.min("day"))).first()[0] or 0
-    folder = jobs.event_files(events, "ledger-events", files or 1)
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    folder = jobs.event_files(events, "ledger-events", files)
+    days = spark.read.schema(events.schema).parquet(folder).agg(F.datediff(F.max("day"), F.min("day"))).first()[0] or 0
+    stream = jobs.files_read(spark, folder, events.schema, files)
     return state.fold_stream(stream, ["account"], ledger.ORDER, ledger.COLUMNS, ledger.SCHEMA, ledger.step, days + 1, "ledger", "event_id")

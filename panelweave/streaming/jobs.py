@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from ..sources.io import shared_folder
 from . import monitors
@@ -33,13 +34,19 @@ def span(rows: DataFrame, ts: str) -> str:
     return f"{days + 1} days"
 
 
-def event_files(rows: DataFrame, name: str, files: int) -> str:
-    """A folder with ``rows`` dealt over ``files`` files in no order of time, as a feed may leave them."""
+def event_files(rows: DataFrame, name: str, files: int | None) -> str:
+    """A folder with ``rows`` dealt over ``files`` files in no order of time, as a feed may leave them; as they are made, without a number."""
     folder = shared_folder(rows.sparkSession, name)
-    rows.repartition(files).write.parquet(folder)
+    (rows.repartition(files) if files else rows).write.parquet(folder)
     return folder
 
 
+def files_read(spark: SparkSession, folder: str, schema: StructType, files: int | None) -> DataFrame:
+    """What :func:`event_files` wrote as a stream: a file at a time, or all that there is at once."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxFilesPerTrigger", 1) if files else reader).parquet(folder)
+
+
 def run_available(stream: DataFrame, mode: str, name: str) -> DataFrame:
     """Process everything that is there and return the written rows with their batch id."""
     return _run(stream, mode, name, lambda batch, batch_id, folder: batch)
@@ -52,6 +59,10 @@ def run_touched(stream: DataFrame, keys: list[str], name: str, operator: Callabl
     out again from the log, and the newest result of a key is returned.
     """
     def work(batch: DataFrame, batch_id: int, folder: str) -> DataFrame:
+        if batch_id == 0:  # every row so far is of a touched key, and no older result stands; null keys are equal to none
+            batch.write.mode("overwrite").parquet(f"{folder}/log/batch_id=0")
+            first = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/log/batch_id=0")
+            return operator(first.dropna(subset=keys)).withColumn("_found", F.lit(True))
         batch.write.mode("overwrite").parquet(f"{folder}/log/batch_id={batch_id}")
         log = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/log")
         touched = batch.sparkSession.read.schema(batch.schema).parquet(f"{folder}/log/batch_id={batch_id}").select(*keys).distinct()
@@ -59,6 +70,8 @@ def run_touched(stream: DataFrame, keys: list[str], name: str, operator: Callabl
         return touched.join(operator(log.join(touched, keys, "left_semi")).withColumn("_found", F.lit(True)), keys, "left")
 
     written = _run(stream, "append", name, work)
+    if written.filter("batch_id > 0").isEmpty():
+        return written.filter("_found").drop("batch_id", "_found")
     last = written.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
     return written.filter("_found").join(last, [*keys, "batch_id"], "left_semi").drop("batch_id", "_found")
 

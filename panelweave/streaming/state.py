@@ -10,13 +10,13 @@ bounded by the delay.  Ids of closed events are kept as long as a late copy may
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import NumericType, StringType, StructField, StructType
 
 from . import jobs
 
@@ -32,48 +32,62 @@ def _millis(day: str) -> int:
 class OrderedFold(StatefulProcessor):
     """``step(state, row)`` over the rows of a key in the order of ``order`` (its first column is the day)."""
 
-    def __init__(self, step: Step, columns: list[str], order: list[str], shown: list[str], keep_days: int, unique: str | None) -> None:
+    def __init__(self, step: Step, columns: list[str], order: list[str], shown: list[str], keep_days: int, unique: str | None,
+                 numbers: set[str], whole: set[str]) -> None:
         self.step, self.columns, self.order, self.shown, self.keep_days, self.unique = step, columns, order, shown, keep_days, unique
+        self.numbers, self.whole = numbers, whole  # number columns that come, whole-number columns that are shown
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.body = handle.getValueState("body", StructType([StructField("json", StringType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [dict(zip(self.columns, values, strict=True)) for pdf in rows for values in pdf[self.columns].astype(object).itertuples(index=False)]
-        for row in new:
-            row[self.order[0]] = str(row[self.order[0]])[:10]
-        yield self._advance([{k: v.item() if hasattr(v, "item") else v for k, v in row.items()} for row in new], timerValues)
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        day, new = self.order[0], []
+        for row in rows:
+            one = {c: math.nan if row[c] is None and c in self.numbers else row[c] for c in self.columns}
+            new.append(one | {day: str(one[day])[:10]})
+        yield from self._advance(new, timerValues)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance([], timerValues)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        yield from self._advance([], timerValues)
 
-    def _advance(self, new: list[dict], timers) -> pd.DataFrame:
-        body = json.loads(self.body.get()[0]) if self.body.exists() else {"state": {}, "open": [], "seen": {}, "version": 0}
+    def _advance(self, new: list[dict], timers) -> list[Row]:
+        kept = self.body.get()
+        body = json.loads(kept[0]) if kept else {"state": {}, "open": [], "seen": {}, "version": 0, "due": None}
         watermark, day = timers.getCurrentWatermarkInMs(), self.order[0]
-        rows = sorted(body["open"] + new, key=lambda r: [r[c] for c in self.order])
-        if not new and not any(_millis(r[day]) <= watermark for r in rows):  # another timer of the batch has closed them
-            return pd.DataFrame(columns=[*self.shown, "closed", "version"])
-        version = body["version"] + 1
-        state, seen, out, open_ = body["state"], body["seen"], [], []
-        closed_state, closed_seen = state, dict(seen)
-        for row in rows:
-            closed = _millis(row[day]) <= watermark
+        rows = [dict(zip(self.columns, values, strict=True)) for values in body["open"]] + new
+        rows.sort(key=lambda r: [r[c] for c in self.order])
+        ends = {d: _millis(d) for d in {r[day] for r in rows}}
+        closing = sum(ends[r[day]] <= watermark for r in rows)  # the first ones, as rows are in order of their days
+        if not new and not closing:  # another timer of the batch has closed them
+            return []
+        version, state, seen, out = body["version"] + 1, body["state"], body["seen"], []
+        closed_state, closed_seen = state, seen if closing == len(rows) else dict(seen)
+        for i, row in enumerate(rows):
             again = self.unique is not None and row[self.unique] in seen
             state, shown = self.step(state, row | {"again": again})
             if self.unique is not None:
                 seen.setdefault(row[self.unique], row[day])
-            if closed:
-                closed_state, closed_seen = state, dict(seen)
-            else:
-                open_.append(row)
-            out.append([date.fromisoformat(shown[c]) if c == day else shown[c] for c in self.shown] + [closed, version])
+            if i + 1 == closing:
+                closed_state, closed_seen = state, seen if closing == len(rows) else dict(seen)
+            out.append(Row(**{c: self._shown(c, shown[c]) for c in self.shown}, closed=i < closing, version=version))
         oldest = (datetime.fromtimestamp(max(watermark, 0) / 1000, timezone.utc) - timedelta(days=self.keep_days + 1)).date().isoformat()
-        body = {"state": closed_state, "open": open_, "seen": {k: d for k, d in closed_seen.items() if d >= oldest}, "version": version}
-        self.body.update((json.dumps(body),))
-        for due in {_millis(r[day]) for r in open_}:
+        open_ = rows[closing:]
+        # One timer a key, for its first open day: it closes what is due and sets the next.
+        due = ends[open_[0][day]] if open_ else None
+        self.body.update((json.dumps({"state": closed_state, "open": [[r[c] for c in self.columns] for r in open_],
+                                      "seen": {k: d for k, d in closed_seen.items() if d >= oldest}, "version": version, "due": due}),))
+        if due is not None and due != body["due"]:
             self.handle.registerTimer(due)
-        return pd.DataFrame(out, columns=[*self.shown, "closed", "version"])
+        return out
+
+    def _shown(self, column: str, value: object) -> object:
+        if column == self.order[0]:
+            return date.fromisoformat(value)
+        value = value.item() if hasattr(value, "item") else value
+        if isinstance(value, float):
+            return None if math.isnan(value) else int(value) if column in self.whole else value
+        return value
 
 
 def fold_stream(stream: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, step: Step, late_days: int,
@@ -86,8 +100,11 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], columns: l
     shown = [part.split()[0] for part in schema.split(", ")]
     spark = stream.sparkSession
     marked = stream.withColumn("_ts", F.col(order[0]).cast("timestamp")).withWatermark("_ts", f"{late_days} days")
-    folded = marked.groupBy(*keys).transformWithStateInPandas(
-        OrderedFold(step, columns, order, shown, late_days, unique), outputStructType=f"{schema}, closed boolean, version long", outputMode="Append", timeMode="EventTime")
+    numbers = {f.name for f in stream.schema if isinstance(f.dataType, NumericType)}
+    whole = {part.split()[0] for part in schema.split(", ") if part.split()[1] == "long"}
+    folded = marked.groupBy(*keys).transformWithState(
+        OrderedFold(step, columns, order, shown, late_days, unique, numbers, whole), outputStructType=f"{schema}, closed boolean, version long",
+        outputMode="Append", timeMode="EventTime")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
