@@ -258,12 +258,15 @@ def snapshot_session(snaps: DataFrame, calendar: DataFrame, at: str) -> DataFram
     days = calendar.select(F.col("trade_date").alias("session"), F.col("trade_date").alias("_on"))
     day, clock = F.to_date(at), F.date_format(at, "HH:mm:ss")
     # Before the final time today's session does not count yet.
-    probe = snaps.withColumns({"_all": F.lit(1), "_cut": F.when(clock < FINAL_TIME, F.date_sub(day, 1)).otherwise(day), "_day": day})
-    found = asof_join(probe, days.withColumn("_all", F.lit(1)), ["_all"], "_cut", "_on", ["session"], bucket="month")
-    open_today = found.join(days.select(F.col("_on").alias("_day"), F.lit(True).alias("_open")), "_day", "left")
+    probe = snaps.withColumns({"_cut": F.when(clock < FINAL_TIME, F.date_sub(day, 1)).otherwise(day), "_day": day})
+    # A day is looked up once, however many snapshots it has; the lookups have a row a day and go to the snapshots, not these to a few days.
+    cuts = probe.select("_cut").filter("_cut is not null").distinct().withColumn("_all", F.lit(1))
+    latest = asof_join(cuts, days.withColumn("_all", F.lit(1)), ["_all"], "_cut", "_on", ["session"]).drop("_all")
+    opened = days.select(F.col("_on").alias("_day"), F.lit(True).alias("_open"))
+    open_today = probe.join(F.broadcast(latest), "_cut", "left").join(F.broadcast(opened), "_day", "left")
     intraday = F.coalesce("_open", F.lit(False)) & (clock >= SESSION_OPEN) & (clock < FINAL_TIME)
     return open_today.withColumns({"kind": F.when(intraday, "intraday").otherwise("post_close"),
-                                   "session": F.when(~intraday, F.col("session"))}).drop("_all", "_cut", "_day", "_open")
+                                   "session": F.when(~intraday, F.col("session"))}).drop("_cut", "_day", "_open")
 
 
 def last_final_session(events: DataFrame, time: str, close: str = "15:00") -> Column:
