@@ -70,7 +70,8 @@ def effective_days(events: DataFrame, bars: DataFrame, calendar: DataFrame) -> D
 
     ``events``: symbol, pub_date, title.
     """
-    rows = next_session(events, calendar, "pub_date", inclusive=True, out="_i0")
+    # what the calendar and the bars say is worked out once for a symbol and a day, however many notices they have
+    rows = next_session(events.select("symbol", "pub_date").distinct(), calendar, "pub_date", inclusive=True, out="_i0")
     days = calendar.select(F.col("idx").alias("_i0"), F.col("trade_date").alias("d0"))
     after = calendar.select((F.col("idx") - 1).alias("_i0"), F.col("trade_date").alias("d1"))
     rows = rows.join(days, "_i0", "left").join(after, "_i0", "left").filter("d0 is not null")
@@ -79,10 +80,12 @@ def effective_days(events: DataFrame, bars: DataFrame, calendar: DataFrame) -> D
     rows = rows.join(span, "symbol", "left").join(traded, ["symbol", "d0"], "left")
     rows = first_after(rows, bars, ["symbol"], "d0", "trade_date", "_next_bar")
     inside = (F.col("d0") >= F.col("_a")) & (F.col("d0") <= F.col("_z"))
+    found = rows.select(F.col("symbol").alias("_symbol"), F.col("pub_date").alias("_pub"), "d0", "d1", "_next_bar", (inside & F.col("_bar").isNull()).alias("_halt"))
+    rows = events.join(found, F.col("symbol").eqNullSafe(F.col("_symbol")) & (F.col("pub_date") == F.col("_pub")))
     resume = F.col("title").contains(RESUME)
-    eff = (F.when(inside & F.col("_bar").isNull(), F.col("_next_bar")).when(resume, F.col("d0")).otherwise(F.col("d1")))
-    method = (F.when(inside & F.col("_bar").isNull(), "first_bar_after_halt").when(resume, "resumption_day").otherwise("next_session"))
-    return rows.withColumns({"eff_date": eff, "method": method}).drop("_i0", "d0", "d1", "_a", "_z", "_bar", "_next_bar")
+    eff = F.when(F.col("_halt"), F.col("_next_bar")).when(resume, F.col("d0")).otherwise(F.col("d1"))
+    method = F.when(F.col("_halt"), "first_bar_after_halt").when(resume, "resumption_day").otherwise("next_session")
+    return rows.withColumns({"eff_date": eff, "method": method}).drop("_symbol", "_pub", "d0", "d1", "_next_bar", "_halt")
 
 
 def status_transitions(events: DataFrame, window_days: int = 60) -> DataFrame:
