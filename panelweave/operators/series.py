@@ -52,7 +52,7 @@ def ordered_scan(df: DataFrame, keys: list[str], order: list[str], schema: str,
     """:func:`ordered_fold` for logs that grow with the tables: a row costs one call, and no column but those it needs is unpacked.
 
     ``advance(state, *columns) -> found`` changes a key's state, made by ``start``, in place.  The other columns of
-    ``schema`` are handed on as they came.  Days come as numbers; whole numbers of a batch that holds nulls as floats, the nulls NaN.
+    ``schema`` are handed on as they came.  Days come as numbers or None; whole numbers of a batch that holds nulls as floats, the nulls NaN.
     """
     shown = [part.split()[0] for part in schema.split(", ")]
     types = dict(part.split() for part in schema.split(", "))
@@ -81,6 +81,8 @@ def _plain(column: pa.Array) -> list:
     """Python values of an Arrow column."""
     if pa.types.is_date(column.type):
         column = column.cast(pa.int32())
+        if column.null_count:  # a null day equals another one, a NaN would not
+            return column.to_pylist()
     if pa.types.is_integer(column.type):
         return column.to_numpy(zero_copy_only=False).tolist()
     return column.to_pylist()
