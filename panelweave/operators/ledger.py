@@ -102,8 +102,10 @@ def advance(state: dict, again: bool, day: object, kind: str, symbol: str, share
 def step(state: dict, row: dict) -> tuple[dict, dict]:
     """:func:`advance` for folds that keep an earlier state."""
     new = {"cash": state.get("cash", 0), "held": dict(state.get("held", {}))}
-    found = advance(new, row["again"], str(row["day"]), *[row[c] for c in TAKEN[2:]])
-    return new, {k: row[k] for k in ("account", "event_id", "day", "kind", "symbol")} | dict(zip(FOUND, found, strict=True))
+    kind, symbol = row["kind"], row["symbol"]
+    found = advance(new, row["again"], str(row["day"]), kind, symbol, row["shares"], row["amount"], row["fees"], row["step_milli"], row["expected"])
+    return new, {"account": row["account"], "event_id": row["event_id"], "day": row["day"], "kind": kind, "symbol": symbol,
+                 "verdict": found[0], "cash": found[1], "quantity": found[2], "sellable": found[3], "cost": found[4]}
 
 
 def fold(events: DataFrame) -> DataFrame:

@@ -84,7 +84,7 @@ def events_from(items: DataFrame, orders: DataFrame, parts: DataFrame) -> DataFr
         some((F.col("priority") == "4") & (F.col("l_linenumber") == 2), event(
             "correct", "C", later(30), F.lit(100).cast("long"), 100 * F.col("unit"),
             expected=F.when(F.col("l_returnflag") == "N", any_holding).otherwise(F.col("volume")))))
-    found = lines.select("account", "symbol", F.explode(F.filter(from_lines, lambda e: e.isNotNull())).alias("e")).select("account", "symbol", "e.*")
+    found = lines.select("account", "symbol", F.explode(from_lines).alias("e")).filter("e IS NOT NULL").select("account", "symbol", "e.*")
     return _placed(found)
 
 
@@ -160,6 +160,6 @@ def ledger_stream(spark, sf, files=None):
     """The ledger over event files in any order, each read once; open days are kept in state until the watermark closes them."""
     events = ledger_events(spark, sf)
     folder = jobs.event_files(events, "ledger-events", files)
-    days = spark.read.schema(events.schema).parquet(folder).agg(F.datediff(F.max("day"), F.min("day"))).first()[0] or 0
+    days, rows = spark.read.schema(events.schema).parquet(folder).agg(F.datediff(F.max("day"), F.min("day")), F.count("*")).first()
     stream = jobs.files_read(spark, folder, events.schema, files)
-    return state.fold_stream(stream, ["account"], ledger.ORDER, ledger.COLUMNS, ledger.SCHEMA, ledger.step, days + 1, "ledger", "event_id")
+    return state.fold_stream(stream, ["account"], ledger.ORDER, ledger.COLUMNS, ledger.SCHEMA, ledger.step, (days or 0) + 1, "ledger", "event_id", rows)

@@ -9,26 +9,44 @@ bounded by the delay.  Ids of closed events are kept as long as a late copy may
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from collections.abc import Callable, Iterator
 from datetime import date, datetime, timedelta, timezone
+from operator import itemgetter
 
-from pyspark.sql import DataFrame, Row, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import NumericType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, FloatType, LongType, NumericType, StringType, StructField, StructType
 
 from . import jobs
 
 Step = Callable[[dict, dict], tuple[dict, dict]]
 DAY_MS = 86_400_000
+#: Keys are dealt to groups, which share calls, timers and the batches sent to and from Python; each key has its own entry in the state.
+#: Rows of a group where the size of the stream's table is known, the least number of groups, and their number where it is not known.
+GROUP_ROWS, LEAST_GROUPS, GROUPS = 4096, 256, 1 << 14
 
 
+@functools.lru_cache(1 << 16)
 def _millis(day: str) -> int:
     """The first moment after a day."""
     return int((datetime.fromisoformat(day).replace(tzinfo=timezone.utc) + timedelta(days=1)).timestamp() * 1000)
 
 
+@functools.lru_cache(1 << 16)
+def _day(text: str) -> date:
+    return date.fromisoformat(text)
+
+
+@functools.lru_cache(16)
+def _days_before(watermark: int, days: int) -> str:
+    """The day of a watermark, less so many days."""
+    return (datetime.fromtimestamp(max(watermark, 0) / 1000, timezone.utc) - timedelta(days=days)).date().isoformat()
+
+
 class OrderedFold(StatefulProcessor):
     """``step(state, row)`` over the rows of a key in the order of ``order`` (its first column is the day)."""
 
@@ -42,57 +60,132 @@ class OrderedFold(StatefulProcessor):
         self.body = handle.getValueState("body", StructType([StructField("json", StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        day, new = self.order[0], []
-        for row in rows:
-            one = {c: math.nan if row[c] is None and c in self.numbers else row[c] for c in self.columns}
-            new.append(one | {day: str(one[day])[:10]})
-        yield from self._advance(new, timerValues)
+        yield from self._advance([self._taken(row) for row in rows], timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         yield from self._advance([], timerValues)
 
+    def _taken(self, row: Row | dict) -> dict:
+        one = {c: math.nan if row[c] is None and c in self.numbers else row[c] for c in self.columns}
+        return one | {self.order[0]: str(one[self.order[0]])[:10]}
+
     def _advance(self, new: list[dict], timers) -> list[Row]:
         kept = self.body.get()
-        body = json.loads(kept[0]) if kept else {"state": {}, "open": [], "seen": {}, "version": 0, "due": None}
-        watermark, day = timers.getCurrentWatermarkInMs(), self.order[0]
+        old, body, out = self.advance(kept[0] if kept else None, new, timers.getCurrentWatermarkInMs())
+        if body is None:
+            return []
+        self.body.update((json.dumps(body),))
+        if body["due"] is not None and body["due"] != old:
+            self.handle.registerTimer(body["due"])
+        return [Row(**{c: self._shown(c, v) for c, v in zip(self.shown, row)}, closed=row[-2], version=row[-1]) for row in out]
+
+    def advance(self, kept: str | None, new: list[dict], watermark: int) -> tuple[int | None, dict | None, list[tuple]]:
+        """A key's due moment before, its body with ``new`` rows and what is closed now, and the rows found, each with closed and version.
+
+        No body where there is nothing to do.
+        """
+        body = json.loads(kept) if kept else {"state": {}, "open": [], "seen": {}, "version": 0, "due": None}
+        day, unique, step = self.order[0], self.unique, self.step
         rows = [dict(zip(self.columns, values, strict=True)) for values in body["open"]] + new
-        rows.sort(key=lambda r: [r[c] for c in self.order])
-        ends = {d: _millis(d) for d in {r[day] for r in rows}}
-        closing = sum(ends[r[day]] <= watermark for r in rows)  # the first ones, as rows are in order of their days
+        rows.sort(key=itemgetter(*self.order))
+        today = _days_before(watermark, 0)
+        closing = sum(r[day] < today for r in rows)  # days that have ended: the first ones, as rows are in order of their days
         if not new and not closing:  # another timer of the batch has closed them
-            return []
-        version, state, seen, out = body["version"] + 1, body["state"], body["seen"], []
-        closed_state, closed_seen = state, seen if closing == len(rows) else dict(seen)
+            return body["due"], None, []
+        version, state, seen, out, opened = body["version"] + 1, body["state"], body["seen"], [], []
+        closed_state, shown_of = state, itemgetter(*self.shown, self.shown[0])  # one more: a tuple, however few are shown
         for i, row in enumerate(rows):
-            again = self.unique is not None and row[self.unique] in seen
-            state, shown = self.step(state, row | {"again": again})
-            if self.unique is not None:
-                seen.setdefault(row[self.unique], row[day])
+            row["again"] = unique is not None and row[unique] in seen
+            state, shown = step(state, row)
+            if unique is not None and not row["again"]:
+                seen[row[unique]] = row[day]
+                if i >= closing:
+                    opened.append(row[unique])
             if i + 1 == closing:
-                closed_state, closed_seen = state, seen if closing == len(rows) else dict(seen)
-            out.append(Row(**{c: self._shown(c, shown[c]) for c in self.shown}, closed=i < closing, version=version))
-        oldest = (datetime.fromtimestamp(max(watermark, 0) / 1000, timezone.utc) - timedelta(days=self.keep_days + 1)).date().isoformat()
+                closed_state = state
+            out.append((*shown_of(shown)[:-1], i < closing, version))
+        for one in opened:
+            del seen[one]
+        oldest = _days_before(watermark, self.keep_days + 1)
         open_ = rows[closing:]
         # One timer a key, for its first open day: it closes what is due and sets the next.
-        due = ends[open_[0][day]] if open_ else None
-        self.body.update((json.dumps({"state": closed_state, "open": [[r[c] for c in self.columns] for r in open_],
-                                      "seen": {k: d for k, d in closed_seen.items() if d >= oldest}, "version": version, "due": due}),))
-        if due is not None and due != body["due"]:
-            self.handle.registerTimer(due)
-        return out
+        return body["due"], {"state": closed_state, "open": [[r[c] for c in self.columns] for r in open_], "seen": {k: d for k, d in seen.items() if d >= oldest},
+                             "version": version, "due": _millis(open_[0][day]) if open_ else None}, out
 
     def _shown(self, column: str, value: object) -> object:
         if column == self.order[0]:
-            return date.fromisoformat(value)
+            return _day(value)
         value = value.item() if hasattr(value, "item") else value
         if isinstance(value, float):
             return None if math.isnan(value) else int(value) if column in self.whole else value
         return value
 
 
+class GroupedFolds(OrderedFold):
+    """:class:`OrderedFold` of every key of a group of keys: calls, timers and batches are the group's, the state is an entry a key.
+
+    A key of a few dozen rows costs less than one call into the state and one Arrow batch of its own.
+    """
+
+    def __init__(self, keys: list[str], texts: list[str], others: list[str], *fold) -> None:
+        super().__init__(*fold)
+        self.keys, self.texts, self.others = keys, texts, others  # texts and others: the columns as :func:`packed` sends them
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bodies = handle.getMapState("bodies", StructType([StructField("key", StringType())]),
+                                         StructType([StructField("json", StringType()), StructField("due", LongType())]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        names, key_of, new = [*self.texts, *self.others], itemgetter(*self.keys), {}
+        for pdf in rows:
+            for texts, *others in json.loads(f"[{','.join(pdf['packed'])}]"):
+                row = dict(zip(names, texts + others))
+                one = new.setdefault(key_of(row), [])  # before nulls are NaN
+                if None in others:
+                    row |= {c: math.nan for c in self.numbers & row.keys() if row[c] is None}
+                one.append(row)
+        named: dict[str, list[dict]] = {}
+        for k, some in new.items():
+            named.setdefault(json.dumps(k), []).extend(some)
+        yield from self._moved(named, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._moved({}, timerValues)
+
+    def _moved(self, new: dict[str, list[dict]], timers) -> Iterator[pd.DataFrame]:
+        kept, watermark = {k[0]: v for k, v in self.bodies.iterator()}, timers.getCurrentWatermarkInMs()
+        due = {k: v[1] for k, v in kept.items() if v[1] is not None}
+        before, out = min(due.values(), default=None), []
+        due_now = [] if new else [k for k, at in due.items() if at <= watermark]
+        for k, rows in [*new.items(), *((k, []) for k in due_now)]:
+            _, body, found = self.advance(kept[k][0] if k in kept else None, rows, watermark)
+            if body is not None:
+                self.bodies.updateValue((k,), (json.dumps(body), body["due"]))
+                due[k] = body["due"]
+                out += found
+        after = min((at for at in due.values() if at is not None), default=None)
+        if after is not None and after != before:
+            self.handle.registerTimer(after)
+        if out:
+            columns = dict(zip([*self.shown, "closed", "version"], zip(*out)))
+            yield pd.DataFrame({c: pd.Series(self._column(c, values), dtype=object) for c, values in columns.items()})
+
+    def _column(self, name: str, values: tuple) -> tuple | list:
+        plain = name != self.order[0] and {*map(type, values)} <= {int, str, bool, type(None)}
+        return values if plain else [self._shown(name, v) for v in values]
+
+
+def packed(rows: DataFrame, texts: list[str], others: list[str], day: str) -> Column:
+    """A row as JSON in one column, strings and days in a list before the numbers: Python takes many rows at a call."""
+    number = lambda c: F.col(c).cast("double") if isinstance(rows.schema[c].dataType, FloatType) else F.col(c)
+    plain = [F.concat(F.lit(","), F.coalesce(number(c).cast("string"), F.lit("null"))) for c in others]
+    return F.concat(F.lit("["), F.to_json(F.array(*[F.substring(F.col(c).cast("string"), 1, 10) if c == day else F.col(c).cast("string") for c in texts])), *plain, F.lit("]"))
+
+
 def fold_stream(stream: DataFrame, keys: list[str], order: list[str], columns: list[str], schema: str, step: Step, late_days: int,
-                name: str, unique: str | None = None) -> DataFrame:
-    """The rows of ``ordered_fold`` from a stream.  ``late_days``: how many days behind the newest event one may come.
+                name: str, unique: str | None = None, rows: int = 0) -> DataFrame:
+    """The rows of ``ordered_fold`` from a stream.  ``late_days``: how many days behind the newest event one may come; ``rows``: about how many come.
 
     Rows closed by the watermark stand; of a key's open rows those of its newest version do.  With ``unique``, a copy of an
     event id must come on the day of the first or within the delay after it.
@@ -102,9 +195,14 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], columns: l
     marked = stream.withColumn("_ts", F.col(order[0]).cast("timestamp")).withWatermark("_ts", f"{late_days} days")
     numbers = {f.name for f in stream.schema if isinstance(f.dataType, NumericType)}
     whole = {part.split()[0] for part in schema.split(", ") if part.split()[1] == "long"}
-    folded = marked.groupBy(*keys).transformWithState(
-        OrderedFold(step, columns, order, shown, late_days, unique, numbers, whole), outputStructType=f"{schema}, closed boolean, version long",
-        outputMode="Append", timeMode="EventTime")
+    sent = [*columns, *[k for k in keys if k not in columns]]
+    others = [c for c in sent if isinstance(stream.schema[c].dataType, (NumericType, BooleanType))]
+    texts = [c for c in sent if c not in others]
+    groups = max(LEAST_GROUPS, rows // GROUP_ROWS) if rows else GROUPS
+    dealt = marked.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group"), packed(marked, texts, others, order[0]).alias("packed"), "_ts")
+    folded = dealt.groupBy("group").transformWithStateInPandas(
+        GroupedFolds(keys, texts, others, step, columns, order, shown, late_days, unique, numbers, whole),
+        outputStructType=f"{schema}, closed boolean, version long", outputMode="Append", timeMode="EventTime")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -112,5 +210,7 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], columns: l
         written = jobs.run_available(folded, "append", name)
     finally:
         spark.conf.set(provider, before)
+    if written.filter("batch_id > 0").isEmpty():  # a key has one version; null keys are equal to none
+        return written.filter(" AND ".join(f"`{k}` IS NOT NULL" for k in keys)).drop("batch_id", "version", "closed")
     newest = written.groupBy(*keys).agg(F.max("version").alias("_newest"))
     return written.join(newest, keys).filter("closed OR version = _newest").drop("batch_id", "version", "_newest", "closed")

@@ -3,9 +3,11 @@
 import json
 from datetime import date, datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from panelweave.operators import accounts, ledger, normalize, text
+from panelweave.plans import queries_ledger
 from panelweave.streaming import state
 
 D = date(2024, 1, 1)
@@ -99,3 +101,64 @@ def test_a_key_has_one_timer(spark):
     out = list(fold.handleExpiredTimer((1,), Now(passed), None))
     assert sum(r.closed for r in out) == 10 and [r.n for r in out] == list(range(1, 51))
     assert len(handle.timers) == 2 and handle.timers[1] > passed and len(json.loads(handle.kept[0])["open"]) == 40
+
+
+class Bodies(Handle):
+    """The keys of one group."""
+    def __init__(self):
+        super().__init__()
+        self.of, self.updated = {}, []
+
+    def getMapState(self, name, key, value):
+        return self
+
+    def iterator(self):
+        return iter([((k,), v) for k, v in self.of.items()])
+
+    def updateValue(self, key, value):
+        self.updated.append(key[0])
+        self.of[key[0]] = value
+
+
+def counted(s, r):
+    n = s.get("n", 0) + (0 if r["again"] else 1)
+    return {"n": n}, {"key": r["key"], "day": r["day"], "n": n, "x": r["x"]}
+
+
+def test_keys_of_a_group_share_calls_batches_and_timers():
+    fold = state.GroupedFolds(["key"], ["day", "id"], ["key", "x"], counted, ["key", "day", "id", "x"], ["day", "id"], ["key", "day", "n", "x"], 9, "id", {"key", "x"}, {"key", "n", "x"})
+    handle = Bodies()
+    fold.init(handle)
+    rows = [f'[["2024-01-{1 + i:02}","e{i}"],{key},{x}]' for i in range(20) for key, x in ((1, 2**62 + i), (2, "null"), ("null", 5))] + ['[["2024-01-03","e2"],1,7]']
+    out = list(fold.handleInputRows((5,), iter([pd.DataFrame({"packed": part}) for part in (rows[:40], rows[40:])]), Now(0)))
+    assert len(out) == 1 and len(out[0]) == 61 and len(handle.timers) == 1 and set(handle.of) == {"1", "2", "null"}
+    assert out[0].groupby("key", dropna=False).n.max().tolist() == [20, 20, 20]  # the copy changes nothing
+    assert out[0][out[0].key == 1].x.tolist()[-1] == 2**62 + 19 and out[0][out[0].key == 2].x.isna().all()
+    passed = int((datetime(2024, 1, 11) - datetime(1970, 1, 1)).total_seconds() * 1000)
+    handle.updated.clear()
+    (more,) = fold.handleInputRows((5,), iter([pd.DataFrame({"packed": ['[["2024-01-30","f"],2,1]']})]), Now(passed))
+    assert handle.updated == ["2"] and set(more.key) == {2}  # another key's entry is not written again
+    (rest,) = fold.handleExpiredTimer((5,), Now(passed), None)
+    assert set(rest.key.dropna()) == {1} and handle.updated == ["2", "1", "null"] and rest.closed.sum() == 11 + 10
+    assert handle.timers[-1] == passed + 86_400_000 and not list(fold.handleExpiredTimer((5,), Now(passed), None))
+
+
+def test_rows_of_one_batch_are_not_joined_with_their_versions(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(state, "GROUPS", 2)
+    rows = [(a, f"d{a}", D, 1, "deposit", "", 0, 500 * (i + 1), 0, 0, -1) for i, a in enumerate([*range(40), None])]
+    rows += [(a, f"b{a}", D + timedelta(3), 3, "buy", 'x"\\,é', 10, 400, 1, 0, -1) for a in range(40)] + [(3, "b3", D + timedelta(4), 3, "buy", "x", None, 400, 1, 0, -1)]
+    events = spark.createDataFrame(rows, "account long, event_id string, day date, seq long, kind string, symbol string, shares long, amount long, fees long, step_milli long, expected long")
+    events.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+    found = state.fold_stream(stream, ["account"], ledger.ORDER, ledger.COLUMNS, ledger.SCHEMA, ledger.step, 9, "ledger-test", "event_id")
+    assert "Join" not in plan(found) and "Exchange" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, ledger.fold(events.dropna(subset=["account"])).collect()))
+
+
+def test_events_of_a_line_are_made_without_a_call_a_row(spark):
+    items = spark.createDataFrame([(1, 7, 1, 2.0, 20.0, "R", D), (1, 7, 2, 4.0, 20.0, "N", D)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_shipdate date")
+    orders = spark.createDataFrame([(1, 5, D, "P", 9.0, "4-x")], "o_orderkey long, o_custkey long, o_orderdate date, o_orderstatus string, o_totalprice double, o_orderpriority string")
+    found = queries_ledger.events_from(items, orders, spark.createDataFrame([(7, "b")], "p_partkey long, p_brand string"))
+    assert "lambda" not in plan(found)
+    assert {(r.event_id, r.kind, r.day, r.expected) for r in found.collect()} == {
+        ("T1-1", "sell", D, -1), ("T1-2", "buy", D, -1), ("X1-1", "delist", D + timedelta(120), -1), ("C1-2", "correct", D + timedelta(30), -1)}
