@@ -17,6 +17,7 @@ from datetime import date, datetime, timedelta, timezone
 from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import BooleanType, FloatType, LongType, NumericType, StringType, StructField, StructType
@@ -28,6 +29,8 @@ DAY_MS = 86_400_000
 #: Keys are dealt to groups, which share calls, timers and the batches sent to and from Python; each key has its own entry in the state.
 #: Rows of a group where the size of the stream's table is known, the least number of groups, and their number where it is not known.
 GROUP_ROWS, LEAST_GROUPS, GROUPS = 4096, 256, 1 << 14
+ARROW = {"long": pa.int64(), "double": pa.float64(), "string": pa.string(), "date": pa.date32(), "boolean": pa.bool_()}
+LINE = ""  # the name of a row's own text, which no column has
 
 
 @functools.lru_cache(1 << 16)
@@ -71,28 +74,33 @@ class OrderedFold(StatefulProcessor):
 
     def _advance(self, new: list[dict], timers) -> list[Row]:
         kept = self.body.get()
-        old, body, out = self.advance(kept[0] if kept else None, new, timers.getCurrentWatermarkInMs())
+        body = json.loads(kept[0]) if kept else {"open": [], "due": None}
+        opened = [dict(zip(self.columns, values, strict=True)) for values in body.pop("open")]
+        before = body.pop("due")
+        body, opened, out = self.advance(body, opened, new, timers.getCurrentWatermarkInMs())
         if body is None:
             return []
-        self.body.update((json.dumps(body),))
-        if body["due"] is not None and body["due"] != old:
-            self.handle.registerTimer(body["due"])
+        due = self.due(opened)
+        self.body.update((json.dumps(body | {"open": [[r[c] for c in self.columns] for r in opened], "due": due}),))
+        if due is not None and due != before:
+            self.handle.registerTimer(due)
         return [Row(**{c: self._shown(c, v) for c, v in zip(self.shown, row)}, closed=row[-2], version=row[-1]) for row in out]
 
-    def advance(self, kept: str | None, new: list[dict], watermark: int) -> tuple[int | None, dict | None, list[tuple]]:
-        """A key's due moment before, its body with ``new`` rows and what is closed now, and the rows found, each with closed and version.
+    def due(self, opened: list[dict]) -> int | None:
+        """One timer a key, for its first open day: it closes what is due and sets the next."""
+        return _millis(opened[0][self.order[0]]) if opened else None
 
-        No body where there is nothing to do.
+    def advance(self, body: dict, opened: list[dict], new: list[dict], watermark: int) -> tuple[dict | None, list[dict], list[tuple]]:
+        """Folds a key's open and new rows: its body (state, ids of closed events, version) after those that are closed now, the rows still
+        open, and what is shown of each row, with closed and version.  No body where there is nothing to do.
         """
-        body = json.loads(kept) if kept else {"state": {}, "open": [], "seen": {}, "version": 0, "due": None}
-        day, unique, step = self.order[0], self.unique, self.step
-        rows = [dict(zip(self.columns, values, strict=True)) for values in body["open"]] + new
+        rows, day, unique, step = opened + new, self.order[0], self.unique, self.step
         rows.sort(key=itemgetter(*self.order))
         today = _days_before(watermark, 0)
         closing = sum(r[day] < today for r in rows)  # days that have ended: the first ones, as rows are in order of their days
         if not new and not closing:  # another timer of the batch has closed them
-            return body["due"], None, []
-        version, state, seen, out, opened = body["version"] + 1, body["state"], body["seen"], [], []
+            return None, opened, []
+        version, state, seen, out, first = body.get("version", 0) + 1, body.get("state", {}), body.get("seen", {}), [], []
         closed_state, shown_of = state, itemgetter(*self.shown, self.shown[0])  # one more: a tuple, however few are shown
         for i, row in enumerate(rows):
             row["again"] = unique is not None and row[unique] in seen
@@ -100,17 +108,14 @@ class OrderedFold(StatefulProcessor):
             if unique is not None and not row["again"]:
                 seen[row[unique]] = row[day]
                 if i >= closing:
-                    opened.append(row[unique])
+                    first.append(row[unique])
             if i + 1 == closing:
                 closed_state = state
             out.append((*shown_of(shown)[:-1], i < closing, version))
-        for one in opened:
+        for one in first:  # ids of open events are found again with them
             del seen[one]
         oldest = _days_before(watermark, self.keep_days + 1)
-        open_ = rows[closing:]
-        # One timer a key, for its first open day: it closes what is due and sets the next.
-        return body["due"], {"state": closed_state, "open": [[r[c] for c in self.columns] for r in open_], "seen": {k: d for k, d in seen.items() if d >= oldest},
-                             "version": version, "due": _millis(open_[0][day]) if open_ else None}, out
+        return {"state": closed_state, "seen": {k: d for k, d in seen.items() if d >= oldest}, "version": version}, rows[closing:], out
 
     def _shown(self, column: str, value: object) -> object:
         if column == self.order[0]:
@@ -127,53 +132,63 @@ class GroupedFolds(OrderedFold):
     A key of a few dozen rows costs less than one call into the state and one Arrow batch of its own.
     """
 
-    def __init__(self, keys: list[str], texts: list[str], others: list[str], *fold) -> None:
+    def __init__(self, keys: list[str], texts: list[str], others: list[str], types: dict[str, str], *fold) -> None:
         super().__init__(*fold)
         self.keys, self.texts, self.others = keys, texts, others  # texts and others: the columns as :func:`packed` sends them
+        self.types = types  # of the columns that are shown
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.bodies = handle.getMapState("bodies", StructType([StructField("key", StringType())]),
-                                         StructType([StructField("json", StringType()), StructField("due", LongType())]))
+        value = [StructField("json", StringType()), StructField("open", StringType()), StructField("due", LongType())]
+        self.bodies = handle.getMapState("bodies", StructType([StructField("key", StringType())]), StructType(value))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        names, key_of, new = [*self.texts, *self.others], itemgetter(*self.keys), {}
+        key_of, new = itemgetter(*self.keys), {}
         for pdf in rows:
-            for texts, *others in json.loads(f"[{','.join(pdf['packed'])}]"):
-                row = dict(zip(names, texts + others))
-                one = new.setdefault(key_of(row), [])  # before nulls are NaN
-                if None in others:
-                    row |= {c: math.nan for c in self.numbers & row.keys() if row[c] is None}
-                one.append(row)
+            for row in self._rows(pdf["packed"].tolist()):
+                new.setdefault(key_of(row), []).append(row)
         named: dict[str, list[dict]] = {}
-        for k, some in new.items():
+        for k, some in new.items():  # a NaN of the rows is no other's equal, as text it is
             named.setdefault(json.dumps(k), []).extend(some)
         yield from self._moved(named, timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         yield from self._moved({}, timerValues)
 
+    def _rows(self, lines: list[str]) -> list[dict]:
+        """Rows of :func:`packed` lines, numbers that are null as NaN, each with its line, as which it stays in the state."""
+        names, rows = [*self.texts, *self.others], []
+        for line, (texts, *others) in zip(lines, json.loads(f"[{','.join(lines)}]"), strict=True):
+            row = dict(zip(names, texts + others))
+            row[LINE] = line
+            if None in others:
+                row.update([(c, math.nan) for c in self.numbers & row.keys() if row[c] is None])
+            rows.append(row)
+        return rows
+
     def _moved(self, new: dict[str, list[dict]], timers) -> Iterator[pd.DataFrame]:
         kept, watermark = {k[0]: v for k, v in self.bodies.iterator()}, timers.getCurrentWatermarkInMs()
-        due = {k: v[1] for k, v in kept.items() if v[1] is not None}
+        due = {k: v[2] for k, v in kept.items() if v[2] is not None}
         before, out = min(due.values(), default=None), []
-        due_now = [] if new else [k for k, at in due.items() if at <= watermark]
-        for k, rows in [*new.items(), *((k, []) for k in due_now)]:
-            _, body, found = self.advance(kept[k][0] if k in kept else None, rows, watermark)
+        touched = new or {k: [] for k, at in due.items() if at <= watermark}
+        for k, rows in touched.items():
+            text, lines, _ = kept.get(k, ("{}", "", None))
+            body, opened, found = self.advance(json.loads(text), self._rows(lines.split("\n") if lines else []), rows, watermark)
             if body is not None:
-                self.bodies.updateValue((k,), (json.dumps(body), body["due"]))
-                due[k] = body["due"]
+                due[k] = self.due(opened)
+                self.bodies.updateValue((k,), (json.dumps(body), "\n".join([r[LINE] for r in opened]), due[k]))
                 out += found
         after = min((at for at in due.values() if at is not None), default=None)
         if after is not None and after != before:
             self.handle.registerTimer(after)
         if out:
-            columns = dict(zip([*self.shown, "closed", "version"], zip(*out)))
-            yield pd.DataFrame({c: pd.Series(self._column(c, values), dtype=object) for c, values in columns.items()})
+            types = self.types | {"closed": "boolean", "version": "long"}
+            yield pd.DataFrame({c: self._column(c, kind, values) for (c, kind), values in zip(types.items(), zip(*out), strict=True)})
 
-    def _column(self, name: str, values: tuple) -> tuple | list:
+    def _column(self, name: str, kind: str, values: tuple) -> pd.Series:
         plain = name != self.order[0] and {*map(type, values)} <= {int, str, bool, type(None)}
-        return values if plain else [self._shown(name, v) for v in values]
+        column = pa.array(values if plain else [self._shown(name, v) for v in values], ARROW.get(kind))
+        return pd.Series(column, dtype=pd.ArrowDtype(column.type))
 
 
 def packed(rows: DataFrame, texts: list[str], others: list[str], day: str) -> Column:
@@ -190,18 +205,18 @@ def fold_stream(stream: DataFrame, keys: list[str], order: list[str], columns: l
     Rows closed by the watermark stand; of a key's open rows those of its newest version do.  With ``unique``, a copy of an
     event id must come on the day of the first or within the delay after it.
     """
-    shown = [part.split()[0] for part in schema.split(", ")]
+    types = dict(part.split() for part in schema.split(", "))
     spark = stream.sparkSession
     marked = stream.withColumn("_ts", F.col(order[0]).cast("timestamp")).withWatermark("_ts", f"{late_days} days")
     numbers = {f.name for f in stream.schema if isinstance(f.dataType, NumericType)}
-    whole = {part.split()[0] for part in schema.split(", ") if part.split()[1] == "long"}
+    whole = {c for c, kind in types.items() if kind == "long"}
     sent = [*columns, *[k for k in keys if k not in columns]]
     others = [c for c in sent if isinstance(stream.schema[c].dataType, (NumericType, BooleanType))]
     texts = [c for c in sent if c not in others]
     groups = max(LEAST_GROUPS, rows // GROUP_ROWS) if rows else GROUPS
     dealt = marked.select(F.pmod(F.xxhash64(*keys), F.lit(groups)).alias("group"), packed(marked, texts, others, order[0]).alias("packed"), "_ts")
     folded = dealt.groupBy("group").transformWithStateInPandas(
-        GroupedFolds(keys, texts, others, step, columns, order, shown, late_days, unique, numbers, whole),
+        GroupedFolds(keys, texts, others, types, step, columns, order, [*types], late_days, unique, numbers, whole),
         outputStructType=f"{schema}, closed boolean, version long", outputMode="Append", timeMode="EventTime")
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)

@@ -126,12 +126,13 @@ def counted(s, r):
 
 
 def test_keys_of_a_group_share_calls_batches_and_timers():
-    fold = state.GroupedFolds(["key"], ["day", "id"], ["key", "x"], counted, ["key", "day", "id", "x"], ["day", "id"], ["key", "day", "n", "x"], 9, "id", {"key", "x"}, {"key", "n", "x"})
+    types = {"key": "long", "day": "date", "n": "long", "x": "long"}
+    fold = state.GroupedFolds(["key"], ["day", "id"], ["key", "x"], types, counted, ["key", "day", "id", "x"], ["day", "id"], ["key", "day", "n", "x"], 9, "id", {"key", "x"}, {"key", "n", "x"})
     handle = Bodies()
     fold.init(handle)
     rows = [f'[["2024-01-{1 + i:02}","e{i}"],{key},{x}]' for i in range(20) for key, x in ((1, 2**62 + i), (2, "null"), ("null", 5))] + ['[["2024-01-03","e2"],1,7]']
     out = list(fold.handleInputRows((5,), iter([pd.DataFrame({"packed": part}) for part in (rows[:40], rows[40:])]), Now(0)))
-    assert len(out) == 1 and len(out[0]) == 61 and len(handle.timers) == 1 and set(handle.of) == {"1", "2", "null"}
+    assert len(out) == 1 and len(out[0]) == 61 and len(handle.timers) == 1 and set(handle.of) == {"1", "2", "NaN"}
     assert out[0].groupby("key", dropna=False).n.max().tolist() == [20, 20, 20]  # the copy changes nothing
     assert out[0][out[0].key == 1].x.tolist()[-1] == 2**62 + 19 and out[0][out[0].key == 2].x.isna().all()
     passed = int((datetime(2024, 1, 11) - datetime(1970, 1, 1)).total_seconds() * 1000)
@@ -139,7 +140,7 @@ def test_keys_of_a_group_share_calls_batches_and_timers():
     (more,) = fold.handleInputRows((5,), iter([pd.DataFrame({"packed": ['[["2024-01-30","f"],2,1]']})]), Now(passed))
     assert handle.updated == ["2"] and set(more.key) == {2}  # another key's entry is not written again
     (rest,) = fold.handleExpiredTimer((5,), Now(passed), None)
-    assert set(rest.key.dropna()) == {1} and handle.updated == ["2", "1", "null"] and rest.closed.sum() == 11 + 10
+    assert set(rest.key.dropna()) == {1} and handle.updated == ["2", "1", "NaN"] and rest.closed.sum() == 11 + 10
     assert handle.timers[-1] == passed + 86_400_000 and not list(fold.handleExpiredTimer((5,), Now(passed), None))
 
 
